@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality_rules, sharding, url_rules
+from . import decontaminate, language_id, line_crf, line_dedup, mixing, ngram_join, quality_rules, sharding, url_rules
 
 QUERIES = {
     "op1_distribution_divergence": quality_rules.op1_distribution_divergence,
+    "op2_byte_cnn": language_id.op2_byte_cnn,
     "op3_balanced_label_propagation": sharding.op3_balanced_label_propagation,
     "op4_site_relative_frequency": line_dedup.op4_site_relative_frequency,
     "op5_association_rules": url_rules.op5_association_rules,
+    "op7_line_crf": line_crf.op7_line_crf,
     "op8_systematic_sampling": mixing.op8_systematic_sampling,
+    "op9_signature_tree": ngram_join.op9_signature_tree,
     "op10_winnowing": decontaminate.op10_winnowing,
 }
 
 ORACLE_SQL = {
     "op4_site_relative_frequency": line_dedup.OP4_SQL,
     "op8_systematic_sampling": mixing.OP8_SQL,
+    "op9_signature_tree": ngram_join.OP9_SQL,
 }
