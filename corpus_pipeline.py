@@ -8,11 +8,51 @@ again, so a lost executor costs a task and not the run.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from medlattice.llm import decontaminate, mixing, sharding
-from medlattice.llm.common import Staged, table
+from medlattice.llm import decontaminate, line_crf, mixing, ngram_join, sharding
+from medlattice.llm.common import Staged, narrow, table
 
-STAGES: list = []
+#: Ids that are sent to all tasks; more are met by a shuffle join.
+SEND_IDS = 500_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose line CRF score reaches the threshold."""
+    model = line_crf.quality_model(docs, table(spark, sf_dir, "labels"))
+    return line_crf.score(docs, model).filter(F.col("score") >= line_crf.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each component of links; of rows with one id, one stays."""
+    found = ngram_join.components(narrow(docs, "doc_id", "text"))
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
+    odd = Staged(spark, "near_duplicates").write(ids.filter("n > 1 or c <> doc_id"))
+    few = odd.count() <= SEND_IDS
+    send = lambda df: F.broadcast(df) if few else df
+    kept = docs.join(send(odd.select("doc_id")), "doc_id", "left_anti")
+    repeated = odd.filter("n > 1 and c = doc_id").select("doc_id")
+    if repeated.limit(1).count():
+        kept = kept.unionByName(docs.join(send(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("hit_spans") == 0).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.emit(mixing.mix(docs), docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(narrow(docs, "doc_id", "text"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("mixed", mixed), ("sharded", sharded)]
 
 #: The classifier's training can't be expressed in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -21,6 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     staged = Staged(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = staged.write(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -93,7 +93,7 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
     return prefix_sums(df, group, bucket, order, F.lit(1), name)
 
 
-def hex_digits(rows: int, per_bucket: int = 4000) -> int:
+def hex_digits(rows: int, per_bucket: int = 500) -> int:
     """Leading hex digits of a hash that deal ``rows`` into buckets of about ``per_bucket`` rows."""
     digits = 0
     while rows > per_bucket * 16**digits:

@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, table
+from .common import Staged, narrow, table
 
 MAX_RATIO, MIN_PAGES = 0.3, 5
+#: Boilerplate lines (16 bytes each) of all hosts that are sent to every task.
+SEND_LINES = 500_000
 #: Patterns that both engines read alike.
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 BREAK = r"(?i)<br[^>]*>|</?(p|div|li|ul|ol|nav|article|section|header|footer|main|aside|table|tr|title|head|body|h[1-6])(\s[^>]*)?>"
@@ -51,7 +53,10 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     seen = split.filter("host <> ''").select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     totals = split.select("host").filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= min_pages)
     bad = seen.join(totals, "host").filter(F.col("n") > F.col("total") * F.lit(float(max_ratio))).groupBy("host").agg(F.collect_set("key").alias("bad"))
-    out = split.join(bad, "host", "left").withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", _key(x)))))
+    bad = Staged(pages.sparkSession, "line_dedup").write(bad)
+    # sent to all tasks where few; else both sides are sorted, and Spark splits hot hosts
+    few = (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= SEND_LINES
+    out = split.join(F.broadcast(bad) if few else bad.hint("merge"), "host", "left").withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", _key(x)))))
     return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"), F.array_join("kept", "\n").alias("text"))
 
 

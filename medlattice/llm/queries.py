@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_crf, line_dedup, mixing, ngram_join, quality_rules, sharding, url_rules
+from . import decontaminate, language_id, line_crf, line_dedup, mixing, ngram_join, quality_rules, sharding, substring_dedup, url_rules
 
 QUERIES = {
     "op1_distribution_divergence": quality_rules.op1_distribution_divergence,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_balanced_label_propagation": sharding.op3_balanced_label_propagation,
     "op4_site_relative_frequency": line_dedup.op4_site_relative_frequency,
     "op5_association_rules": url_rules.op5_association_rules,
+    "op6_fm_index": substring_dedup.op6_fm_index,
     "op7_line_crf": line_crf.op7_line_crf,
     "op8_systematic_sampling": mixing.op8_systematic_sampling,
     "op9_signature_tree": ngram_join.op9_signature_tree,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_site_relative_frequency": line_dedup.OP4_SQL,
+    "op6_fm_index": substring_dedup.OP6_SQL,
     "op8_systematic_sampling": mixing.OP8_SQL,
     "op9_signature_tree": ngram_join.OP9_SQL,
 }
