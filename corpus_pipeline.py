@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The smallest document of each component of links; of rows with one id, one stays."""
     found = ngram_join.components(narrow(docs, "doc_id", "text"))
     ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    odd = Staged(spark, "near_duplicates").write(ids.filter("n > 1 or c <> doc_id"))
+    odd = Staged(spark, "near_duplicates").write(ids.filter("n > 1 or c <> doc_id"), docs.count())
     few = odd.count() <= SEND_IDS
     send = lambda df: F.broadcast(df) if few else df
     kept = docs.join(send(odd.select("doc_id")), "doc_id", "left_anti")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Rows of narrow results in one file; fewer files spare the store, and each still fits one task.
+ROWS_PER_FILE = 200_000
 _local_dir: str | None = None
 
 
@@ -43,7 +45,14 @@ class Staged:
         self.base = f"{shared_dir(spark)}/medlattice/{operator}-{uuid.uuid4().hex[:12]}"
         self.made = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None, spread: bool = False) -> DataFrame:
+        """df as a table. ``rows``, a bound of its rows, keeps a small result from many files.
+
+        ``spread`` leaves the last stage its tasks and deals their rows out anew.
+        """
+        if rows is not None:
+            files = max(1, -(-rows // ROWS_PER_FILE))
+            df = df.repartition(files) if spread else df.coalesce(files)
         self.made += 1
         path = f"{self.base}/t{self.made}"
         df.write.mode("overwrite").parquet(path)
@@ -101,22 +110,22 @@ def hex_digits(rows: int, per_bucket: int = 500) -> int:
     return digits
 
 
-def connected(edges: DataFrame, staged: Staged, left: str = "node", right: str = "hub") -> DataFrame:
+def connected(edges: DataFrame, staged: Staged, rows: int, left: str = "node", right: str = "hub") -> DataFrame:
     """Smallest node reachable, for each node of the bipartite ``edges(node long, hub)``.
 
     Alternates hub minimum and node minimum, each a partial aggregate, with one
     pointer jump a round, until no label changes; every round is written out.
-    Returns (node, label).
+    ``rows`` bounds the edges. Returns (node, label).
     """
     edges = edges.select(F.col(left).alias("node"), F.col(right).alias("hub"))
-    labels = staged.write(edges.groupBy("hub").agg(F.min("node").alias("label")).join(edges, "hub").groupBy("node").agg(F.min("label").alias("label")))
+    labels = staged.write(edges.groupBy("hub").agg(F.min("node").alias("label")).join(edges, "hub").groupBy("node").agg(F.min("label").alias("label")), rows)
     while True:
         at_hub = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("label"))
         spread = edges.join(at_hub, "hub").groupBy("node").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = spread.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"))
         old = labels.withColumnRenamed("label", "was")
-        new = staged.write(moved.join(old, "node").select("node", "label", (F.col("label") != F.col("was")).alias("changed")))
+        new = staged.write(moved.join(old, "node").select("node", "label", (F.col("label") != F.col("was")).alias("changed")), rows)
         still = new.agg(F.max("changed")).first()[0]
         staged.drop(labels)
         labels = new

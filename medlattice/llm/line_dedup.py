@@ -53,7 +53,7 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     seen = split.filter("host <> ''").select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     totals = split.select("host").filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= min_pages)
     bad = seen.join(totals, "host").filter(F.col("n") > F.col("total") * F.lit(float(max_ratio))).groupBy("host").agg(F.collect_set("key").alias("bad"))
-    bad = Staged(pages.sparkSession, "line_dedup").write(bad)
+    bad = Staged(pages.sparkSession, "line_dedup").write(bad, pages.count())
     # sent to all tasks where few; else both sides are sorted, and Spark splits hot hosts
     few = (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= SEND_LINES
     out = split.join(F.broadcast(bad) if few else bad.hint("merge"), "host", "left").withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", _key(x)))))

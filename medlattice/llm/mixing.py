@@ -50,7 +50,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     made = ("size", "source_size", "target", "copies")
     sized = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], (word_count(text) if words is None else words).alias("size"))
     totals = narrow(sized, source, "size").groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    totals = Staged(docs.sparkSession, "mixing").write(totals)
+    totals = Staged(docs.sparkSession, "mixing").write(totals, 1)
     found = totals.agg(F.sum("n"), F.count(F.lit(1))).first()
     digits = hex_digits(found[0] or 0, 40_000)
     goal = targets(totals, weights, total, max_repeat).select(F.col("source").alias("_source"), "source_size", "target")

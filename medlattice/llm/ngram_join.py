@@ -6,12 +6,12 @@ document's component of links.
 
 1. Equal sets form a class; its smallest document stands for it.
 2. Candidates: a class keeps its SKETCH smallest hashes. Two linked classes share
-   at least ``share(n)`` of them: all sets of up to SKETCH shingles by counting,
-   larger ones but for a chance below 1e-10 (at least 14 of 48 draws at 0.75).
-   By the prefix principle they then share one of the rarest of these keys, so
-   only keys that several classes have, rarest first, connect clusters. A passage
-   that many documents share is never among the rarest unless it makes up a
-   third of a document.
+   at least ``least_shared(n)`` of them: sets whose union fits a sketch by
+   counting, larger ones but for a chance below 1e-10 (the tail of SKETCH draws
+   from their union, three quarters of which are shared). By the prefix principle
+   they then share one of the rarest of these keys, so only keys that several
+   classes have, rarest first, connect clusters. A passage that many documents
+   share is never among the rarest unless it makes up about half of a document.
 3. Within a cluster a signature tree is built over whole sets: leaves of like
    sizes, nodes with OR- and AND-combined bitmaps and size ranges. A dual
    traversal drops node pairs whose sizes or largest possible overlap rule a link
@@ -27,6 +27,8 @@ class. A null id belongs to no component.
 
 from __future__ import annotations
 
+from math import exp, lgamma
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import Staged, connected, narrow, table
 from .words import Block, U, blocks, gram_hashes, mix, signed
 
-WORDS, PERCENT, SKETCH, SHARE, CHUNK, PIVOTS, LEAF, BITS = 5, 75, 48, 14, 512, 48, 32, 2048
+WORDS, PERCENT, SKETCH, CHUNK, PIVOTS, LEAF, BITS = 5, 75, 96, 512, 32, 32, 2048
+#: Shingles of a chunk on average; long documents make smaller chunks.
+CHUNK_SHINGLES = 400_000
 #: Members of clusters that are sent to the scan; more are met by a shuffle join.
 SEND_ROWS = 200_000
 
@@ -66,8 +70,32 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
 
 
-def _share(n: Column) -> Column:
-    return F.least(F.lit(SHARE), F.ceil(n * PERCENT / 100))
+def least_shared(n: int, percent: int = PERCENT, sketch: int = SKETCH, risk: float = 1e-10) -> int:
+    """Fewest keys that the sketches of a set of n shingles and a linked one share, but for the risk."""
+    union, share = -(-n * 100 // percent), percent / 100
+    # a union that fits the sketch has n shingles at least, and all that are shared are seen
+    counted = -(-n * percent // 100) if n <= sketch else sketch
+    if union <= sketch:
+        return counted
+    good = int(union * share)
+    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    tail = 0.0
+    for x in range(max(0, sketch - (union - good)), sketch + 1):
+        tail += exp(choose(good, x) + choose(union - good, sketch - x) - choose(union, sketch))
+        if tail > risk:
+            return max(1, min(x, counted))
+    return 1
+
+
+def _share(n: Column, percent: int) -> Column:
+    """``least_shared`` by steps, each with the smallest value within it."""
+    exact = 64
+    out = F.lit(least_shared(1 << 30, percent))
+    for end in (1 << k for k in range(16, 6, -1)):
+        out = F.when(n <= end, F.lit(least_shared(end, percent))).otherwise(out)
+    for end in range(160, exact, -8):
+        out = F.when(n <= end, F.lit(min(least_shared(k, percent) for k in range(end - 7, end + 1)))).otherwise(out)
+    return F.when(n <= exact, F.ceil(n * percent / 100)).otherwise(out)
 
 
 class Tree:
@@ -197,18 +225,21 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chun
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = staged.write(_sketches(plain, words))
     classes = staged.write(every.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    rows = every.count()
 
     keys = classes.select("rep", F.explode("sketch").alias("key"))
     df = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = keys.join(df, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))  # at most SKETCH a class
     size = classes.groupBy("rep").agg(F.min("n").alias("n"))
-    rare = shared.join(size, "rep").withColumn("take", F.size("keys") - _share(F.col("n")).cast("int") + 1).filter("take > 0")
-    prefix = staged.write(rare.select("rep", F.explode(F.slice("keys", F.lit(1), F.col("take"))).alias("k")).select("rep", F.col("k.key").alias("key")))
+    rare = shared.join(size, "rep").withColumn("take", F.size("keys") - _share(F.col("n"), percent).cast("int") + 1).filter("take > 0")
+    prefix = staged.write(rare.select("rep", F.explode(F.slice("keys", F.lit(1), F.col("take"))).alias("k")).select("rep", F.col("k.key").alias("key")), SKETCH * rows)
     pivot = prefix.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = staged.write(prefix.join(pivot, "key").select(F.col("rep").alias("node"), F.col("pivot").alias("hub")).distinct())
-    cluster = connected(edges, staged).withColumnRenamed("label", "cluster")
-    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    members = staged.write(cluster.join(sizes, "cluster").filter("members > 1").select(F.col("node").alias("doc_id"), "cluster", F.ceil(F.col("members") / chunk).cast("int").alias("chunks"), "members"))
+    edges = staged.write(prefix.join(pivot, "key").select(F.col("rep").alias("node"), F.col("pivot").alias("hub")).distinct(), rows)
+    cluster = connected(edges, staged, edges.count()).withColumnRenamed("label", "cluster")
+    cluster = cluster.join(size.withColumnRenamed("rep", "node"), "node")
+    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    chunks = F.greatest(F.ceil(F.col("members") / chunk), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int")
+    members = staged.write(cluster.join(sizes, "cluster").filter("members > 1").select(F.col("node").alias("doc_id"), "cluster", chunks.alias("chunks"), "members", "total"), rows)
     staged.drop(prefix, edges)
 
     def with_sets(batches):
@@ -217,7 +248,8 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chun
                 sets = pa.array([s.tobytes() for s in shingle_sets(block, words)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3, 4)] + [sets], names=["doc_id", "cluster", "chunks", "members", "shingles"])
 
-    few = members.count() <= SEND_ROWS
+    n_members = members.count()
+    few = n_members <= SEND_ROWS
     met = plain.join(F.broadcast(members) if few else members, "doc_id").select("doc_id", "text", "cluster", "chunks", "members")
     sets = staged.write(met.mapInArrow(with_sets, "doc_id long, cluster long, chunks int, members long, shingles binary"))
 
@@ -225,14 +257,17 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chun
     own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     is_pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), "doc_id"), F.col("members")) < PIVOTS)
     parts = F.when(is_pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
-    first = staged.write(_tree_join(sets.withColumn("part", F.explode(parts)).withColumn("component", F.col("doc_id")), percent))
+    first = staged.write(_tree_join(sets.withColumn("part", F.explode(parts)).withColumn("component", F.col("doc_id")), percent), 2 * n_members, spread=True)
     large = members.filter("chunks > 1")
     roots = first.join(large.select("cluster").distinct(), "cluster", "left_anti").groupBy("doc_id").agg(F.min("root").alias("root"))
     if large.limit(1).count():
-        joined = connected(first.join(large.select("cluster").distinct(), "cluster", "left_semi").select(F.col("doc_id").alias("node"), F.col("root").alias("hub")), staged)
+        joined = connected(first.join(large.select("cluster").distinct(), "cluster", "left_semi").select(F.col("doc_id").alias("node"), F.col("root").alias("hub")), staged, 2 * n_members)
         state = large.join(joined.withColumnRenamed("node", "doc_id"), "doc_id")
         most = state.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("of"), F.max("n").alias("n"))
-        state = staged.write(state.join(most.withColumn("rest", F.ceil((F.col("of") - F.col("n")) / chunk).cast("int")).select("cluster", "main", "rest"), "cluster").filter("rest > 0"))
+        # as many parts of what is outside as its share of the cluster's chunks
+        rest = F.ceil((F.col("of") - F.col("n")) / F.col("of") * F.col("chunks")).cast("int")
+        most = most.join(large.select("cluster", "chunks").distinct(), "cluster").withColumn("rest", rest)
+        state = staged.write(state.join(most.select("cluster", "main", "rest"), "cluster").filter("rest > 0"), n_members)
         # what is outside the largest component meets every chunk
         outside = F.col("label") != F.col("main")
         pairs = lambda a, b: F.transform(a, lambda i: F.transform(b, lambda r: i * F.col("rest") + r))
@@ -240,10 +275,10 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chun
         mine, mine_rest = F.array(F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")), F.array(F.pmod(F.xxhash64(F.lit("rest"), "doc_id"), F.col("rest")).cast("int"))
         where = F.array_distinct(F.flatten(F.concat(pairs(mine, all_rest), F.when(outside, pairs(all_chunks, mine_rest)).otherwise(F.array().cast("array<array<int>>")))))
         again = sets.select("doc_id", "shingles").join(state.select("doc_id", "cluster", F.col("label").alias("component"), F.explode(where).alias("part")), "doc_id")
-        second = staged.write(_tree_join(again, percent).select(F.col("doc_id"), "root"))
+        second = staged.write(_tree_join(again, percent).select("doc_id", "root").distinct(), 2 * n_members, spread=True)
         # ties of the second pass join components, not documents
         ends = second.join(state.select("doc_id", "label"), "doc_id").select(F.col("label").alias("node"), F.col("root").alias("hub")).distinct()
-        merged = connected(ends, staged).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        merged = connected(ends, staged, n_members).select(F.col("node").alias("label"), F.col("label").alias("top"))
         final = joined.withColumnRenamed("node", "doc_id").join(merged, "label", "left").select("doc_id", F.least(F.col("label"), F.coalesce("top", "label")).alias("root"))
         roots = roots.unionByName(final)
     named = classes.select("n", "h1", "h2", "rep").join(roots, classes["rep"] == roots["doc_id"], "left").select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("root", "rep").alias("component_id"))

@@ -33,9 +33,9 @@ def _digits(col: Column, digits: int) -> Column:
     return F.substring(F.md5(col.cast("string")), 1, digits)
 
 
-def propagate(blocks: DataFrame, room: int, shards: int, rounds: int, staged: Staged) -> DataFrame:
+def propagate(blocks: DataFrame, room: int, shards: int, rounds: int, staged: Staged, bound: int) -> DataFrame:
     """blocks(hub, shard, n) after label propagation with at most about ``room`` linked rows a shard."""
-    blocks = staged.write(blocks)
+    blocks = staged.write(blocks, bound)
     size = hex_digits(blocks.count())
     for _ in range(rounds):
         load = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
@@ -49,7 +49,7 @@ def propagate(blocks: DataFrame, room: int, shards: int, rounds: int, staged: St
         parts = asked.filter("to is null").select("hub", "shard", "n", F.lit(0).alias("moved"))
         parts = parts.unionByName(granted.select("hub", "shard", (F.col("n") - F.col("a")).alias("n"), F.lit(0).alias("moved")))
         parts = parts.unionByName(granted.select("hub", F.col("to").alias("shard"), F.col("a").alias("n"), F.when(F.col("a") > 0, 1).otherwise(0).alias("moved")))
-        after = staged.write(parts.filter("n > 0").groupBy("hub", "shard").agg(F.sum("n").cast("long").alias("n"), F.max("moved").alias("moved")))
+        after = staged.write(parts.filter("n > 0").groupBy("hub", "shard").agg(F.sum("n").cast("long").alias("n"), F.max("moved").alias("moved")), bound)
         still = after.agg(F.max("moved")).first()[0]
         staged.drop(blocks)
         blocks = after.select("hub", "shard", "n")
@@ -71,7 +71,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id: s
     start = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
     linked = base.filter("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     blocks = base.join(linked, "hub", "left_semi").groupBy("hub", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    blocks = propagate(blocks, rows // shards, shards, rounds, staged)
+    blocks = propagate(blocks, rows // shards, shards, rounds, staged, rows)
 
     # a shard over its quota gives up rows, small blocks first
     load = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
@@ -89,7 +89,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id: s
     placed = members.join(stretches, "hub").withColumn("shard", F.expr(f"aggregate(kept, named_struct('seen', 0L, 'shard', cast(null as int)), (s, x) -> {step}, s -> s.shard)"))
     alone = drawn.join(stretches.select("hub"), "hub", "left_anti").withColumn("shard", F.lit(None).cast("int"))
     columns = ["doc_id", "size", "text_crc32", "draw", "shard"]
-    all_rows = staged.write(placed.select(*columns).unionByName(alone.select(*columns)))
+    all_rows = staged.write(placed.select(*columns).unionByName(alone.select(*columns)), rows)
 
     # loose rows fill what is missing of each shard's quota
     load = {r["shard"]: r["n"] for r in all_rows.filter("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}

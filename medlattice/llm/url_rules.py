@@ -55,9 +55,9 @@ def _matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return posted.join(rules, "posted").filter(F.size(F.array_except("rule_tokens", "tokens")) == 0).select("id", "rule_id")
 
 
-def mine(labelled: DataFrame, staged: Staged, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, staged: Staged, bound: int, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Rules (rule_id, rule_tokens, posted, support, confidence) of labelled(id, tokens, bad boolean)."""
-    labelled = staged.write(labelled.filter(F.size("tokens") > 0))
+    labelled = staged.write(labelled.filter(F.size("tokens") > 0), bound)
     n_bad = labelled.filter("bad").count()
     schema = "rule_id long, rule_tokens array<string>, posted string, support long, confidence double"
     if n_bad < min_count:
@@ -67,10 +67,10 @@ def mine(labelled: DataFrame, staged: Staged, min_support: float = MIN_SUPPORT,
     sets = sets.select("rule_tokens", "support", F.xxhash64("rule_tokens").alias("rule_id"))
     spread = labelled.select(F.explode("tokens").alias("posted")).groupBy("posted").agg(F.count(F.lit(1)).alias("df"))
     rarest = sets.select("rule_id", F.explode("rule_tokens").alias("posted")).join(spread, "posted").groupBy("rule_id").agg(F.min(F.struct("df", "posted")).alias("least"))
-    sets = staged.write(sets.join(rarest, "rule_id").select("rule_id", "rule_tokens", F.col("least.posted").alias("posted"), "support"))
+    sets = staged.write(sets.join(rarest, "rule_id").select("rule_id", "rule_tokens", F.col("least.posted").alias("posted"), "support"), bound)
     held = _matches(labelled.select("id", "tokens"), sets).groupBy("rule_id").agg(F.count(F.lit(1)).alias("all"))
     good = sets.join(held, "rule_id").withColumn("confidence", F.col("support") / F.col("all")).filter(F.col("confidence") >= min_confidence).drop("all")
-    good = staged.write(good.select("rule_id", "rule_tokens", "posted", "support", "confidence"))
+    good = staged.write(good.select("rule_id", "rule_tokens", "posted", "support", "confidence"), bound)
     wider = _matches(good.select(F.col("rule_id").alias("id"), F.col("rule_tokens").alias("tokens")), good).filter("id <> rule_id").select(F.col("id").alias("rule_id")).distinct()
     return good.join(wider, "rule_id", "left_anti")
 
@@ -81,8 +81,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=EXPLICIT, **limits) -> Data
     h, p = F.coalesce(host(F.col("url")), F.lit("")), F.coalesce(path(F.col("url")), F.lit(""))
     split = pages.select("page_id", h.alias("host"), p.alias("path"))
     split = split.withColumn("tokens", tokens(F.col("host"), F.col("path"))).withColumn("id", F.xxhash64("host", "path"))
+    bound = pages.count()
     bad = labels.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    mined = staged.write(mine(split.join(bad, "page_id").select("id", "tokens", "bad"), staged, **limits))
+    mined = staged.write(mine(split.join(bad, "page_id").select("id", "tokens", "bad"), staged, bound, **limits), bound)
     distinct = split.select("id", "tokens").dropDuplicates(["id"])
     hit = _matches(distinct, mined).groupBy("id").agg(F.min("rule_id").alias("mined"))
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
