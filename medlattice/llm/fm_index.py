@@ -150,7 +150,8 @@ class FMIndex:
                 live -= 1
             at = first[:live] + ordered[:live] - 1 - t
             c, a, b, k = code[at], lo[:live], hi[:live], size[:live]
-            ra, rb = self.wavelet.rank(c, a), self.wavelet.rank(c, b)
+            both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([a, b]))
+            ra, rb = both[:live], both[live:]
             base = self.before[c]
             grows = (ra < rb) & (c > 0)
             na, nb, nk = np.where(grows, base + ra, 0), np.where(grows, base + rb, self.n), np.where(grows, k + 1, 0)

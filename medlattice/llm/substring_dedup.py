@@ -7,10 +7,11 @@ over it also starts in a document with a smaller id.
    windows have equal anchors. Windows whose anchor only one document has can't
    repeat and are left out.
 2. A run of windows with one anchor is a segment, and its anchor names its shard.
-   Of the windows of all segments only first occurrences of repeated ones are
-   worth indexing: a segment goes into its shard's FM-index if its document is
-   the smallest of at least one repeated window. A passage of a third of all
-   documents is so indexed once.
+   Of the windows of all segments only first occurrences are worth indexing: a
+   segment goes into its shard's FM-index if its document is the smallest of at
+   least one repeated window. A shard with many segments is read in parts, each
+   of which offers its own first ones; a passage of a third of all documents is
+   so indexed once a part.
 3. All segments are streamed backwards through their shard's index. Matching
    statistics of WINDOW words or more, with an owner smaller than the segment's
    document, are intervals to remove. Shards with many segments are searched by
@@ -36,8 +37,10 @@ from .fm_index import FMIndex
 from .words import Block, U, blocks, gram_hashes, signed, sliding_min
 
 WINDOW, GRAM = 50, 8
-#: Words of one FM-index, segments that one task searches, and documents or anchors that are sent to all tasks.
-INDEX_WORDS, TASK_SEGMENTS, SEND_DOCS, SEND_ANCHORS = 150_000, 6000, 200_000, 3_000_000
+#: Words of one FM-index, segments of a shard on average and of one task at most, and documents or anchors that are sent to all tasks.
+INDEX_WORDS, SHARD_SEGMENTS, TASK_SEGMENTS, SEND_DOCS, SEND_ANCHORS = 150_000, 8_000, 20_000, 200_000, 3_000_000
+#: Patterns searched in lock-step, and windows of one; longer segments are searched in overlapping pieces.
+LANES, PIECE = 8000, 96
 
 
 def _anchors(block: Block, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,28 +91,60 @@ def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long, start int, windows int, words binary")
 
 
-def _hashes(words: list[bytes]) -> list[np.ndarray]:
+def _block(words: list[bytes]) -> Block:
     data = b"\n".join(words)
     offsets = np.cumsum([0, *(len(w) + 1 for w in words)])
     offsets[-1] = len(data)
-    block = Block(np.frombuffer(data, np.uint8), offsets.astype(np.int64))
+    return Block(np.frombuffer(data, np.uint8), offsets.astype(np.int64))
+
+
+def _hashes(words: list[bytes]) -> list[np.ndarray]:
+    block = _block(words)
     return [block.hashes[a:b] for a, b in zip(block.first[:-1], block.first[1:], strict=True)]
 
 
-def _window_keys(segments: DataFrame, window: int) -> DataFrame:
-    """(anchor, window, doc_id) for every window of every segment."""
+def _groups(batches, columns: int):
+    """(key, rows) of runs of rows that agree in their first two columns, across batches."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+            if row[:2] != now:
+                if held:
+                    yield now, held
+                now, held = row[:2], []
+            held.append(row)
+    if held:
+        yield now, held
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = _hashes(batch.column(2).to_pylist())
-            keys = [np.unique(gram_hashes(w, window)) for w in words]
-            n = [len(k) for k in keys]
-            anchor, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, n)), pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(doc, n))], names=["anchor", "window", "doc_id"])
 
-    return segments.select("anchor", "doc_id", "words").mapInArrow(run, "anchor long, window long, doc_id long")
+def _first_segments(rows: DataFrame, window: int) -> DataFrame:
+    """(shard, doc_id, start, words): segments whose document is the smallest of a window, in each (shard, part) of rows.
+
+    Equal windows have one anchor and so one shard. Where a shard is one part,
+    windows of a single document are left out.
+    """
+
+    def run(batches):
+        for (shard, _), held in _groups(batches, 6):
+            block = _block([h[5] for h in held])
+            sizes = np.diff(block.first)
+            owner = np.repeat(np.arange(len(held)), sizes)
+            keys = gram_hashes(block.hashes, window)
+            at = np.flatnonzero(owner[: len(keys)] == owner[window - 1 :])
+            keys, owner = keys[at], owner[at]
+            doc = np.array([h[3] for h in held], np.int64)[owner]
+            order = np.lexsort((doc, keys))
+            keys, owner, doc = keys[order], owner[order], doc[order]
+            begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            size = np.diff(np.append(begin, len(keys)))
+            good = np.repeat((doc[begin] < doc[begin + size - 1]) | (held[0][2] > 1), size) & (doc == np.repeat(doc[begin], size))
+            chosen = np.unique(owner[good])
+            if len(chosen):
+                own = [held[i] for i in chosen]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own), pa.int64()), pa.array([h[3] for h in own], pa.int64()), pa.array([h[4] for h in own], pa.int32()), pa.array([h[5] for h in own], pa.binary())], names=["shard", "doc_id", "start", "words"])
+
+    ordered = rows.select("shard", "part", "parts", "doc_id", "start", "words").repartition("shard", "part").sortWithinPartitions("shard", "part")
+    return ordered.mapInArrow(run, "shard long, doc_id long, start int, words binary")
 
 
 def _search(rows: DataFrame, window: int) -> DataFrame:
@@ -118,13 +153,22 @@ def _search(rows: DataFrame, window: int) -> DataFrame:
     def search(indexes, held):
         if not indexes or not held:
             return None
-        patterns = _hashes([h[2] for h in held])
-        best = None
+        # equal segments of several documents are searched once
+        number: dict[bytes, int] = {}
+        which = [number.setdefault(h[2], len(number)) for h in held]
+        words = _hashes(list(number))
+        pieces, place = [], []
+        for k, w in enumerate(words):
+            for a in range(0, len(w) - window + 1, PIECE):
+                pieces.append(w[a : a + PIECE + window - 1])
+                place.append((k, a))
+        best = [np.full(len(w), np.iinfo(np.int64).max) for w in words]
         for fm in indexes:
-            own = fm.smallest_owners(patterns)
-            best = own if best is None else [np.minimum(x, y) for x, y in zip(best, own, strict=True)]
+            for (k, a), own in zip(place, fm.smallest_owners(pieces), strict=True):
+                n = min(PIECE, len(own))
+                np.minimum(best[k][a : a + n], own[:n], out=best[k][a : a + n])
         docs, begins, ends = [], [], []
-        for (doc, start, _), own in zip(held, best, strict=True):
+        for (doc, start, _), own in zip(held, (best[k] for k in which), strict=True):
             hit = np.flatnonzero(own < doc)
             if len(hit):
                 gap = np.flatnonzero(np.diff(hit) > window)
@@ -161,7 +205,7 @@ def _search(rows: DataFrame, window: int) -> DataFrame:
                 else:
                     build()
                     held.append((doc, start, words))
-                    if len(held) >= 2000:
+                    if len(held) >= LANES:
                         if (out := search(indexes, held)) is not None:
                             yield out
                         held = []
@@ -179,23 +223,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     docs = docs.filter("doc_id is not null and text is not null")
     anchors = staged.write(_document_anchors(docs, window, gram))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    wanted = staged.write(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    wanted = staged.write(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), docs.count())
     size = wanted.agg(F.count(F.lit(1)), F.sum(F.size("anchors"))).first()
     few = size[0] <= SEND_DOCS and (size[1] or 0) <= SEND_ANCHORS
     met = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "anchors")
     segments = staged.write(_segments(met, window, gram))
     staged.drop(anchors, wanted)
 
-    firsts = _window_keys(segments, window).groupBy("anchor", "window").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id < last").select("anchor", "doc_id").distinct()
-    indexed = staged.write(segments.join(firsts, ["anchor", "doc_id"], "left_semi"))
-    shards = max(1, -(-(indexed.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0) // INDEX_WORDS))
+    shards = max(1, -(-segments.count() // SHARD_SEGMENTS))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    parts = segments.groupBy(shard.alias("shard")).agg(F.ceil(F.count(F.lit(1)) / TASK_SEGMENTS).cast("int").alias("parts"))
-    index = indexed.withColumn("shard", shard).join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(0))
-    stream = segments.withColumn("shard", shard).join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")).withColumn("kind", F.lit(1))
+    parts = staged.write(segments.groupBy(shard.alias("shard")).agg(F.ceil(F.count(F.lit(1)) / TASK_SEGMENTS).cast("int").alias("parts")), shards)
+    part = F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")
+    stream = segments.withColumn("shard", shard).join(parts, "shard").withColumn("part", part).withColumn("kind", F.lit(1))
+    indexed = staged.write(_first_segments(stream, window))
+    index = indexed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(0))
     columns = ["shard", "part", "kind", "doc_id", "start", "words"]
     found = _search(index.select(*columns).unionByName(stream.select(*columns)), window)
-    return staged.write(found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")))
+    return staged.write(found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), size[0])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
