@@ -20,23 +20,31 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
-def field(record: Column, names: list[str], loose: bool = True) -> Column:
-    """Value of the first key that fits one of ``names``, trimmed; empty if none does.
+def entries(record: Column) -> Column:
+    """Filled entries of a record with their keys in all forms that ``field`` compares; make it a column once."""
+    forms = lambda e: F.struct(e["key"].alias("key"), F.trim(F.lower(e["key"])).alias("low"), _spaced(e["key"]).alias("spaced"), _bare(e["key"]).alias("bare"), F.trim(e["value"]).alias("value"))
+    return F.transform(F.filter(F.map_entries(record), lambda e: F.trim(blank(e["value"])) != ""), forms)
+
+
+def field(pairs: Column, names: list[str], loose: bool = True) -> Column:
+    """Value of the first of ``entries`` whose key fits one of ``names``; empty if none does.
 
     Tiers: the exact key, the key in any case, a key that holds a name, and
     (``loose``) containment of the letters and digits either way. The first two
-    follow the order of ``names``; the others that of the record's keys.
+    follow the order of ``names``; the others that of the record's keys. The
+    forms of the names are literals, so a key costs comparisons only.
     """
-    pairs = F.filter(F.map_entries(record), lambda e: F.trim(blank(e["value"])) != "")
-    wanted = F.array(*[F.lit(n) for n in names])
-    value = lambda found: F.trim(F.get(found, 0)["value"])
-    by_name = lambda same: F.get(F.filter(F.transform(wanted, lambda n: value(F.filter(pairs, lambda e: same(e["key"], n)))), lambda v: v.isNotNull()), 0)
-    by_key = lambda fits: value(F.filter(pairs, lambda e: F.exists(wanted, lambda n: fits(e["key"], n))))
-    exact = by_name(lambda k, n: k == n)
-    cased = by_name(lambda k, n: F.trim(F.lower(k)) == F.trim(F.lower(n)))
-    inside = by_key(lambda k, n: F.contains(_spaced(k), _spaced(n)))
-    bare = by_key(lambda k, n: (_bare(k) != "") & (_bare(n) != "") & (F.contains(_bare(k), _bare(n)) | F.contains(_bare(n), _bare(k))))
-    return F.coalesce(exact, cased, inside, *([bare] if loose else []), F.lit(""))
+    texts = lambda ts: F.array(*[F.lit(t) for t in ts])
+    low, spaced = [n.lower().strip() for n in names], [n.lower().replace("_", " ").replace("-", " ") for n in names]
+    bare = [t for t in ("".join(c for c in n.lower() if c.isascii() and c.isalnum()) for n in names) if t]
+
+    def best(form: str, forms: list[str]) -> Column:
+        ranks = F.transform(pairs, lambda e: F.struct(F.array_position(texts(forms), e[form]).alias("rank"), e["value"].alias("value")))
+        return F.array_min(F.filter(ranks, lambda r: r["rank"] > 0))["value"]
+
+    inside = F.get(F.filter(pairs, lambda e: F.exists(texts(spaced), lambda n: F.contains(e["spaced"], n))), 0)["value"]
+    either = F.get(F.filter(pairs, lambda e: (e["bare"] != "") & F.exists(texts(bare), lambda n: F.contains(e["bare"], n) | F.contains(n, e["bare"]))), 0)["value"]
+    return F.coalesce(best("key", names), best("low", low), inside, *([either] if loose else []), F.lit(""))
 
 
 def strict_field(record: Column, names: list[str]) -> Column:

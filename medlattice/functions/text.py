@@ -229,3 +229,41 @@ def whole_word(text: Column, term: str) -> Column:
     import re
 
     return text.rlike("\\b" + re.sub(r"([^A-Za-z0-9 ])", r"\\\1", term) + "\\b")
+
+
+#: Units that belong to the number before them.
+NUMBER_UNITS = ("billion", "cfu", "g", "gm", "iu", "kg", "l", "mcg", "meq", "mg", "million", "ml", "mmol", "mol", "ng", "unit", "units", "ug", "wv")
+
+
+def lexicon_name(c: Column) -> Column:
+    """Words of a name with numbers joined to their units, spelled letters joined, and bare numbers dropped."""
+    t = F.concat(F.lit(" "), words(c), F.lit(" "))
+    t = F.regexp_replace(t, f"(?<= )(\\d+) (?=(?:{'|'.join(NUMBER_UNITS)}) )", "$1")
+    t = F.regexp_replace(t, "(?<= )(\\d+) (?=\\d+[a-z])", "$1")
+    t = F.regexp_replace(t, "(?<= [a-z]) (?=[a-z] )", "\u0001")
+    t = F.regexp_replace(F.regexp_replace(t, "(?<=\u0001[a-z]) (?=[a-z] )", "\u0001"), "\u0001", "")
+    t = F.regexp_replace(t, "(?<= )([a-z]) (?=[a-z]+\\d+ )", "$1")
+    return collapse(F.regexp_replace(t, "(?<= )\\d+(?= )", ""))
+
+
+def is_junk_cell(c: Column) -> Column:
+    """Nothing, a lone mark or number, or hardly any ASCII."""
+    t = clean_cell(c)
+    return (t == "") | t.rlike("^[\\W\\d_]+$") | (share_of(t, "[\\x00-\\x7F]") < 0.5)
+
+
+def header_signature(cells: Column, names: dict[str, str] | None = None) -> Column:
+    """Canonical header of a table: words of each cell, replaced by a dictionary, joined by |."""
+    pairs = [F.lit(x) for kv in (names or {"": ""}).items() for x in kv]
+    return F.array_join(F.transform(cells, lambda c: F.coalesce(F.try_element_at(F.create_map(*pairs), words(c)), words(c))), "|")
+
+
+def near(text: Column, patterns: list[str], within: int = 200) -> Column:
+    """Whether the first matches of all patterns lie within a span of ``within`` characters."""
+    t = blank(text)
+    starts = [F.regexp_instr(t, F.lit(p)) for p in patterns]
+    ends = [s + F.length(F.regexp_extract(t, p, 0)) for s, p in zip(starts, patterns, strict=True)]
+    found = starts[0] > 0
+    for s in starts[1:]:
+        found = found & (s > 0)
+    return found & (F.greatest(*ends) - F.least(*starts) <= within) if len(patterns) > 1 else found

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.driver import Domain
-from . import search
+from . import docs, extras, pages, runs, search, staging
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+__all__ = ["ORACLE_SQL", "QUERIES", "docs", "extras", "flagship", "pages", "runs", "staging"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,184 @@
+"""Search, assessment, resolution, validation, ingest and runs on small inputs."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from medlattice.operators import assemble, assess, classify, ingest, resolve, runs, search, stage, validate
+
+GOLDEN = {
+    "source_organization": "CDSCO", "source_document_id": "DOC-1", "publication_date": "2024-01-15", "document_type": "NSQ_STATE",
+    "records": [
+        {"page_number": 1, "table_number": 1, "product_name": "Paracetamol Tablets", "dosage_form": "TABLET", "strength": "500 mg", "batch_number": "B1", "manufactured_by": "Acme Pvt Ltd", "state": "Goa", "reporting_organization": "State Lab", "nsq_result": "Fails assay", "reason": "Fails assay", "status": "NSQ"},
+        {"page_number": 1, "table_number": 1, "product_name": "Ibuprofen Tablets", "dosage_form": "TABLET", "strength": "200 mg", "batch_number": "B2", "manufactured_by": "Beta Ltd", "state": "Goa", "reporting_organization": "State Lab", "reason": "Dissolution", "status": "NSQ"},
+        {"page_number": 1, "table_number": 1, "product_name": "", "batch_number": "B3", "manufactured_by": "Gamma", "reason": "Unreadable", "status": "NSQ"},
+    ],
+}
+
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    files = spark.createDataFrame([("golden.json", "s3://x/golden.json", json.dumps(GOLDEN)), ("bad.json", "s3://x/bad.json", "{not json")], "filename string, path string, content string")
+    docs = resolve.parsed_documents(files)
+    assert docs.filter("error is not null").select("filename").collect()[0][0] == "bad.json"
+    return {k: v.cache() for k, v in stage.staging(resolve.resolved(resolve.extracted(docs.filter("error is null").drop("error")))).items()}
+
+
+def test_golden_document(staged):
+    n = {k: v.count() for k, v in staged.items()}
+    assert (n["regulatory_documents"], n["raw_source_records"], n["regulatory_events"], n["normalization_manifest"], n["products"], n["batches"]) == (1, 3, 3, 3, 2, 2)
+    assert n["organizations"] >= 2
+    status = {r[0]: r[1] for r in staged["normalization_manifest"].groupBy("normalization_status").count().collect()}
+    assert status == {"COMPLETE": 2, "NEEDS_REVIEW": 1}
+
+
+def test_golden_document_is_valid(staged):
+    assert validate.problems(staged).collect() == []
+    assert validate.reconciliation(staged["normalization_manifest"]).first().balanced
+
+
+def test_ingest_twice_adds_nothing(staged):
+    valid = validate.validated(staged)
+    empty = {k: v.limit(0) for k, v in staged.items()}
+    first = ingest.plan_ingest(valid, empty)
+    assert first["regulatory_events"].count() == 3 and first["products"].count() == 2
+    assert all(df.count() == 0 for df in ingest.plan_ingest(valid, staged).values())
+
+
+def test_orphans_and_lineage_are_found(spark, staged):
+    broken = staged | {"products": staged["products"].limit(0), "raw_source_records": staged["raw_source_records"].withColumn("source_text", F.lit("nothing"))}
+    checks = {r.check_name for r in validate.problems(broken).collect()}
+    assert {"orphan", "lineage"} <= checks
+
+
+def test_mutated_batch_changes_only_its_key(spark):
+    def keys_of(batch):
+        g = json.loads(json.dumps(GOLDEN))
+        g["records"][0]["batch_number"] = batch
+        f = spark.createDataFrame([("g.json", "p", json.dumps(g))], "filename string, path string, content string")
+        return resolve.resolved(resolve.extracted(resolve.parsed_documents(f))).orderBy("position").select("product_key", "maker_key", "batch_key").first()
+
+    a, b = keys_of("B1"), keys_of("B9")
+    assert a.product_key == b.product_key and a.maker_key == b.maker_key and a.batch_key != b.batch_key
+
+
+PRODUCTS = [(1, "Crocin 500", "Crocin", "crocin 500", "Tablet", "500 mg"), (2, "Panadol Extra", "Panadol", "panadol extra", "Tablet", "650 mg"), (3, "Calpol Syrup", "Calpol", "calpol syrup", "Syrup", "120 mg"), (4, "Dolo", "Dolo", "dolo", "Tablet", "650 mg")]
+
+
+@pytest.fixture(scope="module")
+def shelf(spark):
+    p = spark.createDataFrame(PRODUCTS, "id long, product_name string, brand_name string, normalized_search_name string, dosage_form string, strength string")
+    o = spark.createDataFrame([(i, "Acme Labs", "acme labs") for i in (1, 2, 3, 4)], "product_id long, name string, normalized_name string")
+    i = spark.createDataFrame([(i, "Paracetamol", "paracetamol", "500 mg") for i in (1, 2, 3, 4)], "product_id long, name string, normalized_name string, strength_text string")
+    b = spark.createDataFrame([(1, "B-123"), (1, "B-456"), (2, "C-123")], "product_id long, batch_number string")
+    return p, o, i, b
+
+
+def find(shelf, **fields):
+    return search.top(search.scored(*shelf, fields), 10).collect()
+
+
+def test_exact_partial_and_missing(shelf):
+    r = find(shelf, name="Crocin")
+    assert [(x.id, x.match_type, x.relevance) for x in r] == [(1, "EXACT", 100)]
+    assert [(x.id, x.match_type) for x in find(shelf, name="panad")] == [(2, "PARTIAL")]
+    assert find(shelf, name="zzz") == [] and find(shelf) == []
+
+
+def test_wildcards_are_plain_characters(shelf):
+    assert find(shelf, name="%") == [] and find(shelf, name="_") == []
+
+
+def test_batch_and_strength_filters(shelf):
+    assert [x.id for x in find(shelf, batch_number="B-123")] == [1]
+    assert {x.id for x in find(shelf, strength="650mg")} == {2, 4}
+
+
+def test_ingredient_typo_is_fuzzy(spark):
+    p = spark.createDataFrame([(1, "Paracetamol 500", "P", "paracetamol 500", "Tablet", "500 mg")], "id long, product_name string, brand_name string, normalized_search_name string, dosage_form string, strength string")
+    none = spark.createDataFrame([], "product_id long, name string, normalized_name string, strength_text string")
+    r = search.top(search.scored(p, none, none, none, {"name": "Paracetmol"}), 10).collect()
+    assert r[0].match_type == "FUZZY" and 60 < r[0].relevance < 80
+
+
+def test_limit_tells_more(shelf):
+    r = search.top(search.scored(*shelf, {"ingredient": "paracetamol"}), 2).collect()
+    assert [x.id for x in r] == [3, 1] and all(x.has_more for x in r)
+
+
+EVENT = "product_id long, event_type string, scope string, status string, legal_status string, reason string, batch_number string, document_id long, at int"
+
+
+def verdict(spark, *events):
+    p = spark.createDataFrame([(1,)], "id long")
+    e = spark.createDataFrame([(1, *e) for e in events], EVENT)
+    r = assess.assessed(p, e, ["at"]).first()
+    return r.indicator, r.template_id, r.summary
+
+
+def test_assessment_order(spark):
+    ok = ("NSQ", "BATCH", None, None, "assay", "B1", 1, 1)
+    assert verdict(spark)[0:2] == ("GREEN", "NO_MATCHING_ALERT")
+    assert verdict(spark, ("NSQ", "DOCUMENT", None, None, None, None, 1, 1))[1] == "UNCLEAR_EVENT_SCOPE"
+    assert verdict(spark, ok, ("NSQ", "PRODUCT", None, "stayed", None, None, 1, 2))[1] == "UNCLEAR_LEGAL_STATUS"
+    assert verdict(spark, ("X", "PRODUCT", None, "PROHIBITED", None, None, None, 1))[1] == "UNSUPPORTED_LEGAL_RESTRICTION"
+    assert verdict(spark, ok, ("X", "PRODUCT", None, "PROHIBITED", None, None, 1, 2))[0] == "RED"
+    assert verdict(spark, ("APPROVAL", "PRODUCT", None, None, None, None, 1, 1))[1] == "INSUFFICIENT_REGULATORY_EVIDENCE"
+    i, t, s = verdict(spark, ok)
+    assert (i, t) == ("YELLOW", "REGULATORY_CONCERN") and s == "A batch-level regulatory concern is recorded for batch B1. Reason recorded: assay. Review the official source record for details."
+    assert verdict(spark, ("QUALITY_ALERT", "BATCH", None, None, None, None, 1, 1))[1] == "BATCH_QUALITY_ALERT"
+
+
+def test_records_from_rows(spark):
+    rows = spark.createDataFrame([("d", 1, ["S No", "Name", "Batch No"]), ("d", 2, ["1.", "Para", "B1"]), ("d", 3, ["", "cetamol", ""]), ("d", 4, ["Remarks: seen", "", ""]), ("d", 5, ["2", "Other", "B2"]), ("d", 6, ["page 1 of 2", "", ""])], "doc string, n int, cells array<string>")
+    out = {(r.record, r.column): (r.value, r.remark) for r in assemble.assembled(rows, "doc", ["n"]).collect()}
+    assert out[1, 1] == ("Para cetamol", "seen") and out[2, 1] == ("Other", None) and (0, 1) not in out
+
+
+def test_sequence(spark):
+    lines = spark.createDataFrame([(1, 1, "1. one"), (1, 2, "more"), (1, 3, "7. not next"), (1, 4, "2. two")], "doc long, n long, text string")
+    out = assemble.in_sequence(lines, "doc", "n", "doc long, number long, text string").orderBy("number").collect()
+    assert [(r.number, r.text) for r in out] == [(1, "one more 7. not next"), (2, "two")]
+
+
+def test_keyword_score_caps_counts(spark):
+    s = spark.range(1).select(classify.keyword_score(F.lit("NSQ nsq nsq nsq nsq nsq nsq")).alias("s")).first().s
+    assert s.score == pytest.approx(25 / 40)
+
+
+def test_header_categories():
+    assert classify.header_category_of("Name of Drug") == "drug_name_column"
+    assert classify.header_category_of("Batch No.") == "batch_column"
+    assert classify.header_category_of("") is None and classify.header_category_of("zzz") is None
+
+
+def test_lexicon_keeps_the_longest(spark):
+    docs = spark.createDataFrame([(1, "Took Amoxy Clav today"), (2, "nothing")], "doc_id long, text string")
+    names = spark.createDataFrame([("amoxy",), ("amoxy clav",)], "name string")
+    assert [(r.doc_id, r.name) for r in classify.lexicon_matches(docs, names).collect()] == [(1, "amoxy clav")]
+
+
+def test_overlapping_terms_count_once(spark):
+    docs = spark.createDataFrame([(1, "A drug safety alert and a recall"), (2, "")], "doc_id long, text string")
+    out = classify.distinct_event_terms(docs, ("safety alert", "drug safety alert", "recall")).collect()
+    assert [(r.doc_id, r.n) for r in out] == [(1, 2)]
+
+
+def test_approvals_fold(spark):
+    a = spark.createDataFrame([("r", 1, "request", "a"), ("r", 2, "reject", "b"), ("r", 3, "approve", "c"), ("r", 4, "ingest", "d"), ("r", 5, "reject", "e"), ("s", 1, "approve", "x")], "run_id string, at int, action string, actor string")
+    assert {r.run_id: (r.status, r.decided_by) for r in runs.approvals(a).collect()} == {"r": ("ingested", "c"), "s": (None, None)}
+
+
+def test_watermark_keeps_known_and_undated(spark):
+    stored = spark.createDataFrame([("s", "2024-01-05", 1)], "src string, day string, k int")
+    rows = spark.createDataFrame([("s", "2024-01-01", 1), ("s", "2024-01-05", 2), ("s", "2024-01-06", 3), ("s", None, 4), ("t", "2020-01-01", 5)], "src string, day string, k int")
+    assert sorted(r.k for r in runs.after_watermark(rows, stored, "src", "day", "k").collect()) == [1, 3, 4, 5]
+
+
+def test_lean_profile_keeps_duplicate_batches(spark):
+    g = json.loads(json.dumps(GOLDEN))
+    g["records"] = [g["records"][0], dict(g["records"][0], reason="again")]
+    f = spark.createDataFrame([("g.json", "p", json.dumps(g))], "filename string, path string, content string")
+    r = resolve.resolved(resolve.extracted(resolve.parsed_documents(f)))
+    assert stage.staging(r)["batches"].count() == 1 and stage.staging(r, lean=True)["batches"].count() == 2
