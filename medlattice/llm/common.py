@@ -33,6 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def _remove_local(path: str) -> None:
+    """At the session's end, where the folder is local; other stores clean up by their own rules."""
+    if path.startswith(("/", "file:")):
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 class Staged:
     """Intermediate tables of one operator call, written as Parquet to the shared folder.
 
@@ -44,6 +50,7 @@ class Staged:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/medlattice/{operator}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        atexit.register(_remove_local, self.base)
 
     def write(self, df: DataFrame, rows: int | None = None, spread: bool = False) -> DataFrame:
         """df as a table. ``rows``, a bound of its rows, keeps a small result from many files.
