@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Staged, hex_digits, narrow, prefix_sums, ranked, table
 
-SHARDS, ROUNDS = 16, 8
+SHARDS, ROUNDS = 16, 16
 
 
 def _pick(values: list[int]) -> Column:
@@ -41,8 +41,13 @@ def propagate(blocks: DataFrame, room: int, shards: int, rounds: int, staged: St
         load = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [max(0, room - load.get(s, 0)) for s in range(shards)]
         held = F.element_at(_pick(free), F.col("shard") + 1)
-        votes = blocks.groupBy("hub").agg(F.max(F.when(held > 0, F.struct(F.col("n"), F.xxhash64("hub", "shard").alias("tie"), F.col("shard").alias("to")))).alias("best"))
-        asked = blocks.join(votes, "hub").select("hub", "shard", "n", F.when((F.col("best.to") != F.col("shard")) & (F.col("best.n") >= F.col("n")) & ((F.col("best.n") > F.col("n")) | (F.col("best.tie") > F.xxhash64("hub", "shard"))), F.col("best.to")).alias("to"))
+        votes = blocks.groupBy("hub").agg(F.max(F.when(held > 0, F.struct(F.col("n"), F.xxhash64("hub", "shard").alias("tie"), F.col("shard").alias("to")))).alias("best"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"))
+        # a small group moves whole, to the roomiest shard if its own are full; a large one towards its larger blocks
+        small = F.col("members") <= max(2, room // 16)
+        roomy = max(range(shards), key=lambda s: (free[s], -s))
+        stuck = F.col("best").isNull() & (F.col("parts") > 1) & small & F.lit(free[roomy] > 0)
+        joins = (F.col("best.to") != F.col("shard")) & (small | (F.col("n") <= F.col("best.n")))
+        asked = blocks.join(votes, "hub").select("hub", "shard", "n", F.when(stuck, F.lit(roomy)).when(joins, F.col("best.to")).alias("to"))
         order = F.concat(F.lpad((64 - F.length(F.bin("n"))).cast("string"), 2, "0"), _digits(F.col("hub"), size))
         wants = prefix_sums(asked.filter("to is not null"), ["to"], order, [order, F.col("hub"), F.col("shard")], F.col("n"), "before")
         granted = wants.withColumn("a", F.least("n", F.greatest(F.lit(0), F.element_at(_pick(free), F.col("to") + 1) - F.col("before"))))
