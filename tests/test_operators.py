@@ -18,11 +18,20 @@ GOLDEN = {
 
 
 @pytest.fixture(scope="module")
-def staged(spark):
+def staged(spark, tmp_path_factory):
     files = spark.createDataFrame([("golden.json", "s3://x/golden.json", json.dumps(GOLDEN)), ("bad.json", "s3://x/bad.json", "{not json")], "filename string, path string, content string")
     docs = resolve.parsed_documents(files)
     assert docs.filter("error is not null").select("filename").collect()[0][0] == "bad.json"
-    return {k: v.cache() for k, v in stage.staging(resolve.resolved(resolve.extracted(docs.filter("error is null").drop("error")))).items()}
+    folder = str(tmp_path_factory.mktemp("staging"))
+    written(spark, docs.filter("error is null").drop("error"), f"{folder}/resolved")
+    stage.write(stage.staging(spark.read.parquet(f"{folder}/resolved")), folder)
+    return {k: spark.read.parquet(f"{folder}/{k}") for k in (*ingest.CONFLICT, "normalization_manifest")}
+
+
+def written(spark, docs, path):
+    """Resolved records as a table, so that what reads them plans over a scan."""
+    resolve.resolved(resolve.extracted(docs)).coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def test_golden_document(staged):
@@ -176,9 +185,9 @@ def test_watermark_keeps_known_and_undated(spark):
     assert sorted(r.k for r in runs.after_watermark(rows, stored, "src", "day", "k").collect()) == [1, 3, 4, 5]
 
 
-def test_lean_profile_keeps_duplicate_batches(spark):
+def test_lean_profile_keeps_duplicate_batches(spark, tmp_path):
     g = json.loads(json.dumps(GOLDEN))
     g["records"] = [g["records"][0], dict(g["records"][0], reason="again")]
     f = spark.createDataFrame([("g.json", "p", json.dumps(g))], "filename string, path string, content string")
-    r = resolve.resolved(resolve.extracted(resolve.parsed_documents(f)))
+    r = written(spark, resolve.parsed_documents(f), str(tmp_path / "r"))
     assert stage.staging(r)["batches"].count() == 1 and stage.staging(r, lean=True)["batches"].count() == 2
