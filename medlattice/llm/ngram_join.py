@@ -234,7 +234,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chun
     rare = shared.join(size, "rep").withColumn("take", F.size("keys") - _share(F.col("n"), percent).cast("int") + 1).filter("take > 0")
     prefix = staged.write(rare.select("rep", F.explode(F.slice("keys", F.lit(1), F.col("take"))).alias("k")).select("rep", F.col("k.key").alias("key")), SKETCH * rows)
     pivot = prefix.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = staged.write(prefix.join(pivot, "key").select(F.col("rep").alias("node"), F.col("pivot").alias("hub")).distinct(), rows)
+    edges = staged.write(prefix.join(pivot, "key").select(F.col("rep").alias("node"), F.col("pivot").alias("hub")).distinct(), SKETCH * rows)
     cluster = connected(edges, staged, edges.count()).withColumnRenamed("label", "cluster")
     cluster = cluster.join(size.withColumnRenamed("rep", "node"), "node")
     sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
