@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Task families with their nodes, and the edges between nodes.
-FAMILIES = {"medicine-scanner-scraper": ("scraper", None), "data-extractor-task": ("extractor", "sfn-extractor"), "data-classifier-task": ("classifier", "sfn-classifier"), "data-processor-task": ("processor", "sfn-processor"), "data-ingester-task": ("ingestor", None)}
+FAMILIES = {"data-scraper-task": ("scraper", None), "data-extractor-task": ("extractor", "sfn-extractor"), "data-classifier-task": ("classifier", "sfn-classifier"), "data-processor-task": ("processor", "sfn-processor"), "data-ingester-task": ("ingestor", None)}
 SCRAPER_RUNNING = {"scheduler": "success", "source-queue": "running", **{f"data-source-{i}": "running" for i in range(1, 6)}}
 SCRAPER_STOPPED = ("source-queue", *[f"data-source-{i}" for i in range(1, 6)], "s3", "scraperdb")
 INGESTER_NODES = ("meddb", "scraperdb2")
@@ -92,7 +92,7 @@ def status_feed(events: DataFrame) -> DataFrame:
     order = F.struct("event_time", "event_id")
     outcome = task_outcome(F.col("last_status"), F.col("stop_code"), F.col("exit_code"))
     last = lambda cond, c: F.max_by(F.when(cond, c), F.when(cond, order))
-    fam = {"scraper": "medicine-scanner-scraper", "extractor": "data-extractor-task", "classifier": "data-classifier-task", "processor": "data-processor-task"}
+    fam = {"scraper": "data-scraper-task", "extractor": "data-extractor-task", "classifier": "data-classifier-task", "processor": "data-processor-task"}
     machine = F.when(F.col("status") == "RUNNING", "running").when(F.col("status") == "SUCCEEDED", "success").when(F.col("status").isin("FAILED", "TIMED_OUT", "ABORTED"), "failed")
     r = events.groupBy("run_id").agg(
         *[last(ecs(f), outcome).alias(n) for n, f in fam.items()], last(F.col("event_type") == "sfn.state_change", machine).alias("machine"), F.bool_or(ecs(fam["scraper"]) & (F.col("last_status") == "RUNNING")).alias("started"),

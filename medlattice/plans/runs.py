@@ -15,7 +15,7 @@ def run_events(d: Domain) -> DataFrame:
     """The event table read as task and machine events of runs."""
     k = F.get_json_object("props", "$.k").cast("int")
     e = d.table("events").withColumn("k", k)
-    family = F.when(F.col("event_type") == "click", "medicine-scanner-scraper").when(F.col("event_type") == "purchase", "data-extractor-task").when(F.col("event_type") == "signup", "data-classifier-task").when(F.col("event_type") == "view", "data-processor-task")
+    family = F.when(F.col("event_type") == "click", "data-scraper-task").when(F.col("event_type") == "purchase", "data-extractor-task").when(F.col("event_type") == "signup", "data-classifier-task").when(F.col("event_type") == "view", "data-processor-task")
     machine = F.col("event_type") == "error"
     status = F.when(machine, F.when(F.col("k") % 3 == 0, "RUNNING").when(F.col("k") % 3 == 1, "SUCCEEDED").otherwise("FAILED"))
     return e.select(
@@ -25,13 +25,13 @@ def run_events(d: Domain) -> DataFrame:
 
 
 _E = """WITH e AS (SELECT user_id AS run_id, ts AS event_time, event_id, CASE event_type WHEN 'error' THEN 'sfn.state_change' ELSE 'ecs.task_state_change' END AS event_type,
-  CASE WHEN event_type = 'error' THEN ['RUNNING', 'SUCCEEDED', 'FAILED'][(k % 3 + 1)::INT] END AS status, CASE event_type WHEN 'click' THEN 'medicine-scanner-scraper' WHEN 'purchase' THEN 'data-extractor-task' WHEN 'signup' THEN 'data-classifier-task' WHEN 'view' THEN 'data-processor-task' END AS family,
+  CASE WHEN event_type = 'error' THEN ['RUNNING', 'SUCCEEDED', 'FAILED'][(k % 3 + 1)::INT] END AS status, CASE event_type WHEN 'click' THEN 'data-scraper-task' WHEN 'purchase' THEN 'data-extractor-task' WHEN 'signup' THEN 'data-classifier-task' WHEN 'view' THEN 'data-processor-task' END AS family,
   CASE WHEN event_type <> 'error' THEN CASE WHEN value < 60 THEN 'RUNNING' ELSE 'STOPPED' END END AS last_status, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS exit_code, k % 2 = 0 AS has_pdfs, value FROM (SELECT *, (props->>'$.k')::INT AS k FROM events))"""
 _M = _E + """, o AS (SELECT *, CASE last_status WHEN 'RUNNING' THEN 'running' WHEN 'STOPPED' THEN CASE WHEN exit_code = 0 THEN 'success' ELSE 'failed' END END AS outcome FROM e),
-f(family, nodes) AS (VALUES ('medicine-scanner-scraper', ['scraper']), ('data-extractor-task', ['extractor', 'sfn-extractor']), ('data-classifier-task', ['classifier', 'sfn-classifier']), ('data-processor-task', ['processor', 'sfn-processor'])),
+f(family, nodes) AS (VALUES ('data-scraper-task', ['scraper']), ('data-extractor-task', ['extractor', 'sfn-extractor']), ('data-classifier-task', ['classifier', 'sfn-classifier']), ('data-processor-task', ['processor', 'sfn-processor'])),
 m AS (SELECT run_id, event_time, event_id, unnest(nodes) AS node, outcome AS state FROM o JOIN f USING (family)
- UNION ALL SELECT run_id, event_time, event_id, unnest(['scheduler', 'source-queue', 'data-source-1', 'data-source-2', 'data-source-3', 'data-source-4', 'data-source-5']), unnest(['success', 'running', 'running', 'running', 'running', 'running', 'running']) FROM o WHERE family = 'medicine-scanner-scraper' AND outcome = 'running'
- UNION ALL SELECT run_id, event_time, event_id, unnest(['source-queue', 'data-source-1', 'data-source-2', 'data-source-3', 'data-source-4', 'data-source-5', 's3', 'scraperdb']), outcome FROM o WHERE family = 'medicine-scanner-scraper' AND outcome <> 'running'
+ UNION ALL SELECT run_id, event_time, event_id, unnest(['scheduler', 'source-queue', 'data-source-1', 'data-source-2', 'data-source-3', 'data-source-4', 'data-source-5']), unnest(['success', 'running', 'running', 'running', 'running', 'running', 'running']) FROM o WHERE family = 'data-scraper-task' AND outcome = 'running'
+ UNION ALL SELECT run_id, event_time, event_id, unnest(['source-queue', 'data-source-1', 'data-source-2', 'data-source-3', 'data-source-4', 'data-source-5', 's3', 'scraperdb']), outcome FROM o WHERE family = 'data-scraper-task' AND outcome <> 'running'
  UNION ALL SELECT run_id, event_time, event_id, unnest(['sfn', 'sfn-start', 'sfn-check']), unnest(['running', 'success', 'running']) FROM o WHERE status = 'RUNNING'
  UNION ALL SELECT run_id, event_time, event_id, unnest(['sfn-extractor', 'extractor']), 'skipped' FROM o WHERE status = 'RUNNING' AND NOT has_pdfs
  UNION ALL SELECT run_id, event_time, event_id, unnest(['sfn', 'sfn-check', 'sfn-processor', 'sfn-success', 'sfn-end', 'processor']), 'success' FROM o WHERE status = 'SUCCEEDED'
@@ -65,8 +65,8 @@ def replayed(d: Domain) -> DataFrame:
 _LAST = "arg_max({0}, {{'t': event_time, 'e': event_id}}) FILTER ({1})"
 
 
-@query("W17_status_feed", _M + f""", r AS (SELECT run_id, {_LAST.format('outcome', "family = 'medicine-scanner-scraper'")} AS scraper, {_LAST.format('outcome', "family = 'data-extractor-task'")} AS extractor, {_LAST.format('outcome', "family = 'data-classifier-task'")} AS classifier, {_LAST.format('outcome', "family = 'data-processor-task'")} AS processor,
- {_LAST.format("CASE status WHEN 'RUNNING' THEN 'running' WHEN 'SUCCEEDED' THEN 'success' ELSE 'failed' END", "event_type = 'sfn.state_change'")} AS machine, bool_or(coalesce(family = 'medicine-scanner-scraper' AND last_status = 'RUNNING', false)) AS started, bool_or(coalesce(family = 'medicine-scanner-scraper' AND last_status = 'STOPPED', false)) AS stopped FROM o GROUP BY run_id),
+@query("W17_status_feed", _M + f""", r AS (SELECT run_id, {_LAST.format('outcome', "family = 'data-scraper-task'")} AS scraper, {_LAST.format('outcome', "family = 'data-extractor-task'")} AS extractor, {_LAST.format('outcome', "family = 'data-classifier-task'")} AS classifier, {_LAST.format('outcome', "family = 'data-processor-task'")} AS processor,
+ {_LAST.format("CASE status WHEN 'RUNNING' THEN 'running' WHEN 'SUCCEEDED' THEN 'success' ELSE 'failed' END", "event_type = 'sfn.state_change'")} AS machine, bool_or(coalesce(family = 'data-scraper-task' AND last_status = 'RUNNING', false)) AS started, bool_or(coalesce(family = 'data-scraper-task' AND last_status = 'STOPPED', false)) AS stopped FROM o GROUP BY run_id),
 q AS (SELECT *, stopped AND coalesce(scraper, '') <> 'success' AS bad_scrape FROM r), z AS (SELECT *, NOT bad_scrape AND coalesce(machine = 'failed', false) AS bad_run FROM q),
 t AS (SELECT run_id, unnest([{{'p': 0, 'k': 'scraper-start', 't': CASE WHEN started THEN 'success' END}}, {{'p': 1, 'k': 'scraping-end', 't': CASE WHEN stopped THEN 'success' END}}, {{'p': 2, 'k': 'documents-saved', 't': CASE WHEN bad_scrape THEN 'idle' WHEN stopped THEN 'success' END}}, {{'p': 3, 'k': 'scraper-failed', 't': CASE WHEN bad_scrape THEN 'failed' END}},
  {{'p': 4, 'k': 'orchestrator', 't': CASE WHEN bad_scrape THEN 'idle' WHEN machine IS NOT NULL THEN 'success' END}}, {{'p': 5, 'k': 'extracting', 't': CASE WHEN bad_scrape THEN 'idle' WHEN bad_run THEN coalesce(extractor, 'idle') ELSE extractor END}}, {{'p': 6, 'k': 'workflow-failed', 't': CASE WHEN bad_run THEN 'failed' END}},
