@@ -15,6 +15,8 @@ no hit. Items with equal texts all count. Repeated rows are judged alike.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -126,11 +128,12 @@ RESULT = "n_words bigint, hit_spans array<struct<a:bigint,b:bigint>>, hit_items
 
 
 def _pass(docs: DataFrame, ids: list[str], texts: list[str | None], text: str, again: bool) -> DataFrame:
+    token = uuid.uuid4().hex  # workers outlive a pass, and other items may have the same ids
+
     def run(batch, text):
-        index = _pass.cache.get("index")
-        if index is None or _pass.cache["ids"] != ids:
-            index = ItemIndex(ids, texts)
-            _pass.cache |= {"index": index, "ids": ids}
+        if _pass.cache.get("token") != token:
+            _pass.cache |= {"index": ItemIndex(ids, texts), "token": token}
+        index = _pass.cache["index"]
         n_words, spans, items = [], [], []
         before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hit_spans", "hit_items")] if again else None
         for lo, hi, block in blocks(batch, ALNUM, True, text):

@@ -383,3 +383,16 @@ def test_winnowing(spark):
         out = got.select("doc_id", "n_words", decontaminate.hit_count().alias("n_hit"), "hit_items").collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.hit_items) for r in out} == want
     assert decontaminate.contamination(docs, bench.limit(0)).filter("size(hit_items) > 0").count() == 0
+
+
+def test_winnowing_reads_the_texts_of_each_benchmark(spark):
+    old, new = (" ".join(f"{w}{i}" for i in range(12)) for w in ("old", "new"))
+    # more parts than workers, so each worker that is used again has met the benchmark before
+    docs = spark.createDataFrame([("a", old), ("b", new)] * 32, "doc_id string, text string").repartition(32)
+    for text, want in ((old, "a"), (new, "b"), (old, "a")):
+        bench = spark.createDataFrame([(0, text)], "item_id long, text string")
+        assert [r.doc_id for r in decontaminate.contamination(docs, bench).filter("size(hit_items) > 0").collect()] == [want] * 32
+    # two blocks of one benchmark whose ids are all null
+    bench = spark.createDataFrame([(None, old), (None, new)], "item_id long, text string")
+    for mb in (32, 1e-6 * (len(old) // 4), 1e-6 * len(old)):
+        assert decontaminate.contamination(docs, bench, block_mb=mb).filter("size(hit_items) > 0").count() == 64
