@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -76,14 +77,17 @@ def lexicon_matches(docs: DataFrame, lexicon: DataFrame, longest: int = 6) -> Da
 def fuzzy_lexicon(values: DataFrame, lexicon: DataFrame, limit: float = 85.0) -> DataFrame:
     """(value, name, score): the best name by token sort ratio, for values that no name equals.
 
-    Only pairs that share a word and whose lengths allow the limit are scored.
+    No pair that reaches the limit is lost. A ratio of the limit needs a common
+    subsequence of c = limit * (a + b) / 200 letters. Of the a + 1 letter pairs of a
+    padded text one that is left out spoils two and makes one, one that is put in
+    spoils one, so at least 3c - a - b + 1 pairs are shared, and each side's rarest
+    pairs beyond its least such number hold one of them. Where that bound says
+    nothing (limits up to 200 / 3) single letters take the place of pairs.
     """
     v = values.select(words(F.col("value")).alias("value")).filter("value <> ''").distinct()
     n = lexicon.select(words(F.col("name")).alias("name")).filter("name <> ''").distinct()
     rest = v.join(n, F.col("value") == F.col("name"), "left_anti")
-    token = lambda df, c: df.select(c, F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 2)))).alias("block"))
-    a, b = F.length("value"), F.length("name")
-    pairs = token(rest, "value").join(token(n, "name"), "block").select("value", "name").distinct().filter(200 * F.least(a, b) >= limit * (a + b))
+    pairs = _near(rest, n, limit) if limit > 0 else rest.crossJoin(n)
 
     def score(frames):
         for f in frames:
@@ -93,6 +97,54 @@ def fuzzy_lexicon(values: DataFrame, lexicon: DataFrame, limit: float = 85.0) ->
     return scored.groupBy("value").agg(F.max_by(F.struct("name", "score"), F.struct("score", "name")).alias("b")).select("value", "b.name", "b.score")
 
 
+def _near(values: DataFrame, names: DataFrame, limit: float) -> DataFrame:
+    """Pairs (value, name) whose lengths and shared letter pairs allow the limit; see ``fuzzy_lexicon``."""
+    q = 2 if limit > 200 / 3 else 1
+
+    def shared(a: int, b: int) -> int:
+        common = math.ceil(limit * (a + b) / 200 - 1e-9)
+        return 3 * common - a - b + 1 if q == 2 else common
+
+    def least(a: int) -> int:
+        """The bound over all lengths that fit to a: that of the smallest, less what rounding up may move it by."""
+        return max(1, shared(a, math.ceil(a * limit / (200 - limit) - 1e-9)) - 2 * (q - 1))
+
+    def grams(text: str) -> list[str]:
+        """Letters with their occurrence, over the sorted words."""
+        t = " ".join(sorted(text.split()))
+        t = f"^{t}$" if q == 2 else t
+        seen, out = {}, []
+        for i in range(len(t) - q + 1):
+            g = t[i : i + q]
+            seen[g] = seen.get(g, 0) + 1
+            out.append(f"{g}{seen[g]}")
+        return out
+
+    def counted(frames):
+        for f in frames:
+            yield pd.DataFrame({"gram": [g for t in f["name"] for g in grams(t)]})
+
+    # of letters, digits and a few marks there are at most some thousand
+    spread = {r["gram"]: r["count"] for r in names.mapInPandas(counted, "gram string").groupBy("gram").count().collect()}
+
+    def posted(df: DataFrame, c: str) -> DataFrame:
+        def each(frames):
+            for f in frames:
+                rows = []
+                for t in f[c]:
+                    own = sorted(grams(t), key=lambda g: (spread.get(g, 0), g))
+                    rows += [(t, own, g) for g in own[: max(0, len(own) - least(len(t)) + 1)]]
+                yield pd.DataFrame(rows, columns=[c, f"{c}_grams", "gram"])
+
+        return df.select(c).mapInPandas(each, f"{c} string, {c}_grams array<string>, gram string")
+
+    a, b = F.length("value"), F.length("name")
+    common = F.ceil(limit * (a + b) / 200 - 1e-9)
+    enough = F.size(F.array_intersect("value_grams", "name_grams")) >= (3 * common - a - b + 1 if q == 2 else common)
+    fits = (200 * F.least(a, b) >= limit * (a + b) - 1e-6) & enough
+    return posted(values, "value").join(posted(names, "name"), "gram").filter(fits).select("value", "name").distinct()
+
+
 def header_category_of(value: str) -> str | None:
     """Category of a table header: equal to a pattern, holding one as words, or close to one."""
     text = " ".join(re.findall("[a-z0-9]+", (value or "").lower()))

@@ -191,3 +191,29 @@ def test_lean_profile_keeps_duplicate_batches(spark, tmp_path):
     f = spark.createDataFrame([("g.json", "p", json.dumps(g))], "filename string, path string, content string")
     r = written(spark, resolve.parsed_documents(f), str(tmp_path / "r"))
     assert stage.staging(r)["batches"].count() == 1 and stage.staging(r, lean=True)["batches"].count() == 2
+
+
+@pytest.mark.parametrize("limit", [60.0, 85.0, 91.5])
+def test_fuzzy_lexicon_equals_all_pairs(spark, limit):
+    import random
+
+    from medlattice.functions.fuzzy import token_sort_ratio_of
+
+    rng = random.Random(5)
+    names = ["paracetamol", "ibuprofen tablets", "a", "ab", "banana", "aaaa aaaa"] + [" ".join("".join(rng.choices("abcdeinort", k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    values = ["aracetamol", "xaracetamol", "Tablets, ibuprofen", "abc", "b", "ananab", "aaaaaaaaa", ""]
+    for name in names * 4:
+        text = list(name)
+        for _ in range(rng.randrange(1, 5)):
+            k = rng.randrange(len(text) + 1) if rng.random() < 0.6 else 0
+            text[k : k + rng.randrange(2)] = rng.choice(["", "x", "e", " "])
+        values.append("".join(text))
+    clean = lambda xs: {" ".join(x.lower().replace(",", " ").split()) for x in xs} - {""}
+    known = clean(names)
+    want = {}
+    for v in clean(values) - known:
+        score, name = max((token_sort_ratio_of(v, n), n) for n in known)
+        if score >= limit:
+            want[v] = (name, score)
+    got = classify.fuzzy_lexicon(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(n,) for n in names], "name string"), limit)
+    assert {r.value: (r.name, r.score) for r in got.collect()} == want and want["aracetamol"][0] == "paracetamol"
