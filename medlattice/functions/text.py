@@ -22,6 +22,9 @@ ADDRESS_START = "(?i),\\s*(?:plot\\b|p\\.?\\s*no\\.?\\b|[a-z]?\\s*-\\s*\\d{1,5}\
 CAS_NUMBER = "\\b\\d{2,7}-\\d{2}-\\d\\b"
 NOTIFICATION = "(?i)\\b(?:G\\.?S\\.?R\\.?\\s*(?:NO\\.?)?|S\\.O\\.?\\s*\\d+|S\\.O\\.?|SO)\\b"
 
+#: Letters, digits and marks as Python's regular expressions know them; Java's own classes depend on its version.
+WORD_CHAR, SPACE_CHAR = "[\\p{L}\\p{N}_]", "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
+
 
 def blank(c: Column) -> Column:
     """Null becomes an empty text."""
@@ -45,7 +48,7 @@ def collapse(c: Column) -> Column:
 
 def canonical(c: Column) -> Column:
     """Lower case without corporate suffixes and punctuation; null gives an empty text."""
-    t = F.regexp_replace(F.lower(blank(c)), f"\\b({CORPORATE_SUFFIXES})\\b\\.?", "")
+    t = F.regexp_replace(F.lower(blank(c)), f"(?<!{WORD_CHAR})({CORPORATE_SUFFIXES})(?!{WORD_CHAR})\\.?", "")
     return collapse(F.regexp_replace(t, "[^a-z0-9\\s]", " "))
 
 

@@ -1,6 +1,7 @@
 """Registered queries: the contract's functions, SQL agreement on small tables, and streams."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +55,29 @@ def test_windowed_counts_and_replay(spark):
     e = spark.createDataFrame([(i, f"2024-01-01 0{i % 3}:10:00", "k") for i in range(6)], "event_id int, t string, event_type string").withColumn("event_time", F.to_timestamp("t")).drop("t")
     assert {r.n for r in events.windowed_counts(e).collect()} == {2}
     assert events.replay_then_live(e, e, 2).groupBy("kind").count().count() == 2
+
+
+TEXTS = [
+    (1, "en", "Acme Pvt. Ltd., Goa " + "and more of it " * 60 + "Last Company"), (2, "fr", "Caféco ltd Éco co² CO. Résumé d’été camelCase œuvre"), (3, "de", "Straße GROẞ\u00a0GmbH ﬁne co\u0301 İstanbul ²½ Ｔｅｓｔ"), (4, None, "Null lang, limited"), (5, "en", None), (6, "es", ""),
+    (7, "fr", "Médecin ing. läuft\u00a0ING x²  ing and naïve ing, naïve\ting; _ ing being"),
+]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("texts"))
+    rows = [(i, lang, "s", t) for i, lang, t in TEXTS]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def by_id(df, column):
+    return {r.doc_id: r[column] for r in df.collect()}
+
+
+def test_canonical_of_whole_texts(spark, texts):
+    def canonical(t):
+        t = re.sub(r"\b(pvt|private|ltd|limited|inc|corp|corporation|co|company)\b\.?", "", (t or "").lower().strip())
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", t)).strip()
+
+    assert by_id(catalog.QUERIES["F01_canonical_whole"](spark, texts), "canonical") == {i: canonical(t) for i, _, t in TEXTS}
