@@ -1,9 +1,15 @@
-"""Text functions as Column expressions: everything stays in the JVM."""
+"""Text functions as Column expressions: everything but ``ascii_words`` stays in the JVM."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word lists and patterns that results depend on.
 CORPORATE_SUFFIXES = "pvt|private|ltd|limited|inc|corp|corporation|co|company"
@@ -57,6 +63,18 @@ def words(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(blank(c)), "[^a-z0-9]+", " "))
 
 
+#: Case folds that give ASCII letters where lower case doesn't.
+CASE_FOLDS = {c: c.casefold() for c in "ßẞſŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"}
+
+
+def casefold_words(c: Column) -> Column:
+    """``words`` after a case fold instead of lower case: ß counts as ss, a ligature as its letters."""
+    t = blank(c)
+    for x, y in CASE_FOLDS.items():
+        t = F.replace(t, F.lit(x), F.lit(y))
+    return words(t)
+
+
 def compact(c: Column) -> Column:
     return F.replace(F.lower(blank(c)), F.lit(" "), F.lit(""))
 
@@ -67,6 +85,17 @@ def fold_words(c: Column) -> Column:
     return words(F.translate(split, "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ", "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy"))
 
 
+@partial(F.pandas_udf, returnType=T.StringType())
+def ascii_words(texts: pd.Series) -> pd.Series:
+    """Camel case split, compatibility decomposition, whatever isn't ASCII then left out, then ``words``."""
+
+    def one(t: str | None) -> str:
+        t = re.sub("(?<=[a-z])(?=[A-Z])", " ", t or "")
+        return re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii").lower()).strip()
+
+    return texts.map(one, na_action=None)
+
+
 def content_tokens(c: Column) -> Column:
     """Distinct lower-case runs of three or more letters and digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(blank(c)), F.lit("[a-z0-9]{3,}"), F.lit(0)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fuzzy import indel_ratio_of, token_sort_ratio_of
-from ..functions.text import blank, collapse, occurrences, words
+from ..functions.text import SPACE_CHAR, WORD_CHAR, blank, collapse, occurrences, words
 
 #: Keywords with weights, caps and bands.
 KEYWORDS = {
@@ -47,10 +47,10 @@ def band(score: Column) -> Column:
 
 def entities(text: Column, suffixes: tuple[str, ...] = MAKER_SUFFIXES, code: str = BATCH_CODE, context: str = BATCH_CONTEXT) -> Column:
     """struct(batches, makers): distinct codes near a batch label, and names before a company suffix."""
-    t = collapse(blank(text))
+    t = F.trim(F.regexp_replace(blank(text), f"{SPACE_CHAR}+", " "))
     near = F.filter(F.regexp_extract_all(t, F.lit(f".{{0,50}}{code}.{{0,50}}"), F.lit(0)), lambda s: s.rlike(context))
     codes = F.array_distinct(F.flatten(F.transform(near, lambda s: F.regexp_extract_all(s, F.lit(code), F.lit(0)))))
-    names = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(f"(?i)\\b\\w+\\s+{s}\\b"), F.lit(0)) for s in suffixes])))
+    names = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(f"(?iu)(?<!{WORD_CHAR}){WORD_CHAR}++ {s}(?!{WORD_CHAR})"), F.lit(0)) for s in suffixes])))
     return F.struct(codes.alias("batches"), names.alias("makers"))
 
 

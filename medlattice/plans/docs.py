@@ -103,6 +103,11 @@ def entities(d: Domain) -> DataFrame:
     return ascii_only.select("doc_id", F.size(classify.entities(F.col("text"), ("ing",))["makers"]).cast("long").alias("makers"))
 
 
+@query("A11_entities_whole")
+def entities_whole(d: Domain) -> DataFrame:
+    return docs(d).select("doc_id", F.size(classify.entities(F.col("text"), ("ing",))["makers"]).cast("long").alias("makers"))
+
+
 @query("A19_distinct_terms", None)
 def distinct_terms(d: Domain) -> DataFrame:
     return classify.distinct_event_terms(docs(d), ("the", "of the", "license", "in the"))
@@ -484,6 +489,11 @@ def normalized(d: Domain) -> DataFrame:
     return docs(d).filter("lang = 'en'").select("doc_id", text.words(F.col("text")).alias("words"))
 
 
+@query("F02_normalized_words_whole")
+def normalized_whole(d: Domain) -> DataFrame:
+    return docs(d).select("doc_id", text.casefold_words(F.col("text")).alias("words"))
+
+
 @query("F05_organization_names", "SELECT s_suppkey, s_name AS name, 'Plot 5, ' || n_name AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def organization_names(d: Domain) -> DataFrame:
     s = d.table("supplier").join(F.broadcast(d.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -518,6 +528,11 @@ def tokens(d: Domain) -> DataFrame:
     return docs(d).filter("lang = 'en'").select("doc_id", F.size(text.content_tokens(F.col("text"))).cast("long").alias("tokens"))
 
 
+@query("F19_content_tokens_whole")
+def tokens_whole(d: Domain) -> DataFrame:
+    return docs(d).select("doc_id", F.size(text.content_tokens(F.col("text"))).cast("long").alias("tokens"))
+
+
 @query("F19_sample_text", "SELECT doc_id, CASE WHEN length(text) <= 4000 THEN text ELSE array_to_string([substr(text, round_even(i * (length(text) - 800) / 4.0, 0)::INT + 1, 800) for i in [0, 1, 2, 3, 4]], chr(10) || '...' || chr(10)) END AS sample FROM documents")
 def samples(d: Domain) -> DataFrame:
     return docs(d).select("doc_id", text.sample_text(F.col("text")).alias("sample"))

@@ -141,6 +141,11 @@ def folded(d: Domain) -> DataFrame:
     return d.table("documents").filter("lang in ('fr', 'es')").filter(~F.col("text").rlike("[a-z][A-Z]")).select("doc_id", text.fold_words(F.col("text")).alias("words"))
 
 
+@query("F03_folded_words_whole")
+def folded_whole(d: Domain) -> DataFrame:
+    return d.table("documents").select("doc_id", text.ascii_words(F.col("text")).alias("words"))
+
+
 @query("F04_lexicon_names", "SELECT p_partkey, p_name || ' ' || p_size || 'mg ab x12' AS name FROM part")
 def lexicon_names(d: Domain) -> DataFrame:
     return d.table("part").select("p_partkey", text.lexicon_name(F.concat(F.lit("7. "), F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg a b x12"))).alias("name"))

@@ -81,3 +81,32 @@ def test_canonical_of_whole_texts(spark, texts):
         return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", t)).strip()
 
     assert by_id(catalog.QUERIES["F01_canonical_whole"](spark, texts), "canonical") == {i: canonical(t) for i, _, t in TEXTS}
+
+
+def test_words_tokens_and_entities_of_all_documents(spark, texts):
+    import unicodedata
+
+    def folded(t):
+        t = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", t or "")
+        return re.sub(r"[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii").casefold()).strip()
+
+    def makers(t):
+        return len({m.group().strip() for m in re.finditer(r"\b\w+\s+ing\b", re.sub(r"\s+", " ", t or "").strip(), re.IGNORECASE)})
+
+    def whole(name, column):
+        return by_id(catalog.QUERIES[name](spark, texts), column)
+
+    assert whole("F02_normalized_words_whole", "words") == {i: " ".join(re.findall("[a-z0-9]+", (t or "").casefold())) for i, _, t in TEXTS}
+    assert whole("F03_folded_words_whole", "words") == {i: folded(t) for i, _, t in TEXTS}
+    assert whole("F19_content_tokens_whole", "tokens") == {i: len(set(re.findall("[a-z0-9]{3,}", (t or "").lower()))) for i, _, t in TEXTS}
+    assert whole("A11_entities_whole", "makers") == {i: makers(t) for i, _, t in TEXTS}
+
+
+def test_case_folds_are_all_that_give_ascii():
+    import sys
+
+    from medlattice.functions.text import CASE_FOLDS
+
+    ascii_of = lambda t: re.findall("[a-z0-9]", t)
+    odd = {c for c in map(chr, range(128, sys.maxunicode + 1)) if ascii_of(c.casefold()) != ascii_of(c.lower())}
+    assert odd == {c for c in CASE_FOLDS} and all(ascii_of(CASE_FOLDS[c]) == ascii_of(c.casefold()) for c in odd)
