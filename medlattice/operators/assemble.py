@@ -97,20 +97,21 @@ def in_sequence(lines: DataFrame, doc: str, order: str, schema: str) -> DataFram
     """(doc, number, text): numbered entries, accepted only if each follows the one before.
 
     A line ``n ...`` starts an entry if n is one more than the last accepted
-    number; other lines continue the entry. State depends on what was accepted,
+    number; other lines continue the entry. A line may hold line breaks. State depends on what was accepted,
     so a document is read in order by one task.
     """
     import re
 
     def read(frame: pd.DataFrame) -> pd.DataFrame:
         out, last = [], 0
-        for _, row in frame.sort_values(order).iterrows():
-            m = re.match(r"^\s*(\d+)[.)]?\s+(.*)$", row["text"] or "")
+        frame = frame.sort_values(order)
+        for key, text in zip(frame[doc], frame["text"], strict=True):
+            m = re.match(r"^\s*(\d+)[.)]?\s+(.*)$", text or "", re.DOTALL)
             if m and int(m[1]) == last + 1:
                 last += 1
-                out.append([row[doc], last, m[2].strip()])
+                out.append([key, last, m[2].strip()])
             elif out:
-                out[-1][2] = f"{out[-1][2]} {(row['text'] or '').strip()}".strip()
+                out[-1][2] = f"{out[-1][2]} {(text or '').strip()}".strip()
         return pd.DataFrame(out, columns=[doc, "number", "text"])
 
     return lines.groupBy(doc).applyInPandas(read, schema)

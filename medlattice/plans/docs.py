@@ -379,7 +379,7 @@ def gated(d: Domain) -> DataFrame:
 
 @query("W09_sequence_records")
 def sequence(d: Domain) -> DataFrame:
-    lines = d.table("conversations").select("conv_id", "turn", F.concat((F.col("turn") % 4).cast("string"), F.lit(". "), F.substring("text", 1, 40)).alias("text"))
+    lines = d.table("conversations").select("conv_id", "turn", F.concat((F.col("turn") % 4).cast("string"), F.lit(". "), F.col("text")).alias("text"))
     return assemble.in_sequence(lines, "conv_id", "turn", "conv_id long, number long, text string")
 
 

@@ -110,3 +110,10 @@ def test_case_folds_are_all_that_give_ascii():
     ascii_of = lambda t: re.findall("[a-z0-9]", t)
     odd = {c for c in map(chr, range(128, sys.maxunicode + 1)) if ascii_of(c.casefold()) != ascii_of(c.lower())}
     assert odd == {c for c in CASE_FOLDS} and all(ascii_of(CASE_FOLDS[c]) == ascii_of(c.casefold()) for c in odd)
+
+
+def test_sequence_records_keep_whole_turns(spark, tmp_path):
+    turns = [" ".join(f"t{t}w{i}" for i in range(40)) + "\nlast line" for t in range(6)]
+    spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = sorted((r.number, r.text) for r in catalog.QUERIES["W09_sequence_records"](spark, str(tmp_path)).collect())
+    assert out == [(1, turns[1]), (2, turns[2]), (3, f"{turns[3]} 0. {turns[4]} 1. {turns[5]}")]
