@@ -152,3 +152,16 @@ def period_rows(rows: DataFrame, day: str, back: int = 0) -> DataFrame:
     """Rows of the newest month, or of the month ``back`` months before it."""
     newest = rows.agg(F.add_months(F.trunc(F.max(day), "MM"), -back).alias("_p"))
     return rows.join(F.broadcast(newest), F.trunc(F.col(day), "MM") == F.col("_p")).drop("_p")  # one row
+
+
+def positions(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """df with the 1-based position of each row in ``order``, without sorting all rows in one task.
+
+    ``bucket`` is not null and monotone in ``order``; each is numbered alone and
+    shifted by the rows of those before, whose counts alone meet in one task.
+    """
+    keyed = df.withColumn("_bucket", bucket)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shift = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = keyed.withColumn("_own", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    return own.join(shift, "_bucket").select(*df.columns, (F.col("_own") + F.col("_shift")).cast("long").alias(name))

@@ -64,6 +64,11 @@ def key_lookup(d: Domain) -> DataFrame:
     return d.table("orders").filter("o_orderkey % 7 = 0").join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
+@query("S21_key_lookup_whole", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def key_lookup_whole(d: Domain) -> DataFrame:
+    return d.table("orders").join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
 @query("S23_inventory_index", "SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS folder, regexp_extract(url, '/([^/?#]*)([?#].*)?$', 1) AS name FROM pages")
 def inventory_index(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("folder"), F.regexp_extract("url", "/([^/?#]*)([?#].*)?$", 1).alias("name"))

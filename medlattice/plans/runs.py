@@ -99,6 +99,18 @@ def date_then_id(d: Domain) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.orderBy(F.coalesce(day, F.lit("0001-01-01").cast("date")).desc(), "o_orderkey")).cast("long")).select("o_orderkey", "position")
 
 
+@query("T05_date_then_id_whole", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN DATE '0001-01-01' ELSE o_orderdate::DATE END DESC, o_orderkey)::BIGINT AS position FROM orders")
+def date_then_id_whole(d: Domain) -> DataFrame:
+    """The position of every order; a day, and the orders without one, are split by ranges of keys."""
+    parts = 64
+    day = F.coalesce(F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")), F.lit("0001-01-01").cast("date"))
+    o = d.table("orders").select("o_orderkey", day.alias("day"))
+    lo, hi = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    width = (hi - lo) // parts + 1 if lo is not None else 1
+    part = F.coalesce(F.floor((F.col("o_orderkey") - F.lit(lo or 0)) / width), F.lit(-1))
+    return runs.positions(o, -F.unix_date("day").cast("long") * (parts + 1) + part, [F.desc("day"), F.col("o_orderkey")], "position").drop("day")
+
+
 @query("T07_filter_sort_page", "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '7') AND c_mktsegment = 'MACHINERY' ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 25")
 def page(d: Domain) -> DataFrame:
     c = d.table("customer").filter(F.contains(F.lower("c_name"), F.lit("7")) & (F.col("c_mktsegment") == "MACHINERY"))

@@ -117,3 +117,18 @@ def test_sequence_records_keep_whole_turns(spark, tmp_path):
     spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     out = sorted((r.number, r.text) for r in catalog.QUERIES["W09_sequence_records"](spark, str(tmp_path)).collect())
     assert out == [(1, turns[1]), (2, turns[2]), (3, f"{turns[3]} 0. {turns[4]} 1. {turns[5]}")]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test data")
+@pytest.mark.parametrize("name", ["T05_date_then_id_whole", "S21_key_lookup_whole"])
+def test_every_order_has_a_row(spark, name):
+    test_query_equals_its_sql(spark, name)
+    assert catalog.QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
+
+
+def test_orders_without_a_date_come_last(spark, tmp_path):
+    rows = [(k, "P" if k % 3 == 0 else "O", f"2024-01-0{k % 4 + 1}") for k in range(1, 901)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [r.o_orderkey for r in catalog.QUERIES["T05_date_then_id_whole"](spark, str(tmp_path)).orderBy("position").collect()]
+    dated = sorted((r for r in rows if r[1] == "O"), key=lambda r: (-int(r[2][-1]), r[0]))
+    assert got == [r[0] for r in dated] + [r[0] for r in rows if r[1] == "P"]
