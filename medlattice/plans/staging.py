@@ -129,6 +129,18 @@ def raw_checks(d: Domain) -> DataFrame:
     return validate.raw_problems(raw).filter("check_name = 'json'").select("key", "check_name", "detail")
 
 
+@query("A31_raw_record_checks_whole", """WITH r AS (SELECT *, (CASE WHEN doc_id % 50 = 7 THEN doc_id - 1 ELSE doc_id END)::VARCHAR AS key FROM documents)
+SELECT key, 'empty' AS check_name, 'source_document_id' AS detail FROM r WHERE trim(coalesce(source, '')) = '' UNION ALL SELECT key, 'empty', 'source_location' FROM r WHERE doc_id % 50 = 8 UNION ALL SELECT key, 'empty', 'source_text' FROM r WHERE trim(coalesce(text, '')) = ''
+ UNION ALL SELECT key, 'empty', 'raw_json' FROM r WHERE doc_id % 50 = 9 UNION ALL SELECT key, 'duplicate', 'source_record_id' FROM r GROUP BY key HAVING count(*) > 1
+ UNION ALL SELECT key, 'json', 'invalid' FROM r WHERE doc_id % 10 = 0 OR doc_id % 50 = 9 UNION ALL SELECT key, 'json', 'neither object nor array' FROM r WHERE doc_id % 10 = 1""")
+def raw_checks_whole(d: Domain) -> DataFrame:
+    """All findings over whole rows as JSON, with broken, scalar and blank bodies, blank places and repeated ids mixed in."""
+    k, body = F.col("doc_id"), F.to_json(F.struct("*"))
+    broken = F.when(k % 50 == 9, " ").when(k % 10 == 0, F.substr(body, F.lit(1), F.length(body) - 1)).when(k % 10 == 1, F.concat(F.lit('"'), k.cast("string"), F.lit('"')))
+    raw = d.table("documents").select(F.when(k % 50 == 7, k - 1).otherwise(k).cast("string").alias("source_record_id"), F.col("source").alias("source_document_id"), F.when(k % 50 == 8, " ").otherwise("Page 1").alias("source_location"), F.col("text").alias("source_text"), F.coalesce(broken, body).alias("raw_json"))
+    return validate.raw_problems(raw).select("key", "check_name", "detail")
+
+
 @query("J09_lineage", """ SELECT l_orderkey::VARCHAR || '-' || l_linenumber AS key, CASE WHEN d.doc_id IS NULL THEN 'missing raw source' ELSE 'reason is absent from source_text' END AS detail FROM lineitem LEFT JOIN documents d ON l_orderkey = d.doc_id
  WHERE d.doc_id IS NULL OR NOT list_has_any(regexp_extract_all(lower(l_returnflag || ' the and'), '[a-z0-9]{3,}'), regexp_extract_all(lower(d.text), '[a-z0-9]{3,}'))""", domain=True)
 def lineage(d: Domain) -> DataFrame:

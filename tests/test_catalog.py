@@ -132,3 +132,10 @@ def test_orders_without_a_date_come_last(spark, tmp_path):
     got = [r.o_orderkey for r in catalog.QUERIES["T05_date_then_id_whole"](spark, str(tmp_path)).orderBy("position").collect()]
     dated = sorted((r for r in rows if r[1] == "O"), key=lambda r: (-int(r[2][-1]), r[0]))
     assert got == [r[0] for r in dated] + [r[0] for r in rows if r[1] == "P"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test data")
+def test_raw_records_get_all_checks(spark):
+    test_query_equals_its_sql(spark, "A31_raw_record_checks_whole")
+    found = {(r.check_name, r.detail) for r in catalog.QUERIES["A31_raw_record_checks_whole"](spark, DATA).collect()}
+    assert found >= {("empty", "source_location"), ("empty", "raw_json"), ("duplicate", "source_record_id"), ("json", "invalid"), ("json", "neither object nor array")}
