@@ -6,9 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -22,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share; a temporary one only in local mode, where the session may name none (tests)."""
     global _local_dir
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError(f"{CHECKPOINT_KEY} names no folder, and executors of a cluster share no temporary one")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="medlattice-")
         atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
@@ -78,30 +85,30 @@ def narrow(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def size_checked(df: DataFrame, limit_rows: int) -> bool:
-    """Whether df has at most limit_rows rows; reads no more than limit_rows + 1 of them."""
-    return len(df.limit(limit_rows + 1).select(F.lit(1)).collect()) <= limit_rows
-
-
 def prefix_sums(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, name: str) -> DataFrame:
     """df with the sum of ``value`` over the earlier rows of its group, without sorting a group in one task.
 
     ``bucket`` must be monotone in ``order``: rows of a smaller bucket come
     first. Each (group, bucket) is summed alone and shifted by the sums of the
     buckets before it, so a group with a third of all rows is spread over as
-    many tasks as it has buckets.
+    many tasks as it has buckets. A group with many buckets sums them in two
+    levels, by the bucket without its last two digits and within it.
     """
-    keyed = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("long"))
-    sums = keyed.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    keyed = df.withColumn("_bucket", bucket.cast("string")).withColumn("_value", value.cast("long"))
+    # an exchange of its own: one by the group alone would satisfy the window and put a hot group in one task
+    keyed = keyed.repartition(*[F.col(f"`{c}`") for c in group], F.col("_bucket"))
+    sums = keyed.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum")).withColumn("_upper", F.substring("_bucket", F.lit(1), F.greatest(F.length("_bucket") - 2, F.lit(0))))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    upper = sums.groupBy(*group, "_upper").agg(F.sum("_sum").alias("_sum"))
+    names = [F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group)]
+    upper = upper.select(*names, F.col("_upper").alias("_u"), F.coalesce(F.sum("_sum").over(earlier(*group).orderBy("_upper")), F.lit(0)).alias("_far"))
+    near = sums.withColumn("_near", F.coalesce(F.sum("_sum").over(earlier(*group, "_upper").orderBy("_bucket")), F.lit(0)))
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+    met = near.join(upper, reduce(and_, [*same, F.col("_upper").eqNullSafe(F.col("_u"))]))
+    shift = met.select(*[F.col(f"_g{i}") for i in range(len(group))], F.col("_bucket").alias("_b"), (F.col("_far") + F.col("_near")).alias("_shift"))
     within = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = keyed.withColumn("_before", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)] + [F.col("_bucket").eqNullSafe(F.col("_b"))]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    return summed.join(shift, cond).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_shift")).cast("long").alias(name))
+    return summed.join(shift, reduce(and_, [*same, F.col("_bucket").eqNullSafe(F.col("_b"))])).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_shift")).cast("long").alias(name))
 
 
 def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
@@ -140,25 +147,30 @@ def connected(edges: DataFrame, staged: Staged, rows: int, left: str = "node", r
             return labels.select("node", "label")
 
 
-def annotate(docs: DataFrame, fn, fields: str, text: str = "text") -> DataFrame:
+def annotate(docs: DataFrame, fn, fields: str, text: str = "text", inputs: tuple[str, ...] = ()) -> DataFrame:
     """docs with new columns that ``fn(batch, text) -> {name: pyarrow array}`` computes from Arrow batches.
 
-    ``fields`` is their DDL. A column of the input that has the name of a new
-    one is replaced. Memory is bounded by an Arrow batch, not by the input.
+    ``fields`` is their DDL. Only the text and ``inputs`` go to Python and only
+    the new columns come back; Spark keeps the others meanwhile. A column of the
+    input that has the name of a new one is replaced. Memory is bounded by an
+    Arrow batch (spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch).
     """
-    from pyspark.sql import types as T
-
     added = T._parse_datatype_string(fields)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added.names or c == text])
-    schema = T.StructType([f for f in kept.schema.fields if f.name not in added.names] + added.fields)
-    names = [f.name for f in schema.fields]
-
-    def run(batches):
-        import pyarrow as pa
+    names = added.names
 
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            if batch.num_rows:
-                new = fn(batch, text)
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
-
-    return kept.mapInArrow(run, schema)
+            new = fn(pa.RecordBatch.from_struct_array(batch), text)
+            yield pa.StructArray.from_arrays([new[n] for n in names], names=names)
+            del batch, new
+            pa.default_memory_pool().release_unused()
+
+    # not to be repeated where a result is used twice, so it counts as nondeterministic
+    made = F.arrow_udf(each, added).asNondeterministic()
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    name = "_new"
+    while name in kept:
+        name += "_"
+    asked = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys((text, *inputs))])
+    marked = docs.select(*[F.col(f"`{c}`") for c in kept], made(asked).alias(name))
+    return marked.select(*[F.col(f"`{c}`") for c in kept], *[F.col(name)[n].alias(n) for n in names])

@@ -6,8 +6,9 @@ meet the items' kept hashes within their own task, and each hit is extended word
 by word in both directions; runs of SPAN words or more count. An item of fewer
 words is one window and is looked up by the hash of all its words.
 
-Items are read in blocks of at most ``BLOCK_MB`` of text, each sent with the task;
-more blocks make more passes within the same stage, never a shuffle of texts.
+Items of up to SEND_BLOCKS blocks of ``BLOCK_MB`` of text are sent with the tasks, a
+pass within the same stage for each. A larger benchmark stays on the executors:
+fingerprints of both sides are joined and the pairs that share one verified.
 
 Defined results: null or empty texts and items have no words, so no window and
 no hit. Items with equal texts all count. Repeated rows are judged alike.
@@ -19,13 +20,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, narrow, table
+from .common import Staged, annotate, narrow, table
 from .words import ALNUM, Block, blocks, gram_hashes, sliding_min
 
-SPAN, GRAM, BLOCK_MB = 10, 5, 32
+SPAN, GRAM, BLOCK_MB, SEND_BLOCKS = 10, 5, 32, 2
 
 
 def _kept(grams: np.ndarray, width: int) -> np.ndarray:
@@ -125,9 +126,11 @@ class ItemIndex:
 
 
 RESULT = "n_words bigint, hit_spans array<struct<a:bigint,b:bigint>>, hit_items array<string>"
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _pass(docs: DataFrame, ids: list[str], texts: list[str | None], text: str, again: bool) -> DataFrame:
+def _pass(docs: DataFrame, ids: list[str], texts: list[str], text: str, before: bool) -> DataFrame:
+    """docs with the hits of a block of items, added to those of earlier blocks."""
     token = uuid.uuid4().hex  # workers outlive a pass, and other items may have the same ids
 
     def run(batch, text):
@@ -135,7 +138,7 @@ def _pass(docs: DataFrame, ids: list[str], texts: list[str | None], text: str, a
             _pass.cache |= {"index": ItemIndex(ids, texts), "token": token}
         index = _pass.cache["index"]
         n_words, spans, items = [], [], []
-        before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hit_spans", "hit_items")] if again else None
+        old = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hit_spans", "hit_items")] if before else None
         for lo, hi, block in blocks(batch, ALNUM, True, text):
             a, b, item = index.hits(block)
             doc = np.searchsorted(block.first, a, "right") - 1
@@ -146,40 +149,110 @@ def _pass(docs: DataFrame, ids: list[str], texts: list[str | None], text: str, a
                 own = order[cut[i] : cut[i + 1]]
                 s = [{"a": x - int(block.first[i]), "b": y - int(block.first[i])} for x, y in sorted(set(zip(a[own].tolist(), b[own].tolist(), strict=True)))] if len(own) else []
                 t = sorted({index.ids[k] for k in item[own]}) if len(own) else []
-                if again:
-                    s, t = before[0][lo + i] + s, sorted({*before[1][lo + i], *t})
+                if before:
+                    s, t = old[0][lo + i] + s, sorted({*old[1][lo + i], *t})
                 spans.append(s)
                 items.append(t)
             n_words.append(np.diff(block.first).astype(np.int64))
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        return {"n_words": pa.array(np.concatenate(n_words)), "hit_spans": pa.array(spans, kind), "hit_items": pa.array(items, pa.list_(pa.string()))}
+        return {"n_words": pa.array(np.concatenate([np.zeros(0, np.int64), *n_words])), "hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(items, pa.list_(pa.string()))}
 
-    if again:
-        docs = docs.withColumnsRenamed({})
-        return _again(docs, run, text)
-    return annotate(docs, run, RESULT, text)
+    return annotate(docs, run, RESULT, text, ("hit_spans", "hit_items") if before else ())
 
 
 _pass.cache = {}
 
 
-def _again(docs: DataFrame, run, text: str) -> DataFrame:
-    names = docs.columns
+def _prints(rows: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(key, print): the kept hashes of each text; a text of fewer than ``span`` words gives the hash of all its words."""
 
-    def each(batches):
+    def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                new = run(batch, text)
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(i) for i, c in enumerate(names)], names=names)
+            keys = batch.column(0).to_pylist()
+            for lo, hi, block in blocks(batch, ALNUM, True, text):
+                out_keys, out = [], [np.zeros(0, np.uint64)]
+                for i in range(hi - lo):
+                    own = block.hashes[block.first[i] : block.first[i + 1]]
+                    if len(own) >= span:
+                        g = gram_hashes(own, gram)
+                        own = np.unique(g[_kept(g, span - gram + 1)])
+                    elif len(own):
+                        own = gram_hashes(own, len(own))
+                    out.append(own)
+                    out_keys += [keys[lo + i]] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(out_keys, batch.column(0).type), pa.array(np.concatenate(out).view(np.int64))], names=["key", "print"])
+
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lambda b: run(b), f"key {rows.schema[key].dataType.simpleString()}, print long")
+
+
+def _by_join(docs: DataFrame, items: DataFrame, text: str, staged: Staged) -> DataFrame:
+    """docs with hits, for a benchmark that is too large to be sent.
+
+    Fingerprints of both sides are joined, so a text meets only the items it can
+    hold. Items of fewer than SPAN words can lie anywhere in a text, and are so
+    joined with the hashes of all runs of their lengths. Each pair is then
+    verified and extended in a task of its own batch, and a text's hits united.
+    """
+    known = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    keyed = docs.withColumn("_key", F.when(F.length(text) > 0, known))
+    texts = staged.write(keyed.filter("_key is not null").groupBy(F.col("_key.a").alias("a")).agg(F.first(text).alias("text")))
+    rows = staged.write(items.filter("length(t) > 0").groupBy("t").agg(F.sort_array(F.collect_set(F.coalesce("id", F.lit("")))).alias("ids")).withColumn("item", F.xxhash64("t")))
+    lengths = sorted(r[0] for r in rows.select(F.size(_words("t")).alias("n")).filter(f"n between 1 and {SPAN - 1}").distinct().collect())
+    found = _prints(texts, "a", "text").unionByName(_runs(texts, lengths)) if lengths else _prints(texts, "a", "text")
+    pairs = found.withColumnRenamed("key", "a").join(_prints(rows, "item", "t").withColumnRenamed("key", "item"), "print").select("a", "item").distinct()
+
+    def verify(batches):
+        for batch in batches:
+            keys, body, names, item = (batch.column(i).to_pylist() for i in range(4))
+            a_out, spans, ids = [], [], []
+            for k, b, n, t in zip(keys, body, names, item, strict=True):
+                data = np.frombuffer(b.encode(), np.uint8)
+                block = Block(data, np.array([0, len(data)]), ALNUM, True)
+                a, e, _ = ItemIndex([""], [t]).hits(block)
+                if len(a):
+                    a_out.append(k)
+                    spans.append([{"a": x, "b": y} for x, y in sorted(set(zip(a.tolist(), e.tolist(), strict=True)))])
+                    ids.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))], names=["a", "spans", "ids"])
+
+    met = pairs.join(rows, "item").join(texts, "a").select("a", "text", "ids", "t")
+    hits = met.mapInArrow(verify, "a long, spans array<struct<a:bigint,b:bigint>>, ids array<string>")
+    hits = staged.write(hits.groupBy("a").agg(F.flatten(F.collect_list("spans")).alias("hit_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("hit_items")))
+    made = {"n_words", "hit_spans", "hit_items"}
+    kept = [c for c in docs.columns if c.lower() not in made]
+    plain = keyed.select(*kept, F.size(_words(text)).cast("long").alias("n_words"), F.col("_key.a").alias("a"))
+    none = "cast(array() as array<struct<a:bigint,b:bigint>>)"
+    return plain.join(hits, "a", "left").select(*kept, "n_words", F.coalesce("hit_spans", F.expr(none)).alias("hit_spans"), F.coalesce("hit_items", F.expr("cast(array() as array<string>)")).alias("hit_items"))
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+
+
+def _runs(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, print): hashes of all runs of the given numbers of words."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for lo, hi, block in blocks(batch, ALNUM, True):
+                out_keys, out = [], [np.zeros(0, np.uint64)]
+                for i in range(hi - lo):
+                    own = block.hashes[block.first[i] : block.first[i + 1]]
+                    for n in lengths:
+                        out.append(np.unique(gram_hashes(own, n)))
+                        out_keys += [keys[lo + i]] * len(out[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(np.concatenate(out).view(np.int64))], names=["key", "print"])
 
-    return docs.mapInArrow(each, docs.schema)
+    return texts.select("a", "text").mapInArrow(run, "key long, print long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_mb: float = BLOCK_MB) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_mb: float = BLOCK_MB, send_blocks: int = SEND_BLOCKS) -> DataFrame:
     """docs with ``n_words``, ``hit_spans`` (runs of words, ends excluded) and ``hit_items`` (sorted ids)."""
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-size // int(block_mb * 1e6)))
+    if count > send_blocks:
+        return _by_join(docs, items, text, Staged(docs.sparkSession, "decontaminate"))
     out = docs
     for k in range(count):
         rows = sorted((r["id"] or "", r["t"]) for r in items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(count)) == k).collect() if r["t"])
@@ -197,3 +270,17 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", hit_count().alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k:k+9], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, k, array_to_string(ws[k:k+n-1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, sizes WHERE len(ws) >= n)),
+h AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM h)) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+"""

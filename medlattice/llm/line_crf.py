@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import annotate, narrow, table
 from .quality_rules import _CLASS, _VOCABULARY, CLASSES
-from .words import Block, U, blocks, mix
+from .words import Block, U, blocks, class_counts, mix
 
 #: Training takes about this many documents, drawn by hash, and at most this many lines of each.
 SAMPLE_DOCS, SAMPLE_LINES, THRESHOLD = 5000, 64, 0.3
@@ -36,15 +36,12 @@ def _own_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cuts = np.unique(np.concatenate([block.offsets[:-1], breaks]))
     cuts = cuts[cuts < len(data)] if len(data) else cuts[:0]
     n_lines = len(cuts)
-    ends = np.append(cuts[1:], len(data))
-    at = np.repeat(np.arange(n_lines), ends - cuts)
-    classes = np.bincount(at * N_CLASS + _CLASS[data], minlength=n_lines * N_CLASS).reshape(n_lines, N_CLASS)[:, : len(CLASSES)].astype(np.float64)
+    bounds = np.append(cuts, len(data)) if n_lines else np.zeros(1, np.int64)
+    classes = class_counts(_CLASS, data, bounds, N_CLASS)[:, : len(CLASSES)].astype(np.float64)
     chars = np.maximum(classes.sum(1), 1)
     line_of = np.searchsorted(cuts, block.starts, "right") - 1
     words = np.bincount(line_of, minlength=n_lines)
-    lowered = Block.__new__(Block)
-    lowered.__dict__ |= block.__dict__ | {"lower": True, "_hashes": None}
-    h = lowered.hashes
+    h = block.lowered().hashes
     found = np.searchsorted(_VOCABULARY, h)
     found[found == len(_VOCABULARY)] = 0
     common = np.bincount(line_of, _VOCABULARY[found] == h, n_lines)
@@ -140,10 +137,22 @@ class Model:
     trans: np.ndarray
     constant: float | None = None
 
+    def unary(self, own: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """``features(own, doc) @ weights`` without the wide matrix."""
+        mine, before, after = (own @ w for w in self.weights[: 3 * N_OWN].reshape(3, N_OWN))
+        bias, first, last = self.weights[3 * N_OWN :]
+        same = doc[1:] == doc[:-1]
+        out = mine + bias
+        out[1:] += np.where(same, before[:-1], first)
+        out[:-1] += np.where(same, after[1:], last)
+        out[:1] += first
+        out[-1:] += last
+        return out
+
     def scores(self, own: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
         if self.constant is not None:
             return np.full(docs, self.constant)
-        unary = features(own, doc) @ self.weights
+        unary = self.unary(own, doc)
         good = np.zeros(len(doc))
         for index, n in chains(doc):
             p, _, _ = forward_backward(unary, self.trans, index, n)
@@ -218,13 +227,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with ``score`` (double)."""
 
     def run(batch, text):
-        parts, base = [], 0
+        parts = [np.zeros(0)]
         for lo, hi, block in blocks(batch, text=text):
-            own, weight, doc = _own_features(block)
-            parts.append((own, weight, doc + base))
-            base += hi - lo
-        own, weight, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return {"score": pa.array(model.scores(own, weight, doc, base))}
+            parts.append(model.scores(*_own_features(block), hi - lo))
+        return {"score": pa.array(np.concatenate(parts), pa.float64())}
 
     return annotate(docs, run, "score double", text)
 

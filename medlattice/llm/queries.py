@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_distribution_divergence": quality_rules.OP1_SQL,
     "op4_site_relative_frequency": line_dedup.OP4_SQL,
     "op6_fm_index": substring_dedup.OP6_SQL,
     "op8_systematic_sampling": mixing.OP8_SQL,
     "op9_signature_tree": ngram_join.OP9_SQL,
+    "op10_winnowing": decontaminate.OP10_SQL,
 }

@@ -26,6 +26,7 @@ other's words; a null id removes nothing and loses nothing.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -242,8 +243,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return staged.write(found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), size[0])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs(doc_id, text) with ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, kept_text: bool = True) -> DataFrame:
+    """docs(doc_id, text) with ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, ``kept_text``."""
     spans = repeated_spans(narrow(docs, "doc_id", "text"), window, gram)
     few = spans.count() <= SEND_DOCS
     spans = spans.select(F.col("doc_id").alias("_doc"), F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"]))).alias("_spans"))
@@ -255,27 +256,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         for lo, hi, block in blocks(batch, text=text):
             for i in range(hi - lo):
                 a, b = block.first[i], block.first[i + 1]
+                words = block.bytes_of(block.offsets[i], block.offsets[i + 1]).split()
                 if cut[lo + i]:
                     keep = np.ones(b - a, bool)
                     for x, y in zip(cut[lo + i][::2], cut[lo + i][1::2], strict=True):
                         keep[x:y] = False
-                    at = np.flatnonzero(keep) + a
-                    words = b" ".join(block.bytes_of(s, e) for s, e in zip(block.starts[at].tolist(), block.ends[at].tolist(), strict=True))
-                    removed.append(int(b - a - len(at)))
-                else:
-                    words = b" ".join(block.bytes_of(block.offsets[i], block.offsets[i + 1]).split())
-                    removed.append(0)
+                    words = list(compress(words, keep.tolist()))
                 n_words.append(int(b - a))
-                digest.append(hashlib.sha256(words).hexdigest())
-                kept.append(words.decode())
-        return {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept, pa.string())}
+                removed.append(int(b - a) - len(words))
+                joined = b" ".join(words)
+                digest.append(hashlib.sha256(joined).hexdigest())
+                if kept_text:
+                    kept.append(joined.decode())
+        out = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+        return out | ({"kept_text": pa.array(kept, pa.string())} if kept_text else {})
 
-    return annotate(met, run, "n_words long, n_removed long, kept_sha256 string, kept_text string").drop("_spans")
+    fields = "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if kept_text else "")
+    return annotate(met, run, fields, inputs=("_spans",)).drop("_spans")
 
 
 def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(docs, kept_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP6_SQL = r"""

@@ -1,8 +1,12 @@
 """Vectorized word kernels over UTF-8 buffers.
 
 Words are found and hashed for a whole block of documents at once: a byte mask
-gives the spans, a polynomial prefix sum modulo 2**64 gives every span's hash,
-and the same trick over word hashes gives n-gram hashes.
+gives the spans and a polynomial prefix sum modulo 2**64 gives every span's hash.
+N-gram hashes are composed by doubling from the hashes of shorter grams.
+
+A block never splits a document, but what takes eight bytes or more for each
+byte of text is made in pieces of PIECE_BYTES. A very long text so needs a few
+times its own size (the spans and hashes of its words) and no more.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ U = np.uint64
 _MULT, _GRAM = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93)
 _GOLD, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 BLOCK_BYTES = 1 << 19
+PIECE_BYTES = 1 << 19
 
 #: The bytes that separate words, space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -55,7 +60,38 @@ class _Powers:
         return self.up, self.down
 
 
-_byte_powers, _word_powers = _Powers(_MULT), _Powers(_GRAM)
+_byte_powers = _Powers(_MULT)
+
+
+def _pieces(n: int) -> Iterator[tuple[int, int]]:
+    return ((a, min(n, a + PIECE_BYTES)) for a in range(0, n, PIECE_BYTES))
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Polynomial hash of the bytes of each span (sorted, apart), from the prefix sums of one piece at a time."""
+    out = np.zeros(len(starts), U)
+    for a, b in _pieces(len(data)):
+        up, down = _byte_powers.to(b - a + 1)
+        sums = np.zeros(b - a + 1, U)
+        np.cumsum(byte[data[a:b]] * up[: b - a], out=sums[1:])
+        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+        if lo < hi:
+            s, e = np.maximum(starts[lo:hi], a) - a, np.minimum(ends[lo:hi], b) - a
+            part = (sums[e] - sums[s]) * down[s]
+            if starts[lo] < a:  # goes on from an earlier piece
+                part[:1] *= U(pow(int(_MULT), int(a - starts[lo]), 1 << 64))
+            out[lo:hi] += part
+    return mix(out + (ends - starts).astype(U))
+
+
+def class_counts(kind: np.ndarray, data: np.ndarray, bounds: np.ndarray, classes: int) -> np.ndarray:
+    """How many bytes of each class (``kind`` of 256) lie between consecutive bounds."""
+    out = np.zeros((len(bounds) - 1) * classes, np.int64)
+    for a, b in _pieces(len(data)):
+        lo, hi = np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, b, "left")
+        at = np.repeat(np.arange(hi - lo), np.diff(np.clip(bounds[lo : hi + 1], a, b)))
+        out[lo * classes : hi * classes] += np.bincount(at * classes + kind[data[a:b]], minlength=(hi - lo) * classes)
+    return out.reshape(-1, classes)
 
 
 class Block:
@@ -80,29 +116,39 @@ class Block:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            n = len(self.data)
-            up, down = _byte_powers.to(n + 1)
-            sums = np.zeros(n + 1, U)
-            np.cumsum((_BYTE_LOWER if self.lower else _BYTE)[self.data] * up[:n], out=sums[1:])
-            self._hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
+            self._hashes = _span_hashes(self.data, self.starts, self.ends, _BYTE_LOWER if self.lower else _BYTE)
         return self._hashes
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each position on; positions near a document's end mix two documents."""
         return gram_hashes(self.hashes, k)
 
+    def lowered(self) -> Block:
+        """The same words, hashed in lower case."""
+        out = Block.__new__(Block)
+        out.__dict__ |= self.__dict__ | {"lower": True, "_hashes": None}
+        return out
+
     def bytes_of(self, a: int, b: int) -> bytes:
         return self.data[a:b].tobytes()
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    n = len(hashes)
-    if n < k:
+    """Hash of every k consecutive words: the polynomial of their hashes, composed from runs of 1, 2, 4, ... words."""
+    n, want = len(hashes) - k + 1, k
+    if n < 1:
         return np.zeros(0, U)
-    up, down = _word_powers.to(n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(hashes * up[:n], out=sums[1:])
-    return mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1] + U(k))
+    power = lambda m: U(pow(int(_GRAM), m, 1 << 64))
+    run, width, out, have = hashes, 1, None, 0
+    while want:
+        if want & 1:
+            out = run if out is None else out[: len(run) - have] + power(have) * run[have : have + len(out)]
+            have += width
+        want >>= 1
+        if want:
+            run = run[:-width] + power(width) * run[width:]
+            width *= 2
+    return mix(out[:n] + U(k))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
