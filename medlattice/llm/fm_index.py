@@ -31,7 +31,7 @@ class Wavelet:
             zeros = int(n - bit.sum())
             self.levels.append((b, words, count.astype(np.int32), zeros))
             now = np.concatenate([now[bit == 0], now[bit == 1]])
-        every = np.arange(1 << bits) if bits <= 22 else None
+        every = np.arange(1 << bits)  # at most twice the words of one index
         self.base = self._descend(every, np.zeros(len(every), np.int64))
 
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:

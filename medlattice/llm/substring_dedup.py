@@ -10,8 +10,8 @@ over it also starts in a document with a smaller id.
    Of the windows of all segments only first occurrences are worth indexing: a
    segment goes into its shard's FM-index if its document is the smallest of at
    least one repeated window. A shard with many segments is read in parts, each
-   of which offers its own first ones; a passage of a third of all documents is
-   so indexed once a part.
+   of which offers its own first ones; what the parts offer is read again in
+   fewer parts, so a passage of a third of all documents is indexed once.
 3. All segments are streamed backwards through their shard's index. Matching
    statistics of WINDOW words or more, with an owner smaller than the segment's
    document, are intervals to remove. Shards with many segments are searched by
@@ -119,17 +119,18 @@ def _groups(batches, columns: int):
 
 
 def _first_segments(rows: DataFrame, window: int) -> DataFrame:
-    """(shard, doc_id, start, words): segments whose document is the smallest of a window, in each (shard, part) of rows.
+    """(shard, doc_id, start, words, again): segments whose document is the smallest of a window, in each (shard, part) of rows.
 
     Equal windows have one anchor and so one shard. Where a shard is one part,
-    windows of a single document are left out.
+    windows of a single document are left out; ``again`` marks segments that
+    hold a window which some part has seen repeat.
     """
 
     def run(batches):
-        for (shard, _), held in _groups(batches, 6):
+        for (shard, _), held in _groups(batches, 7):
             block = _block([h[5] for h in held])
             sizes = np.diff(block.first)
-            owner = np.repeat(np.arange(len(held)), sizes)
+            owner = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
             keys = gram_hashes(block.hashes, window)
             at = np.flatnonzero(owner[: len(keys)] == owner[window - 1 :])
             keys, owner = keys[at], owner[at]
@@ -138,14 +139,41 @@ def _first_segments(rows: DataFrame, window: int) -> DataFrame:
             keys, owner, doc = keys[order], owner[order], doc[order]
             begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             size = np.diff(np.append(begin, len(keys)))
-            good = np.repeat((doc[begin] < doc[begin + size - 1]) | (held[0][2] > 1), size) & (doc == np.repeat(doc[begin], size))
+            least = doc == np.repeat(doc[begin], size)
+            repeats = least & np.repeat(doc[begin] < doc[begin + size - 1], size)
+            again = np.array([h[6] for h in held], bool)
+            good = repeats | least & (again[owner] | (held[0][2] > 1))
+            again[owner[repeats]] = True
             chosen = np.unique(owner[good])
-            if len(chosen):
-                own = [held[i] for i in chosen]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own), pa.int64()), pa.array([h[3] for h in own], pa.int64()), pa.array([h[4] for h in own], pa.int32()), pa.array([h[5] for h in own], pa.binary())], names=["shard", "doc_id", "start", "words"])
+            for k in range(0, len(chosen), 2000):
+                own = [held[i] for i in chosen[k : k + 2000]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * len(own), pa.int64()), pa.array([h[3] for h in own], pa.int64()), pa.array([h[4] for h in own], pa.int32()), pa.array([h[5] for h in own], pa.binary()), pa.array(again[chosen[k : k + 2000]])],
+                    names=["shard", "doc_id", "start", "words", "again"],
+                )
 
-    ordered = rows.select("shard", "part", "parts", "doc_id", "start", "words").repartition("shard", "part").sortWithinPartitions("shard", "part")
-    return ordered.mapInArrow(run, "shard long, doc_id long, start int, words binary")
+    ordered = rows.select("shard", "part", "parts", "doc_id", "start", "words", "again").repartition("shard", "part").sortWithinPartitions("shard", "part")
+    return ordered.mapInArrow(run, "shard long, doc_id long, start int, words binary, again boolean")
+
+
+def _in_parts(rows: DataFrame, staged: Staged, shards: int, task_segments: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with part and parts, the table of parts, the most parts of a shard) of rows(shard, doc_id, start, ...)."""
+    parts = staged.write(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / task_segments).cast("int").alias("parts")), shards)
+    dealt = rows.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int"))
+    return dealt, parts, parts.agg(F.max("parts")).first()[0] or 0
+
+
+def _indexed(stream: DataFrame, most: int, staged: Staged, shards: int, window: int, task_segments: int) -> DataFrame:
+    """The segments to index: what the parts of a shard offer is read again until a shard is one part or shrinks no more."""
+    offered = staged.write(_first_segments(stream.withColumn("again", F.lit(False)), window))
+    while most > 1:
+        dealt, _, now = _in_parts(offered, staged, shards, task_segments)
+        if now >= most:
+            break
+        fewer = staged.write(_first_segments(dealt, window))
+        staged.drop(offered)
+        offered, most = fewer, now
+    return offered.select("shard", "doc_id", "start", "words")
 
 
 def _search(rows: DataFrame, window: int) -> DataFrame:
@@ -218,7 +246,7 @@ def _search(rows: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, a int, b int")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, task_segments: int = TASK_SEGMENTS) -> DataFrame:
     """(doc_id, spans) of documents(doc_id, text) that lose words; spans are pairs of word numbers, ends excluded."""
     staged = Staged(docs.sparkSession, "substring_dedup")
     docs = docs.filter("doc_id is not null and text is not null")
@@ -232,20 +260,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     staged.drop(anchors, wanted)
 
     shards = max(1, -(-segments.count() // SHARD_SEGMENTS))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    parts = staged.write(segments.groupBy(shard.alias("shard")).agg(F.ceil(F.count(F.lit(1)) / TASK_SEGMENTS).cast("int").alias("parts")), shards)
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")
-    stream = segments.withColumn("shard", shard).join(parts, "shard").withColumn("part", part).withColumn("kind", F.lit(1))
-    indexed = staged.write(_first_segments(stream, window))
+    named = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    stream, parts, most = _in_parts(named, staged, shards, task_segments)
+    stream = stream.withColumn("kind", F.lit(1))
+    indexed = _indexed(stream, most, staged, shards, window, task_segments)
     index = indexed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(0))
     columns = ["shard", "part", "kind", "doc_id", "start", "words"]
     found = _search(index.select(*columns).unionByName(stream.select(*columns)), window)
     return staged.write(found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), size[0])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, kept_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, kept_text: bool = True, task_segments: int = TASK_SEGMENTS) -> DataFrame:
     """docs(doc_id, text) with ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, ``kept_text``."""
-    spans = repeated_spans(narrow(docs, "doc_id", "text"), window, gram)
+    spans = repeated_spans(narrow(docs, "doc_id", "text"), window, gram, task_segments)
     few = spans.count() <= SEND_DOCS
     spans = spans.select(F.col("doc_id").alias("_doc"), F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"]))).alias("_spans"))
     met = docs.join(F.broadcast(spans) if few else spans, docs["doc_id"] == spans["_doc"], "left").drop("_doc")
