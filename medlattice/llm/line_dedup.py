@@ -51,6 +51,8 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     split = pages.select(F.col(page_id).alias("page_id"), F.coalesce(host(F.col(url)), F.lit("")).alias("host"), lines(F.col(html)).alias("lines"))
     keys = F.array_distinct(F.transform("lines", _key))
     seen = split.filter("host <> ''").select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    # a host has min_pages pages at least; lines of fewer pages than that implies go before a hot host's lines meet
+    seen = seen.filter(F.col("n") > F.lit(min_pages * float(max_ratio)))
     totals = split.select("host").filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= min_pages)
     bad = seen.join(totals, "host").filter(F.col("n") > F.col("total") * F.lit(float(max_ratio))).groupBy("host").agg(F.collect_set("key").alias("bad"))
     bad = Staged(pages.sparkSession, "line_dedup").write(bad, pages.count())
