@@ -19,10 +19,20 @@ from pyspark.sql.window import Window
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Rows of narrow results in one file; fewer files spare the store, and each still fits one task.
 ROWS_PER_FILE = 200_000
+#: Rows and bytes of an Arrow batch; each task holds a few batches on both sides of its Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 _local_dir: str | None = None
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts in small pieces, unless the session names sizes of its own."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -85,35 +95,47 @@ def narrow(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def prefix_sums(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, name: str, levels: int = 1) -> DataFrame:
     """df with the sum of ``value`` over the earlier rows of its group, without sorting a group in one task.
 
     ``bucket`` must be monotone in ``order``: rows of a smaller bucket come
     first. Each (group, bucket) is summed alone and shifted by the sums of the
     buckets before it, so a group with a third of all rows is spread over as
-    many tasks as it has buckets. A group with many buckets sums them in two
-    levels, by the bucket without its last two digits and within it.
+    many tasks as it has buckets. With two levels the buckets of a group are
+    summed by their names without the last two digits first, and so not in one
+    task either.
     """
     keyed = df.withColumn("_bucket", bucket.cast("string")).withColumn("_value", value.cast("long"))
     # an exchange of its own: one by the group alone would satisfy the window and put a hot group in one task
     keyed = keyed.repartition(*[F.col(f"`{c}`") for c in group], F.col("_bucket"))
-    sums = keyed.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum")).withColumn("_upper", F.substring("_bucket", F.lit(1), F.greatest(F.length("_bucket") - 2, F.lit(0))))
-    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    upper = sums.groupBy(*group, "_upper").agg(F.sum("_sum").alias("_sum"))
+    sums = keyed.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda window: F.coalesce(F.sum("_sum").over(window), F.lit(0))
     names = [F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group)]
-    upper = upper.select(*names, F.col("_upper").alias("_u"), F.coalesce(F.sum("_sum").over(earlier(*group).orderBy("_upper")), F.lit(0)).alias("_far"))
-    near = sums.withColumn("_near", F.coalesce(F.sum("_sum").over(earlier(*group, "_upper").orderBy("_bucket")), F.lit(0)))
     same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
-    met = near.join(upper, reduce(and_, [*same, F.col("_upper").eqNullSafe(F.col("_u"))]))
-    shift = met.select(*[F.col(f"_g{i}") for i in range(len(group))], F.col("_bucket").alias("_b"), (F.col("_far") + F.col("_near")).alias("_shift"))
-    within = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if levels == 1:
+        shift = sums.select(*names, F.col("_bucket").alias("_b"), so_far(before(*group).orderBy("_bucket")).alias("_shift"))
+    else:
+        sums = sums.withColumn("_upper", F.substring("_bucket", F.lit(1), F.greatest(F.length("_bucket") - 2, F.lit(0))))
+        upper = sums.groupBy(*group, "_upper").agg(F.sum("_sum").alias("_sum"))
+        upper = upper.select(*names, F.col("_upper").alias("_u"), so_far(before(*group).orderBy("_upper")).alias("_far"))
+        near = sums.withColumn("_near", so_far(before(*group, "_upper").orderBy("_bucket")))
+        met = near.join(upper, reduce(and_, [*same, F.col("_upper").eqNullSafe(F.col("_u"))]))
+        shift = met.select(*[F.col(f"_g{i}") for i in range(len(group))], F.col("_bucket").alias("_b"), (F.col("_far") + F.col("_near")).alias("_shift"))
+    within = before(*group, "_bucket").orderBy(*order)
     summed = keyed.withColumn("_before", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    return summed.join(shift, reduce(and_, [*same, F.col("_bucket").eqNullSafe(F.col("_b"))])).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_shift")).cast("long").alias(name))
+    met = summed.join(shift, reduce(and_, [*same, F.col("_bucket").eqNullSafe(F.col("_b"))]))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_shift")).cast("long").alias(name))
 
 
-def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str, levels: int = 1) -> DataFrame:
     """df with its 0-based rank within its group; see ``prefix_sums``."""
-    return prefix_sums(df, group, bucket, order, F.lit(1), name)
+    return prefix_sums(df, group, bucket, order, F.lit(1), name, levels)
+
+
+def levels_of(digits: int) -> int:
+    """One level for groups of up to 16 ** 4 buckets."""
+    return 1 if digits <= 4 else 2
 
 
 def hex_digits(rows: int, per_bucket: int = 500) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Staged, hex_digits, narrow, ranked, table
+from .common import Staged, hex_digits, levels_of, narrow, ranked, table
 
 WEIGHTS, TOTAL, MAX_REPEAT, SEED = (5, 2, 1), 1.5, 2, "mix"
 
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     draw = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     sized = sized.withColumn("_class", F.concat(F.lpad(F.length(F.bin("size")).cast("string"), 2, "0"), F.substring(F.bin("size"), 1, 4))).withColumn("_draw", draw)
     bucket = F.concat("_class", F.substring("_draw", 1, digits))
-    placed = ranked(sized, [source], bucket, [F.col("_class"), F.col("_draw"), F.col(doc_id), F.col("size"), F.xxhash64(text)], "_rank")
+    placed = ranked(sized, [source], bucket, [F.col("_class"), F.col("_draw"), F.col(doc_id), F.col("size"), F.xxhash64(text)], "_rank", levels_of(digits))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_source"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rates = goal.select("_source", "source_size", "target", rate.alias("_rate"), offset.alias("_offset"))

@@ -19,10 +19,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Staged, hex_digits, narrow, prefix_sums, ranked, table
+from .common import Staged, hex_digits, levels_of, narrow, prefix_sums, ranked, table
 
 SHARDS, ROUNDS = 16, 16
+#: Groups (about 100 bytes each) that are sent to all tasks; more are met by a join that splits hot keys.
+SEND_GROUPS = 200_000
 
 
 def _pick(values: list[int]) -> Column:
@@ -49,7 +52,7 @@ def propagate(blocks: DataFrame, room: int, shards: int, rounds: int, staged: St
         joins = (F.col("best.to") != F.col("shard")) & (small | (F.col("n") <= F.col("best.n")))
         asked = blocks.join(votes, "hub").select("hub", "shard", "n", F.when(stuck, F.lit(roomy)).when(joins, F.col("best.to")).alias("to"))
         order = F.concat(F.lpad((64 - F.length(F.bin("n"))).cast("string"), 2, "0"), _digits(F.col("hub"), size))
-        wants = prefix_sums(asked.filter("to is not null"), ["to"], order, [order, F.col("hub"), F.col("shard")], F.col("n"), "before")
+        wants = prefix_sums(asked.filter("to is not null"), ["to"], order, [order, F.col("hub"), F.col("shard")], F.col("n"), "before", levels_of(size))
         granted = wants.withColumn("a", F.least("n", F.greatest(F.lit(0), F.element_at(_pick(free), F.col("to") + 1) - F.col("before"))))
         parts = asked.filter("to is null").select("hub", "shard", "n", F.lit(0).alias("moved"))
         parts = parts.unionByName(granted.select("hub", "shard", (F.col("n") - F.col("a")).alias("n"), F.lit(0).alias("moved")))
@@ -74,25 +77,29 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id: s
     digits = hex_digits(rows)
     quota = [rows // shards + (s < rows % shards) for s in range(shards)]
     start = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
-    linked = base.filter("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    blocks = base.join(linked, "hub", "left_semi").groupBy("hub", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    # counted by (group, shard) first, so a hot group is at most ``shards`` rows when its members are summed
+    counts = base.filter("hub is not null").groupBy("hub", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = counts.withColumn("members", F.sum("n").over(Window.partitionBy("hub"))).filter("members > 1").drop("members")
     blocks = propagate(blocks, rows // shards, shards, rounds, staged, rows)
 
     # a shard over its quota gives up rows, small blocks first
     load = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     over = [max(0, load.get(s, 0) - quota[s]) for s in range(shards)]
     order = F.concat(F.lpad(F.length(F.bin("n")).cast("string"), 2, "0"), _digits(F.col("hub"), digits))
-    kept = prefix_sums(blocks, ["shard"], order, [order, F.col("hub")], F.col("n"), "before")
+    kept = prefix_sums(blocks, ["shard"], order, [order, F.col("hub")], F.col("n"), "before", levels_of(digits))
     kept = kept.withColumn("n", F.col("n") - F.least("n", F.greatest(F.lit(0), F.element_at(_pick(over), F.col("shard") + 1) - F.col("before")))).filter("n > 0")
-    stretches = kept.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("kept"))  # one entry a shard
+    stretches = staged.write(kept.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("kept")), rows)  # one entry a shard
+    few = stretches.count() <= SEND_GROUPS
+    met = F.broadcast(stretches) if few else stretches
+    hubs = F.broadcast(stretches.select("hub")) if few else stretches.select("hub")
 
     # members of a group are dealt to its stretches in the order of a rank
     draw = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")))
     drawn = base.withColumn("draw", draw)
-    members = ranked(drawn.join(stretches.select("hub"), "hub", "left_semi"), ["hub"], F.substring("draw", 1, digits), [F.col("draw"), F.col("doc_id")], "k")
+    members = ranked(drawn.join(hubs, "hub", "left_semi"), ["hub"], F.substring("draw", 1, digits), [F.col("draw"), F.col("doc_id")], "k", levels_of(digits))
     step = "case when s.shard is null and k < s.seen + x.n then named_struct('seen', s.seen + x.n, 'shard', x.shard) else named_struct('seen', s.seen + x.n, 'shard', s.shard) end"
-    placed = members.join(stretches, "hub").withColumn("shard", F.expr(f"aggregate(kept, named_struct('seen', 0L, 'shard', cast(null as int)), (s, x) -> {step}, s -> s.shard)"))
-    alone = drawn.join(stretches.select("hub"), "hub", "left_anti").withColumn("shard", F.lit(None).cast("int"))
+    placed = members.join(met, "hub").withColumn("shard", F.expr(f"aggregate(kept, named_struct('seen', 0L, 'shard', cast(null as int)), (s, x) -> {step}, s -> s.shard)"))
+    alone = drawn.join(hubs, "hub", "left_anti").withColumn("shard", F.lit(None).cast("int"))
     columns = ["doc_id", "size", "text_crc32", "draw", "shard"]
     all_rows = staged.write(placed.select(*columns).unionByName(alone.select(*columns)), rows)
 
@@ -102,10 +109,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id: s
     for s in range(shards):
         total += quota[s] - load.get(s, 0)
         ends.append(total)
-    loose = ranked(all_rows.filter("shard is null").withColumn("one", F.lit(1)), ["one"], F.substring("draw", 1, digits), [F.col("draw"), F.col("doc_id")], "k")
+    loose = ranked(all_rows.filter("shard is null").withColumn("one", F.lit(1)), ["one"], F.substring("draw", 1, digits), [F.col("draw"), F.col("doc_id")], "k", levels_of(digits))
     fill = F.size(F.filter(_pick(ends), lambda e: e <= F.col("k"))).cast("int")
     whole = all_rows.filter("shard is not null").unionByName(loose.select("doc_id", "size", "text_crc32", "draw", fill.alias("shard")))
-    slotted = ranked(whole, ["shard"], F.substring("draw", 1, digits), [F.col("draw"), F.col("doc_id")], "slot")
+    slotted = ranked(whole, ["shard"], F.substring("draw", 1, digits), [F.col("draw"), F.col("doc_id")], "slot", levels_of(digits))
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
