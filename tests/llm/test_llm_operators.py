@@ -1,6 +1,7 @@
 """Training-data operators against brute force and on odd inputs."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -51,6 +52,7 @@ def test_words_and_hashes(kind, pattern, monkeypatch):
     for _ in range(60):
         texts = [None if rng.random() < 0.1 else "".join(rng.choice("ab éB1 \n\t -!\x1f") for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 9))]
         monkeypatch.setattr(words, "BLOCK_BYTES", rng.choice([1, 10, 1000]))
+        monkeypatch.setattr(words, "PIECE_BYTES", rng.choice([1, 3, 7, 1000]))
         for a, b, block in words.blocks(pa.record_batch({"text": pa.array(texts, pa.string())}), kind, True):
             for i in range(a, b):
                 want = pattern.findall(lower(texts[i] or ""))
@@ -61,10 +63,19 @@ def test_words_and_hashes(kind, pattern, monkeypatch):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_grams_agree_with_the_polynomial():
+    h = np.random.default_rng(4).integers(0, 1 << 63, 40).astype(np.uint64)
+    for k in (1, 2, 3, 5, 8, 40, 41):
+        want = [sum(int(x) * pow(int(words._GRAM), j, 1 << 64) for j, x in enumerate(h[i : i + k])) % (1 << 64) for i in range(len(h) - k + 1)]
+        assert list(words.gram_hashes(h, k)) == list(words.mix(np.array(want, np.uint64) + np.uint64(k)))
+
+
 def test_ranked_and_connected(spark):
     df = spark.createDataFrame([(g, i) for g in ("a", None) for i in range(300)], "g string, i int")
     r = ranked(df, ["g"], F.lpad(F.col("i").cast("string"), 3, "0").substr(1, 2), [F.col("i")], "k").collect()
     assert all(x.k == x.i for x in r) and len(r) == 600
+    r = ranked(df, ["g"], F.lpad(F.col("i").cast("string"), 3, "0"), [F.col("i")], "k", 2).collect()
+    assert all(x.k == x.i for x in r) and len(r) == 600
     edges = spark.createDataFrame([(i, i // 2) for i in range(1, 20)] + [(i, i) for i in range(20)] + [(50, 50)], "node long, hub long")
     assert {x.node: x.label for x in connected(edges, Staged(spark, "t"), 50).collect()} == {i: 0 for i in range(20)} | {50: 50}
 
@@ -220,6 +231,27 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_rules.judge(pages.filter("page_id < 10"), labels.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_against_all_combinations(spark):
+    rng = random.Random(11)
+    rows = [(i, f"http://{rng.choice('abc')}.{rng.choice(['net', 'biz'])}/{rng.choice(['ü', 'x1'])}/{rng.choice('pq')}{i}?k={rng.choice('12')}") for i in range(240)]
+    bad = {i: ("biz" in u and "/ü/" in u or "k=1" in u and "/x1/" in u and "//a" in u) or rng.random() < 0.05 for i, u in rows}
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    split = pages.select("page_id", F.xxhash64("url").alias("id"), url_rules.tokens(F.col("url")).alias("tokens"))
+    held = {r.page_id: frozenset(r.tokens) for r in split.collect()}
+    found = url_rules.mine(split.join(spark.createDataFrame(list(bad.items()), "page_id long, bad boolean"), "page_id"), Staged(spark, "t"), 240, min_count=8).collect()
+    names = sorted({t for s in held.values() for t in s if sum(t in x for x in held.values()) > 7})
+    holders = {}
+    for n in range(1, 5):
+        for combo in itertools.combinations(names, n):
+            own = frozenset(i for i, s in held.items() if s.issuperset(combo))
+            if sum(bad[i] for i in own) >= max(8, 0.01 * sum(bad.values())) and sum(bad[i] for i in own) / len(own) >= 0.8:
+                holders[frozenset(combo)] = own
+    least = [c for c in holders if not any(o < c for o in holders)]
+    # of combinations that the same URLs hold, one is mined
+    assert {frozenset(i for i, s in held.items() if s.issuperset(r.rule_tokens)) for r in found} == {holders[c] for c in least}
+    assert all(frozenset(r.rule_tokens) in holders for r in found) and any(len(r.rule_tokens) > 1 for r in found)
+
+
 def removed_words(texts):
     first = {}
     w = {i: WORD.findall(t or "") for i, t in texts.items()}
@@ -244,8 +276,9 @@ def test_substring_dedup_random(spark):
     rng = random.Random(9)
     parts = [prose(rng, 60, 5) for _ in range(6)]
     texts = {i: " ".join(rng.choice(parts) if rng.random() < 0.5 else prose(rng, 40, 3) for _ in range(rng.randrange(1, 5))) for i in range(60)}
-    out = substring_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == removed_words(texts)
+    for parts in (20_000, 5):  # one part a shard, and many whose first windows meet again
+        out = substring_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), task_segments=parts).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == removed_words(texts)
 
 
 def test_fm_index_against_scan():
@@ -334,17 +367,18 @@ def test_ngram_join(spark, corpus, chunk):
 
 def test_least_shared_holds():
     rng = np.random.default_rng(2)
-    for n in (20, 70, 90, 120, 300, 1000):
-        for _ in range(300):
+    keep = lambda x: np.sort(x)[: ngram_join.kept_keys(len(x))]
+    for n in (1, 2, 3, 4, 5, 7, 20, 70, 91, 120, 300, 1000):
+        for _ in range(200):
             union = int(rng.integers(n, -(-n * 4 // 3) + 1))
             both = -(-union * 3 // 4)
             if both > n:
                 continue
-            keys = rng.permutation(10**6)[:union]
+            keys = rng.permutation(union)
             common, rest = keys[:both], keys[both:]
-            a = np.sort(np.concatenate([common, rest[: n - both]]))[: ngram_join.SKETCH]
-            b = np.sort(np.concatenate([common, rest[n - both :]]))[: ngram_join.SKETCH]
-            assert len(np.intersect1d(a, b)) >= ngram_join.least_shared(n)
+            a, b = np.concatenate([common, rest[: n - both]]), np.concatenate([common, rest[n - both :]])
+            shared = len(np.intersect1d(keep(a), keep(b)))
+            assert shared >= ngram_join.least_shared(len(a)) and shared >= ngram_join.least_shared(len(b))
 
 
 def test_winnowing(spark):
@@ -377,9 +411,9 @@ def test_winnowing(spark):
                     hit |= set(range(k, k + n))
                     found |= own
         want[i] = (len(w), len(hit), sorted(found))
-    for clash, mb in ((True, 32), (False, 0.001)):
-        own = docs.withColumn("hit_items", F.lit("clash")) if clash else docs
-        got = decontaminate.contamination(own, bench, block_mb=mb)
+    for clash, mb, send in ((True, 32, 2), (False, 0.001, 99), (True, 0.001, 1)):  # one block, several blocks, a join of fingerprints
+        own = docs.withColumn("hit_items", F.lit("clash")).withColumn("n_words", F.lit("clash")) if clash else docs
+        got = decontaminate.contamination(own, bench, block_mb=mb, send_blocks=send)
         out = got.select("doc_id", "n_words", decontaminate.hit_count().alias("n_hit"), "hit_items").collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.hit_items) for r in out} == want
     assert decontaminate.contamination(docs, bench.limit(0)).filter("size(hit_items) > 0").count() == 0
