@@ -3,6 +3,13 @@
 Each stage calls one operator of ``medlattice.llm`` on all rows its predecessor
 kept. ``run`` writes every stage as Parquet to the shared folder and reads it
 again, so a lost executor costs a task and not the run.
+
+Defined results: null and empty texts are scored as one empty line, link with
+nothing, hold no benchmark text, have size 0 in the mix and share a shard like
+any other row; null sources are a source of their own. Rows without an id count
+as the smallest id. Ties go to the smallest id, then the smallest text hash.
+Empty tables give no rows; extra columns of documents pass through all stages
+but the last.
 """
 
 from __future__ import annotations
@@ -11,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlattice.llm import decontaminate, line_crf, mixing, ngram_join, sharding
-from medlattice.llm.common import Staged, narrow, table
+from medlattice.llm.common import Staged, narrow, ranked, table
 
 #: Ids that are sent to all tasks; more are met by a shuffle join.
 SEND_IDS = 500_000
+#: Ids of one bucket when rows are numbered.
+ROWS_A_BUCKET = 1000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +33,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component of links; of rows with one id, one stays."""
-    found = ngram_join.components(narrow(docs, "doc_id", "text"))
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    odd = Staged(spark, "near_duplicates").write(ids.filter("n > 1 or c <> doc_id"), docs.count())
-    few = odd.count() <= SEND_IDS
-    send = lambda df: F.broadcast(df) if few else df
-    kept = docs.join(send(odd.select("doc_id")), "doc_id", "left_anti")
-    repeated = odd.filter("n > 1 and c = doc_id").select("doc_id")
-    if repeated.limit(1).count():
-        kept = kept.unionByName(docs.join(send(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """One row of each component of links, that of the smallest doc_id; a null id counts as the smallest.
+
+    Rows that share an id are rows of their own: where there are any, all rows
+    are numbered by id and text, so equal rows leave one and unlinked texts stay.
+    """
+    staged = Staged(spark, "near_duplicates")
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.max(F.col("doc_id").isNull())).first()
+    rows = counts[1]
+    if counts[0] <= 1 and not counts[2]:
+        found = ngram_join.components(narrow(docs, "doc_id", "text"))
+        odd = staged.write(found.filter("component_id <> doc_id").select("doc_id"), rows)
+        return docs.join(F.broadcast(odd) if odd.count() <= SEND_IDS else odd, "doc_id", "left_anti").select(*docs.columns)
+    id_bucket = F.lpad(F.coalesce((F.col("doc_id") / ROWS_A_BUCKET).cast("long"), F.lit(0)).cast("string"), 20, "0")
+    same = F.xxhash64("text", F.length("text"))
+    numbered = ranked(docs.withColumn("_one", F.lit(1)), ["_one"], id_bucket, [F.col("doc_id").asc_nulls_first(), same, F.col("text")], "_row", 2)
+    numbered = staged.write(numbered.drop("_one"))
+    found = ngram_join.components(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    odd = staged.write(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_row")), rows)
+    return numbered.join(F.broadcast(odd) if odd.count() <= SEND_IDS else odd, "_row", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
