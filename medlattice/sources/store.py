@@ -10,15 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_known: dict[tuple[str, str, str], tuple[str, object]] = {}
+_known: dict[tuple[str, str, str, tuple], tuple[str, object]] = {}
 _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode where it is unset."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder, and executors of a cluster share no temporary one")
         _folders[app] = f"{named or tempfile.mkdtemp(prefix='medlattice-')}/medlattice-store-{uuid.uuid4().hex[:12]}"
         atexit.register(remove_local, _folders[app])
     return _folders[app]
@@ -30,9 +32,16 @@ def remove_local(path: str) -> None:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def _state(spark: SparkSession, data: str) -> tuple:
+    """Names, sizes and times of the entries of a data folder, in any file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(data)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
 def once(spark: SparkSession, data: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` over the data folder, built and written at its first use in this session."""
-    key = (spark.sparkContext.applicationId, data, name)
+    """The table ``name`` over the data folder, built and written at its first use in this session and again when the data's files change."""
+    key = (spark.sparkContext.applicationId, data, name, _state(spark, data))
     if key not in _known:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
         df = build()
