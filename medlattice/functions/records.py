@@ -20,31 +20,36 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
-def entries(record: Column) -> Column:
-    """Filled entries of a record with their keys in all forms that ``field`` compares; make it a column once."""
-    forms = lambda e: F.struct(e["key"].alias("key"), F.trim(F.lower(e["key"])).alias("low"), _spaced(e["key"]).alias("spaced"), _bare(e["key"]).alias("bare"), F.trim(e["value"]).alias("value"))
-    return F.transform(F.filter(F.map_entries(record), lambda e: F.trim(blank(e["value"])) != ""), forms)
-
-
-def field(pairs: Column, names: list[str], loose: bool = True) -> Column:
-    """Value of the first of ``entries`` whose key fits one of ``names``; empty if none does.
+def candidates(keys: Column, names: list[str], loose: bool = True) -> Column:
+    """Those of a record's keys that fit one of ``names``, best first.
 
     Tiers: the exact key, the key in any case, a key that holds a name, and
     (``loose``) containment of the letters and digits either way. The first two
-    follow the order of ``names``; the others that of the record's keys. The
-    forms of the names are literals, so a key costs comparisons only.
+    follow the order of ``names``; the others that of the record's keys. Records
+    have few distinct sets of keys, so this is worked out once a set.
     """
     texts = lambda ts: F.array(*[F.lit(t) for t in ts])
     low, spaced = [n.lower().strip() for n in names], [n.lower().replace("_", " ").replace("-", " ") for n in names]
     bare = [t for t in ("".join(c for c in n.lower() if c.isascii() and c.isalnum()) for n in names) if t]
 
-    def best(form: str, forms: list[str]) -> Column:
-        ranks = F.transform(pairs, lambda e: F.struct(F.array_position(texts(forms), e[form]).alias("rank"), e["value"].alias("value")))
-        return F.array_min(F.filter(ranks, lambda r: r["rank"] > 0))["value"]
+    def by_name(form, forms: list[str]) -> Column:
+        ranks = F.transform(keys, lambda k, i: F.struct(F.array_position(texts(forms), form(k)).alias("rank"), i.alias("place"), k.alias("key")))
+        return F.transform(F.array_sort(F.filter(ranks, lambda r: r["rank"] > 0)), lambda r: r["key"])
+
+    inside = F.filter(keys, lambda k: F.exists(texts(spaced), lambda n: F.contains(_spaced(k), n)))
+    either = F.filter(keys, lambda k: (_bare(k) != "") & F.exists(texts(bare), lambda n: F.contains(_bare(k), n) | F.contains(n, _bare(k))))
+    return F.array_distinct(F.concat(by_name(lambda k: k, names), by_name(lambda k: F.trim(F.lower(k)), low), inside, *([either] if loose else [])))
+
+
+def first_filled(record: Column, keys: Column) -> Column:
+    """Trimmed value of the first of ``keys`` that the record fills; empty if none."""
+    values = F.transform(keys, lambda k: F.trim(F.try_element_at(record, k)))
+    return F.coalesce(F.get(F.filter(values, lambda v: v != ""), 0), F.lit(""))
+
 
-    inside = F.get(F.filter(pairs, lambda e: F.exists(texts(spaced), lambda n: F.contains(e["spaced"], n))), 0)["value"]
-    either = F.get(F.filter(pairs, lambda e: (e["bare"] != "") & F.exists(texts(bare), lambda n: F.contains(e["bare"], n) | F.contains(n, e["bare"]))), 0)["value"]
-    return F.coalesce(best("key", names), best("low", low), inside, *([either] if loose else []), F.lit(""))
+def field(record: Column, names: list[str], loose: bool = True) -> Column:
+    """Value of a record's best filled key for ``names``, see ``candidates``."""
+    return first_filled(record, candidates(F.map_keys(record), names, loose))
 
 
 def strict_field(record: Column, names: list[str]) -> Column:

@@ -32,6 +32,11 @@ NOTIFICATION = "(?i)\\b(?:G\\.?S\\.?R\\.?\\s*(?:NO\\.?)?|S\\.O\\.?\\s*\\d+|S\\.O
 WORD_CHAR, SPACE_CHAR = "[\\p{L}\\p{N}_]", "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def blank(c: Column) -> Column:
     """Null becomes an empty text."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -115,12 +120,18 @@ def organization_name(c: Column) -> Column:
 
 def organization_and_address(c: Column) -> Column:
     """struct(name, address): cut at the first comma before a word that starts an address."""
-    t = organization_name(c)
-    head = F.element_at(F.split(t, ADDRESS_START, 2), 1)
-    found = F.length(head) < F.length(t)
-    tail = F.regexp_replace(F.substr(t, F.length(head) + 1), "^,\\s*", "")
-    name = strip_edges(head)
-    return F.struct(F.when(found & (name != ""), name).otherwise(t).alias("name"), F.when(found, strip_edges(tail)).otherwise("").alias("address"))
+
+    def cut(t: Column) -> Column:
+        return bound(F.struct(t.alias("t"), F.element_at(F.split(t, ADDRESS_START, 2), 1).alias("head")), both)
+
+    def both(x: Column) -> Column:
+        t, head = x["t"], x["head"]
+        found = F.length(head) < F.length(t)
+        tail = F.regexp_replace(F.substr(t, F.length(head) + 1), "^,\\s*", "")
+        name = strip_edges(head)
+        return F.struct(F.when(found & (name != ""), name).otherwise(t).alias("name"), F.when(found, strip_edges(tail)).otherwise("").alias("address"))
+
+    return bound(organization_name(c), cut)
 
 
 def batch_details(c: Column) -> Column:
@@ -143,18 +154,26 @@ def formulation(c: Column) -> Column:
 
     Parts count as ingredients if joined by +, with or and, or if there is just one.
     """
-    t = trim_space(blank(c))
-    found = strengths(t)
-    body = F.regexp_replace(t, "(?i)^\\s*(?:fixed\\s*dose\\s*combination(?:s)?\\s*of|fdc\\s*of)\\s+", "")
-    body = strip_edges(F.regexp_replace(body, f"(?is)\\b(?:{PLAIN_FORMS})\\b.*$", ""))
-    body = F.regexp_replace(F.regexp_replace(body, "(?i)\\b(?:hard\\s+gelatin|film\\s+coated|coated)\\b", ""), "(?i)" + STRENGTH, "")
-    parts = F.transform(F.split(body, "(?i)\\s*(?:\\+|\\bwith\\b|\\band\\b|,)\\s*"), lambda p: strip_edges(F.regexp_replace(p, "(?i)\\s*\\b(?:ip|bp|usp)\\b\\.?", ""), " ."))
-    parts = F.filter(parts, lambda p: (p != "") & ~p.rlike("(?i)^\\d+(?:\\.\\d+)?\\s*(?:mg|mcg|g|ml|%)?$"))
-    joined = body.rlike("(?i)\\+|\\bwith\\b|\\band\\b")
-    kept = F.when(joined | (F.size(parts) == 1), parts).otherwise(F.array().cast("array<string>"))
-    items = F.transform(kept, lambda p, i: F.struct(p.alias("name"), F.coalesce(F.get(found, i), F.lit("")).alias("strength")))
-    form = F.upper(F.regexp_extract(t, f"(?i)\\b({DOSAGE_FORMS})\\b", 1))
-    return F.struct(items.alias("ingredients"), form.alias("dosage_form"), F.array_join(F.transform(found, lambda s: F.trim(s)), " + ").alias("strength"))
+
+    def body_of(t: Column) -> Column:
+        body = F.regexp_replace(t, "(?i)^\\s*(?:fixed\\s*dose\\s*combination(?:s)?\\s*of|fdc\\s*of)\\s+", "")
+        body = strip_edges(F.regexp_replace(body, f"(?is)\\b(?:{PLAIN_FORMS})\\b.*$", ""))
+        body = F.regexp_replace(F.regexp_replace(body, "(?i)\\b(?:hard\\s+gelatin|film\\s+coated|coated)\\b", ""), "(?i)" + STRENGTH, "")
+        form = F.upper(F.regexp_extract(t, f"(?i)\\b({DOSAGE_FORMS})\\b", 1))
+        return bound(F.struct(body.alias("body"), strengths(t).alias("found"), form.alias("form")), parts_of)
+
+    def parts_of(x: Column) -> Column:
+        parts = F.transform(F.split(x["body"], "(?i)\\s*(?:\\+|\\bwith\\b|\\band\\b|,)\\s*"), lambda p: strip_edges(F.regexp_replace(p, "(?i)\\s*\\b(?:ip|bp|usp)\\b\\.?", ""), " ."))
+        parts = F.filter(parts, lambda p: (p != "") & ~p.rlike("(?i)^\\d+(?:\\.\\d+)?\\s*(?:mg|mcg|g|ml|%)?$"))
+        return bound(parts, lambda ps: result(x, ps))
+
+    def result(x: Column, parts: Column) -> Column:
+        joined = x["body"].rlike("(?i)\\+|\\bwith\\b|\\band\\b")
+        kept = F.when(joined | (F.size(parts) == 1), parts).otherwise(F.array().cast("array<string>"))
+        items = F.transform(kept, lambda p, i: F.struct(p.alias("name"), F.coalesce(F.get(x["found"], i), F.lit("")).alias("strength")))
+        return F.struct(items.alias("ingredients"), x["form"].alias("dosage_form"), F.array_join(F.transform(x["found"], lambda s: F.trim(s)), " + ").alias("strength"))
+
+    return bound(trim_space(blank(c)), body_of)
 
 
 def product_with_notification(product: Column, notification: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fuzzy import indel_ratio_of, token_sort_ratio_of
-from ..functions.text import SPACE_CHAR, WORD_CHAR, blank, collapse, occurrences, words
+from ..functions.text import SPACE_CHAR, WORD_CHAR, blank, bound, collapse, occurrences, words
 
 #: Keywords with weights, caps and bands.
 KEYWORDS = {
@@ -19,8 +19,9 @@ KEYWORDS = {
     "adverse drug reactions": 4, "pharmacovigilance": 4, "pvpi": 4, "banned": 4, "banned drug": 4, "banned drugs": 4, "section 26a": 4, "section 10a": 4, "fdcs": 3, "fixed dose combinations": 3, "batch no": 1, "batch nos": 1, "batch number": 1, "batch numbers": 1, "b. no": 1, "b.no": 1, "lot no": 1, "manufacturer": 1, "manufacturers": 1, "manufactured by": 1, "mfd by": 1,
 }
 MOST_COUNTS, FULL_SCORE, LOW, HIGH, BORDER = 5, 40.0, 0.30, 0.60, (0.28, 0.32)
-BATCH_CODE, BATCH_CONTEXT = r"\b[A-Z]{1,4}\d{3,8}[A-Z]?\b", r"(?i)batch|b\.?\s*no|lot"
+BATCH_CODE, BATCH_CONTEXT = f"(?<!{WORD_CHAR})[A-Z]{{1,4}}[0-9]{{3,8}}[A-Z]?(?!{WORD_CHAR})", r"(?i)batch|b\.?\s*no|lot"
 MAKER_SUFFIXES = ("ltd", "pvt ltd", "pharmaceuticals", "pharma", "labs", "laboratories")
+DRUG_NAMES = ("paracetamol", "ibuprofen", "nimesulide", "diclofenac", "amoxicillin", "azithromycin", "cefixime", "metformin", "atorvastatin", "omeprazole", "pantoprazole", "cetirizine", "ambroxol", "dextromethorphan", "oxytocin", "etodolac", "sibutramine", "gatifloxacin", "tegaserod")
 EVENT_WORDS = ("nsq", "spurious", "recall", "banned", "prohibited", "theft", "stolen", "falsified", "cancellation", "cancelled", "substandard", "sub-standard", "adulterated", "misbranded")
 CONTEXT_WORDS = ("drug", "medicine", "pharmaceutical", "drugs rules", "medical devices rules", "schedule m", "schedule h", "section 26a", "section 10a", "cdsco", "drug controller", "gazette notification")
 TYPE_HINTS = {"guideline": ("guidance", "guideline", "guidelines"), "sop": ("sop", "standard operating procedure"), "circular": ("circular",), "notice": ("notice",), "meeting": ("meeting", "agenda", "minutes"), "appointment": ("appointment",), "order": ("order",), "advisory": ("advisory",)}
@@ -33,25 +34,45 @@ HEADERS = {
 
 def keyword_score(text: Column, keywords: dict[str, int] | None = None) -> Column:
     """struct(score, matched): weighted counts, each capped, over the full score and at most 1."""
-    low = F.lower(collapse(blank(text)))
     kw = KEYWORDS if keywords is None else keywords
-    found = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight"), occurrences(low, k).alias("n")) for k, w in kw.items()])
-    hit = F.filter(found, lambda x: x["n"] > 0)
-    raw = F.aggregate(hit, F.lit(0).cast("long"), lambda a, x: a + x["weight"] * F.least(x["n"], F.lit(MOST_COUNTS)))
-    return F.struct(F.least(F.lit(1.0), raw / FULL_SCORE).alias("score"), F.transform(hit, lambda x: F.struct(x["keyword"], x["n"])).alias("matched"))
+
+    def score(low: Column) -> Column:
+        found = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight"), occurrences(low, k).alias("n")) for k, w in kw.items()])
+        return F.filter(found, lambda x: x["n"] > 0)
+
+    def total(hit: Column) -> Column:
+        raw = F.aggregate(hit, F.lit(0).cast("long"), lambda a, x: a + x["weight"] * F.least(x["n"], F.lit(MOST_COUNTS)))
+        return F.struct(F.least(F.lit(1.0), raw / FULL_SCORE).alias("score"), F.transform(hit, lambda x: F.struct(x["keyword"], x["n"])).alias("matched"))
+
+    return bound(bound(F.lower(collapse(blank(text))), score), total)
 
 
 def band(score: Column) -> Column:
     return F.when(score.between(*BORDER), "borderline").when(score >= HIGH, "high").when(score >= LOW, "medium").otherwise("low")
 
 
-def entities(text: Column, suffixes: tuple[str, ...] = MAKER_SUFFIXES, code: str = BATCH_CODE, context: str = BATCH_CONTEXT) -> Column:
-    """struct(batches, makers): distinct codes near a batch label, and names before a company suffix."""
-    t = F.trim(F.regexp_replace(blank(text), f"{SPACE_CHAR}+", " "))
-    near = F.filter(F.regexp_extract_all(t, F.lit(f".{{0,50}}{code}.{{0,50}}"), F.lit(0)), lambda s: s.rlike(context))
-    codes = F.array_distinct(F.flatten(F.transform(near, lambda s: F.regexp_extract_all(s, F.lit(code), F.lit(0)))))
-    names = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(f"(?iu)(?<!{WORD_CHAR}){WORD_CHAR}++ {s}(?!{WORD_CHAR})"), F.lit(0)) for s in suffixes])))
-    return F.struct(codes.alias("batches"), names.alias("makers"))
+def entities(text: Column, suffixes: tuple[str, ...] = MAKER_SUFFIXES, code: str = BATCH_CODE, context: str = BATCH_CONTEXT, drugs: tuple[str, ...] = DRUG_NAMES, reach: int = 50) -> Column:
+    """struct(batches, makers, drugs): distinct codes with a batch label within ``reach`` characters, names before a company suffix, known drugs.
+
+    Each code is judged by the text around its own place, other codes included.
+    """
+
+    def codes(t: Column) -> Column:
+        found, between = F.regexp_extract_all(t, F.lit(code), F.lit(0)), F.split(t, code)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,code:string>>").alias("spans"))
+        step = lambda s, x: F.struct((s["at"] + F.length(x["gap"]) + F.length(x["code"])).alias("at"), F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("a"), x["code"].alias("code")))).alias("spans"))
+        pairs = F.filter(F.arrays_zip(between.alias("gap"), found.alias("code")), lambda x: x["code"].isNotNull())
+        spans = F.aggregate(pairs, start, step)["spans"]
+        begin = lambda x: F.greatest(x["a"] - reach, F.lit(0))
+        near = F.filter(spans, lambda x: F.substr(t, begin(x) + 1, x["a"] + F.length(x["code"]) + reach - begin(x)).rlike(context))
+        return F.array_distinct(F.transform(near, lambda x: x["code"]))
+
+    def every(t: Column) -> Column:
+        names = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(f"(?iu)(?<!{WORD_CHAR}){WORD_CHAR}++ {s}(?!{WORD_CHAR})"), F.lit(0)) for s in suffixes])))
+        known = bound(F.lower(t), lambda low: F.filter(F.array(*[F.lit(x) for x in drugs]), lambda x: F.contains(low, x)))
+        return F.struct(codes(t).alias("batches"), names.alias("makers"), known.alias("drugs"))
+
+    return bound(F.trim(F.regexp_replace(blank(text), f"{SPACE_CHAR}+", " ")), every)
 
 
 def whole_terms(text: Column, terms: tuple[str, ...]) -> Column:
@@ -60,15 +81,26 @@ def whole_terms(text: Column, terms: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(t, F.lit(f" {re.sub('[^a-z0-9]+', ' ', k.lower()).strip()} ")), F.lit(k)) for k in terms]))
 
 
-def lexicon_matches(docs: DataFrame, lexicon: DataFrame, longest: int = 6) -> DataFrame:
+#: First words of a lexicon that are compared within the scan; with more of them all runs of words are joined.
+FIRST_WORDS = 20_000
+
+
+def lexicon_matches(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, name): names of the lexicon that stand in a text as whole words; within a text only the longest of nested names.
 
-    Word runs up to ``longest`` are joined with the names, so both may be large.
+    Runs of as many words as names have are joined with the names, so both
+    sides may be large. Where the names' first words are few, only runs that
+    start with one of them are made.
     """
-    w = F.split(words(F.col("text")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.col("w")) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))))
-    grams = docs.select("doc_id", w.alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("name"))
     names = lexicon.select(words(F.col("name")).alias("name")).filter("name <> ''").distinct()
+    w = F.split("name", " ")
+    shape = names.agg(F.collect_set(F.size(w)).alias("sizes"), F.approx_count_distinct(w[0]).alias("firsts")).first()
+    starts = F.sequence(F.lit(0), F.size("w") - 1)
+    if (shape["firsts"] or 0) <= FIRST_WORDS:
+        firsts = [r[0] for r in names.select(w[0]).distinct().collect()]
+        starts = F.filter(starts, lambda i: F.get("w", i).isin(firsts))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*[F.lit(n) for n in sorted(shape["sizes"]) or [1]]), lambda n: F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, n), " ")))))
+    grams = docs.select("doc_id", F.split(words(F.col("text")), " ").alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("name")).filter("name is not null")
     hit = grams.join(names, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
     inside = lambda a, b: (a != b) & F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
     return hit.select("doc_id", F.explode(F.filter("names", lambda a: ~F.exists("names", lambda b: inside(a, b)))).alias("name"))

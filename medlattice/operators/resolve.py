@@ -120,19 +120,38 @@ def _any_of(record: Column, *names: str) -> Column:
     return F.coalesce(*[text.filled(F.try_element_at(record, F.lit(n))) for n in names], F.lit(""))
 
 
+#: Fields and the names that their keys may have.
+FIELDS = {
+    "product_raw": PRODUCT, "brand_name": BRAND, "batch_raw": BATCH, "maker_raw": MAKER, "made_raw": MADE, "expires_raw": EXPIRES, "combined": COMBINED, "note": NOTIFICATION, "reason": REASON, "reporter_raw": REPORTER,
+    "importer_raw": IMPORTER, "applicant_raw": APPLICANT, "holder_raw": HOLDER, "cas_raw": CAS,
+}
+#: Sets of keys that are sent to all tasks; more are met by a join.
+SEND_SETS = 10_000
+
+
+def with_fields(rows: DataFrame) -> DataFrame:
+    """rows(..., record) with all FIELDS. Which key answers for a field is decided once for each set of keys."""
+    sets = rows.select(F.map_keys("record").alias("_keys")).distinct()
+    some = sets.limit(SEND_SETS + 1).collect()
+    known = sets if len(some) > SEND_SETS else F.broadcast(rows.sparkSession.createDataFrame([(r[0],) for r in some], "_keys array<string>"))
+    known = known.select("_keys", *[records.candidates(F.col("_keys"), names).alias(f"_{f}") for f, names in FIELDS.items()])
+    met = rows.withColumn("_keys", F.map_keys("record")).join(known, "_keys")
+    return met.select(*[F.col(c) for c in rows.columns], *[records.first_filled(F.col("record"), F.col(f"_{f}")).alias(f) for f in FIELDS])
+
+
 def extracted(documents: DataFrame) -> DataFrame:
-    """One row a record with its lineage id and its fields, whatever its keys are called."""
-    d = documents.select("*", F.posexplode("records").alias("position", "record")).drop("records")
+    """``extracted_rows`` of documents(..., records array<map>)."""
+    return extracted_rows(documents.select("*", F.posexplode("records").alias("position", "record")).drop("records"))
+
+
+def extracted_rows(d: DataFrame) -> DataFrame:
+    """One row a record with its lineage id and its fields, whatever its keys are called; d has the document, position and record."""
     r = F.col("record")
     mark = keys.fingerprint(_any_of(r, "product_name", "drug_name", "title", "name"), _any_of(r, "batch_number", "batch_no", "lot_no"), _any_of(r, "manufactured_by", "manufacturer", "company_name"), _any_of(r, "reason", "nsq_result", "reason_for_nsq", "description"))
     d = d.withColumn("fingerprint", mark).withColumn("nth", F.row_number().over(Window.partitionBy("source_document_id", "filename", "fingerprint").orderBy("position")))
     number = lambda *n: F.coalesce(_any_of(r, *n).try_cast("int"), F.lit(1))
     d = d.withColumn("page_number", number("page_number", "page")).withColumn("source_record_id", keys.source_record_id(F.col("source_document_id"), F.col("page_number"), number("table_number", "table"), F.col("fingerprint"), F.col("nth")))
-    d = d.withColumn("pairs", records.entries(r))
-    found = {}
-    for name, names in (("product_raw", PRODUCT), ("brand_name", BRAND), ("batch_raw", BATCH), ("maker_raw", MAKER), ("made_raw", MADE), ("expires_raw", EXPIRES), ("combined", COMBINED), ("note", NOTIFICATION), ("reason", REASON), ("reporter_raw", REPORTER), ("importer_raw", IMPORTER), ("applicant_raw", APPLICANT), ("holder_raw", HOLDER), ("cas_raw", CAS)):
-        found[name] = records.field(F.col("pairs"), names)
-    d = d.withColumns(found)
+    d = with_fields(d)
     d = d.withColumn("combined", F.when((F.col("combined") == "") & F.col("batch_raw").rlike("(?i)\\b(?:mfg|exp|mfd\\s*by)\\b"), F.col("batch_raw")).otherwise(F.col("combined")))
     d = d.withColumn("parts", text.batch_details(F.col("combined")))
     better = lambda part, raw: F.when(F.col(f"parts.{part}") != "", F.col(f"parts.{part}")).otherwise(F.col(raw))

@@ -43,19 +43,6 @@ def manifest_scan(d: Domain) -> DataFrame:
     return docs(d).join(d.table("labels").filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "source")
 
 
-@query("S12_structural_profile", "SELECT user_id, count(*) FILTER (event_type = 'view')::BIGINT AS text_pages, count(*) FILTER (event_type = 'click')::BIGINT AS image_pages, count(*) FILTER (event_type NOT IN ('view', 'click'))::BIGINT AS empty_pages, bool_or(event_type = 'purchase') AS has_table FROM events GROUP BY user_id")
-def structural_profile(d: Domain) -> DataFrame:
-    e = d.table("events")
-    return e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("text_pages"), F.count_if(F.col("event_type") == "click").alias("image_pages"), F.count_if(~F.col("event_type").isin("view", "click")).alias("empty_pages"), F.bool_or(F.col("event_type") == "purchase").alias("has_table"))
-
-
-@query("S13_json_profile", "SELECT event_id, 'object' AS root, array_to_string(json_keys(props), ',') AS keys, 1::BIGINT AS n_keys FROM events")
-def json_profile(d: Domain) -> DataFrame:
-    root = F.when(F.col("props").startswith("{"), "object").otherwise("array")
-    k = F.json_object_keys("props")
-    return d.table("events").select("event_id", root.alias("root"), F.array_join(k, ",").alias("keys"), F.size(k).cast("long").alias("n_keys"))
-
-
 @query("S15_page_links", r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\s+href="([^"]*)"', 1) AS links FROM pages), u AS (SELECT page_id, unnest(links) AS href, generate_subscripts(links, 1) AS n FROM a)
 SELECT page_id, href, min(n)::BIGINT AS position FROM u WHERE NOT regexp_matches(lower(href), 'login|master') GROUP BY ALL""")
 def page_links(d: Domain) -> DataFrame:
@@ -73,39 +60,45 @@ def last_wins(d: Domain) -> DataFrame:
     return d.table("events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("S24_metadata_override", "SELECT doc_id, CASE WHEN doc_id = 3 THEN 'fixed title' ELSE source END AS title FROM documents")
-def metadata_override(d: Domain) -> DataFrame:
-    fixed = d.spark.createDataFrame([(3, "fixed title")], "doc_id long, title string")
-    return docs(d).join(F.broadcast(fixed), "doc_id", "left").select("doc_id", F.coalesce("title", "source").alias("title"))  # one row
+# Classifiers
 
 
-# Classifiers
+_KW_SQL = "[" + ", ".join(f"{{'w': {w}, 'n': (length(t) - length(replace(t, '{k}', ''))) // {len(k)}}}" for k, w in classify.KEYWORDS.items()) + "]"
+#: Documents with words of alerts mixed in, so that keywords occur, some often.
+_ALERTS = ("", " Recall of spurious drugs", " Batch No. 7, not of standard quality" + " NSQ" * 7, " adverse drug reactions: PvPI drug alerts")
+_SCORED = f"WITH l AS (SELECT doc_id, lower(trim(regexp_replace(text || [{', '.join(repr(a) for a in _ALERTS)}][doc_id % 4 + 1], '\\s+', ' ', 'g'))) AS t FROM documents), s AS (SELECT doc_id, list_filter({_KW_SQL}, lambda x: x.n > 0) AS k FROM l), r AS (SELECT doc_id, least(1.0, coalesce(list_sum(list_transform(k, lambda x: x.w * least(x.n, 5))), 0) / 40.0)::DOUBLE AS score, len(k)::BIGINT AS matched FROM s)"
 
 
-_KW = {"the": 2, "license": 4, "and ": 1, "@": 3}
-_KW_SQL = "[" + ", ".join(f"{{'k': '{k}', 'w': {w}, 'n': (length(t) - length(replace(t, '{k}', ''))) // {len(k)}}}" for k, w in _KW.items()) + "]"
+def _scored(d: Domain) -> DataFrame:
+    alert = F.element_at(F.array(*[F.lit(a) for a in _ALERTS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs(d).withColumn("s", classify.keyword_score(F.concat("text", alert)))
 
 
-@query("A10_keyword_score", f"WITH l AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents) SELECT doc_id, least(1.0, list_sum(list_transform({_KW_SQL}, lambda x: x.w * least(x.n, 5))) / 40.0)::DOUBLE AS score, len(list_filter({_KW_SQL}, lambda x: x.n > 0))::BIGINT AS matched FROM l")
+@query("A10_keyword_score", f"{_SCORED} SELECT doc_id, score, matched FROM r")
 def keyword_score(d: Domain) -> DataFrame:
-    s = classify.keyword_score(F.col("text"), _KW)
-    return docs(d).select("doc_id", s["score"].alias("score"), F.size(s["matched"]).cast("long").alias("matched"))
+    return _scored(d).select("doc_id", F.col("s.score").alias("score"), F.size("s.matched").cast("long").alias("matched"))
 
 
-@query("R08_score_band", f"WITH l AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents), s AS (SELECT doc_id, least(1.0, list_sum(list_transform({_KW_SQL}, lambda x: x.w * least(x.n, 5))) / 40.0)::DOUBLE AS score FROM l) SELECT doc_id, CASE WHEN score BETWEEN 0.28 AND 0.32 THEN 'borderline' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS band FROM s")
+@query("R08_score_band", f"{_SCORED} SELECT doc_id, CASE WHEN score BETWEEN 0.28 AND 0.32 THEN 'borderline' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS band FROM r")
 def score_band(d: Domain) -> DataFrame:
-    return docs(d).select("doc_id", classify.band(classify.keyword_score(F.col("text"), _KW)["score"]).alias("band"))
+    return _scored(d).select("doc_id", classify.band(F.col("s.score")).alias("band"))
 
 
-@query("A11_entities", r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, len(list_distinct(regexp_extract_all(t, '(?i)\b\w+\s+ing\b')))::BIGINT AS makers FROM n WHERE regexp_full_match(t, '[\x00-\x7F]*')""")
-def entities(d: Domain) -> DataFrame:
-    ascii_only = docs(d).filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return ascii_only.select("doc_id", F.size(classify.entities(F.col("text"), ("ing",))["makers"]).cast("long").alias("makers"))
+# to RE2 a word is ASCII, so letters beyond it become one that is in no code
+_PLAIN_LETTERS = r"regexp_replace(t, '[\x{80}-\x{10FFFF}]', 'z', 'g')"
 
 
-@query("A11_entities_whole")
-def entities_whole(d: Domain) -> DataFrame:
-    return docs(d).select("doc_id", F.size(classify.entities(F.col("text"), ("ing",))["makers"]).cast("long").alias("makers"))
+@query("A11_entities", rf"""WITH b AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' Batch AB' || (1000 + doc_id) || ' and CD5678 far' WHEN doc_id % 3 = 1 THEN ' AB1234 ' || repeat('x ', 30) || 'CD5678 lot ' || lower('Nimesulide') ELSE '' END AS text FROM documents),
+n AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g')) AS t FROM b), z AS (SELECT *, {_PLAIN_LETTERS} AS u FROM n),
+p AS (SELECT doc_id, t, u, regexp_extract_all(u, '\b[A-Z]{{1,4}}\d{{3,8}}[A-Z]?\b') AS c, regexp_split_to_array(u, '\b[A-Z]{{1,4}}\d{{3,8}}[A-Z]?\b') AS s FROM z),
+q AS (SELECT *, list_transform(range(1, len(c) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(c[1:i-1], lambda x: length(x))), 0)) AS a FROM p),
+k AS (SELECT doc_id, t, list_distinct(list_transform(list_filter(range(1, len(c) + 1), lambda i: regexp_matches(substr(t, (greatest(a[i] - 50, 0) + 1)::INT, (a[i] + length(c[i]) + 50 - greatest(a[i] - 50, 0))::INT), '(?i)batch|b\.?\s*no|lot')), lambda i: c[i])) AS batches FROM q)
+SELECT doc_id, len(batches)::BIGINT AS batches, (""" + " + ".join(rf"len(list_distinct(regexp_extract_all(t, '(?i)([\p{{L}}\p{{N}}_]+ {n})(?:[^\p{{L}}\p{{N}}_]|$)', 1)))" for n in ("ing", "pharma", "labs")) + rf""")::BIGINT AS makers, len(list_filter([{", ".join(repr(x) for x in classify.DRUG_NAMES)}], lambda x: contains(lower(t), x)))::BIGINT AS drugs FROM k""")
+def entities(d: Domain) -> DataFrame:
+    k = F.col("doc_id")
+    added = F.when(k % 3 == 0, F.concat(F.lit(" Batch AB"), (k + 1000).cast("string"), F.lit(" and CD5678 far"))).when(k % 3 == 1, F.lit(" AB1234 " + "x " * 30 + "CD5678 lot nimesulide")).otherwise("")
+    e = classify.entities(F.concat("text", added), ("ing", "pharma", "labs"))
+    return docs(d).withColumn("e", e).select("doc_id", *[F.size(f"e.{c}").cast("long").alias(c) for c in ("batches", "makers", "drugs")])
 
 
 @query("A19_distinct_terms", None)
@@ -120,7 +113,7 @@ _W = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"
 h AS (SELECT doc_id, name FROM t, n WHERE contains(t, ' ' || name || ' ')) SELECT doc_id, name FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = a.doc_id AND b.name <> a.name AND contains(' ' || b.name || ' ', ' ' || a.name || ' '))""")
 def lexicon(d: Domain) -> DataFrame:
     names = d.spark.createDataFrame([(n,) for n in ("in the", "the", "of", "license version", "apache license", "the apache license", "under the")], "name string")
-    return classify.lexicon_matches(docs(d), names, 3)
+    return classify.lexicon_matches(docs(d), names)
 
 
 @query("J17_fuzzy_lexicon")
@@ -261,18 +254,6 @@ def kind(d: Domain) -> DataFrame:
     return reports.page_mix(d.table("events"), "user_id", F.col("event_type") == "signup", F.col("event_type") == "error")
 
 
-@query("A15_strategy_counters", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counters FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
-def counters(d: Domain) -> DataFrame:
-    n = d.table("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "event_type", "n"))), ",").alias("counters"))
-
-
-@query("A16_ingest_totals", "SELECT 'orders' AS relation, sum(n)::BIGINT AS n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) UNION ALL SELECT 'lines', sum(n)::BIGINT FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)")
-def totals(d: Domain) -> DataFrame:
-    part = lambda t, k, name: d.table(t).groupBy(k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n")
-    return part("orders", "o_custkey", "orders").unionByName(part("lineitem", "l_suppkey", "lines")).groupBy("relation").agg(F.sum("n").alias("n"))
-
-
 @query("A17_artifact_counts", "SELECT coalesce(source, 'all') AS file, count(*)::BIGINT AS records FROM documents GROUP BY ROLLUP(source)")
 def artifacts(d: Domain) -> DataFrame:
     return docs(d).rollup("source").agg(F.count(F.lit(1)).alias("records")).select(F.coalesce("source", F.lit("all")).alias("file"), "records")
@@ -349,23 +330,12 @@ def records(d: Domain) -> DataFrame:
     return made.filter("column = 1").select("conv_id", "record", "value")
 
 
-@query("W04_header_carry", "SELECT conv_id, turn, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS header FROM conversations")
-def header_carry(d: Domain) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return d.table("conversations").select("conv_id", "turn", F.first("text", ignorenulls=True).over(w).alias("header"))
-
-
 @query("W05_header_inheritance", "SELECT conv_id, turn, coalesce(CASE WHEN role = 'user' THEN text END, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS inherited FROM conversations")
 def inheritance(d: Domain) -> DataFrame:
     t = d.table("conversations").withColumn("header", F.when(F.col("role") == "user", F.col("text")))
     return assemble.carried_header(t, "conv_id", "turn", "header").select("conv_id", "turn", F.coalesce("inherited", F.lit("")).alias("inherited"))
 
 
-@query("W06_best_header_row", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS n FROM conversations) WHERE n = 1")
-def best_header(d: Domain) -> DataFrame:
-    return d.table("conversations").groupBy("conv_id").agg(F.max_by("turn", F.struct(F.length("text"), -F.col("turn"))).alias("turn"))
-
-
 @query("W07_forward_fill", "SELECT conv_id, turn, coalesce(last_value(CASE WHEN turn % 3 = 0 AND turn > 0 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'seed') AS role FROM conversations")
 def forward_fill(d: Domain) -> DataFrame:
     t = d.table("conversations").withColumn("role", F.when((F.col("turn") % 3 == 0) & (F.col("turn") > 0), F.col("role")).otherwise(" "))
@@ -455,21 +425,6 @@ def noise(d: Domain) -> DataFrame:
     return docs(d).select("doc_id", assemble.is_noise(F.array(F.col("text"))).alias("noise"))
 
 
-@query("P09_language_filter", r"SELECT doc_id, round((length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))) / length(text)::DOUBLE, 9) >= 0.97 AS kept FROM documents WHERE length(text) > 0")
-def language_filter(d: Domain) -> DataFrame:
-    return docs(d).filter(F.length("text") > 0).select("doc_id", (F.round(text.share_of(F.col("text"), r"[\x00-\x7F]"), 9) >= 0.97).alias("kept"))
-
-
-@query("P14_boilerplate", "SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under')")
-def boilerplate(d: Domain) -> DataFrame:
-    return docs(d).filter(F.contains(F.lower("text"), F.lit("licensed under"))).select("doc_id")
-
-
-@query("P16_field_signals", r"SELECT doc_id, regexp_matches(text, '[0-9]{4}') AS has_year, regexp_matches(text, '@') AS has_mail, regexp_matches(lower(text), 'version [0-9]') AS has_version FROM documents")
-def signals(d: Domain) -> DataFrame:
-    return docs(d).select("doc_id", F.col("text").rlike("[0-9]{4}").alias("has_year"), F.col("text").rlike("@").alias("has_mail"), F.lower("text").rlike("version [0-9]").alias("has_version"))
-
-
 @query("P20_composite_keys", "SELECT o_orderkey, 'cdsco:' || lower(o_orderstatus) || ':' || lower(o_orderpriority) AS source_key FROM orders")
 def composite_keys(d: Domain) -> DataFrame:
     part = lambda c: F.lower(text.collapse(text.blank(F.col(c))))
@@ -484,12 +439,10 @@ def long_parts(d: Domain) -> DataFrame:
 # Functions
 
 
-@query("F02_normalized_words", f"SELECT doc_id, trim({_W.format('text')}) AS words FROM documents WHERE lang = 'en'")
-def normalized(d: Domain) -> DataFrame:
-    return docs(d).filter("lang = 'en'").select("doc_id", text.words(F.col("text")).alias("words"))
+_FOLDED = "replace(" * 11 + "text" + "".join(f", '{a}', '{b}')" for a, b in zip("ßẞſŉǰﬀﬁﬂﬃﬄﬆ", ("ss", "ss", "s", "ʼn", "ǰ", "ff", "fi", "fl", "ffi", "ffl", "st"), strict=True))
 
 
-@query("F02_normalized_words_whole")
+@query("F02_normalized_words", f"SELECT doc_id, trim(regexp_replace(lower({_FOLDED}), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents")
 def normalized_whole(d: Domain) -> DataFrame:
     return docs(d).select("doc_id", text.casefold_words(F.col("text")).alias("words"))
 
@@ -523,12 +476,7 @@ def output_keys(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", text.safe_file_name(F.col("url")).alias("name"))
 
 
-@query("F19_content_tokens", "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')))::BIGINT AS tokens FROM documents WHERE lang = 'en'")
-def tokens(d: Domain) -> DataFrame:
-    return docs(d).filter("lang = 'en'").select("doc_id", F.size(text.content_tokens(F.col("text"))).cast("long").alias("tokens"))
-
-
-@query("F19_content_tokens_whole")
+@query("F19_content_tokens", "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')))::BIGINT AS tokens FROM documents")
 def tokens_whole(d: Domain) -> DataFrame:
     return docs(d).select("doc_id", F.size(text.content_tokens(F.col("text"))).cast("long").alias("tokens"))
 
@@ -556,10 +504,10 @@ def release_dates(d: Domain) -> DataFrame:
     return d.table("orders").select("o_orderkey", F.date_format(dates.release_date(t), "yyyy-MM-dd").alias("day"))
 
 
-@query("F24_file_periods", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS day, strftime(o_orderdate, '%B %Y') AS label FROM orders WHERE year(o_orderdate) >= 2000")
+@query("F24_file_periods", "SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') ELSE '' END AS day, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%B %Y') ELSE '' END AS label FROM orders")
 def periods(d: Domain) -> DataFrame:
     p = dates.period_of_file(F.concat(F.lit("alert_"), F.date_format("o_orderdate", "MMMM_yyyy"), F.lit(".pdf")))
-    return d.table("orders").filter(F.year("o_orderdate") >= 2000).select("o_orderkey", p["day"].alias("day"), p["label"].alias("label"))
+    return d.table("orders").select("o_orderkey", p["day"].alias("day"), p["label"].alias("label"))
 
 
 @query("F25_barcode_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")

@@ -59,12 +59,7 @@ def heading_sections(d: Domain) -> DataFrame:
     return assemble.sections(c, "conv_id", ["turn"], "^# ").select("conv_id", "turn", F.regexp_replace("heading", "^# ", "").alias("heading"))
 
 
-@query("S21_key_lookup", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0")
-def key_lookup(d: Domain) -> DataFrame:
-    return d.table("orders").filter("o_orderkey % 7 = 0").join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
-
-
-@query("S21_key_lookup_whole", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("S21_key_lookup", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def key_lookup_whole(d: Domain) -> DataFrame:
     return d.table("orders").join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
@@ -83,19 +78,6 @@ def first_rows(d: Domain) -> DataFrame:
 # Sinks in select form
 
 
-@query("K06_verdict_rows", """SELECT doc_id, '{"quality":' || quality || ',"toxic":' || toxic || '}' AS verdict FROM labels""")
-def verdict_rows(d: Domain) -> DataFrame:
-    a = d.table("labels").select("doc_id", F.to_json(F.struct("quality", "toxic")).alias("verdict"))
-    b = a.limit(0).withColumn("Zone", F.lit(""))
-    u = a.unionByName(b, allowMissingColumns=True)
-    return u.select(*sorted(u.columns, key=str.lower)).drop("Zone")
-
-
-@query("K07_run_manifest", "SELECT user_id AS run_id, count(*)::BIGINT AS documents_count, count(*) > 0 AS has_pdfs, strftime(max(ts), '%Y-%m-%d') AS triggered_on FROM events WHERE event_type = 'purchase' GROUP BY user_id")
-def run_manifest(d: Domain) -> DataFrame:
-    return d.table("events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("documents_count"), (F.count(F.lit(1)) > 0).alias("has_pdfs"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("triggered_on"))
-
-
 @query("K09_json_artifacts", """SELECT doc_id, strlen(b)::BIGINT AS bytes, sha256(b) AS hash FROM (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' AS b FROM documents)""")
 def artifacts(d: Domain) -> DataFrame:
     b = F.to_json(F.struct("doc_id", "lang"))
@@ -114,11 +96,6 @@ def routing(d: Domain) -> DataFrame:
     return d.table("documents").join(have, "doc_id", "left").select("doc_id", F.col("lang").alias("folder"), F.when(F.col("have"), "EXISTING").otherwise("PLANNED").alias("status"))
 
 
-@query("K19_scan_records", "SELECT event_id, user_id, CASE WHEN value > 200 THEN 'unsafe' ELSE 'unknown' END AS status FROM events WHERE event_type = 'view'")
-def scan_records(d: Domain) -> DataFrame:
-    return d.table("events").filter("event_type = 'view'").select("event_id", "user_id", F.when(F.col("value") > 200, "unsafe").otherwise("unknown").alias("status"))
-
-
 @query("K20_chunk_lines", """SELECT conv_id, turn, '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS line FROM conversations""")
 def chunk_lines(d: Domain) -> DataFrame:
     return d.table("conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("line"))
@@ -141,12 +118,7 @@ def csv_rows(d: Domain) -> DataFrame:
 # Functions
 
 
-@query("F03_folded_words", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents WHERE lang IN ('fr', 'es') AND NOT regexp_matches(text, '[a-z][A-Z]')")
-def folded(d: Domain) -> DataFrame:
-    return d.table("documents").filter("lang in ('fr', 'es')").filter(~F.col("text").rlike("[a-z][A-Z]")).select("doc_id", text.fold_words(F.col("text")).alias("words"))
-
-
-@query("F03_folded_words_whole")
+@query("F03_folded_words", "SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents")
 def folded_whole(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", text.ascii_words(F.col("text")).alias("words"))
 
@@ -229,12 +201,6 @@ def flattened(d: Domain) -> DataFrame:
     return d.table("part").select("p_partkey", F.array_join(F.transform(rows, lambda r: r[0]), "|").alias("rows"))
 
 
-@query("F47_role_rows", "SELECT l_partkey AS product_id, l_suppkey AS organization_id, r AS role FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), (VALUES ('MANUFACTURER'), ('IMPORTER')) t(r)")
-def role_rows(d: Domain) -> DataFrame:
-    p = d.product_organizations().drop("role")
-    return p.select("product_id", "organization_id", F.explode(F.array(F.lit("MANUFACTURER"), F.lit("IMPORTER"))).alias("role"))
-
-
 @query("F50_flat_lines", "SELECT p_partkey, p_name || '!' AS text, 12.0::DOUBLE AS size, 3 AS flags FROM part")
 def flat_lines(d: Domain) -> DataFrame:
     span = lambda t, s, f: F.struct(t.alias("text"), F.lit(s).alias("size"), F.lit(f).alias("flags"))
@@ -243,11 +209,6 @@ def flat_lines(d: Domain) -> DataFrame:
     return d.table("part").select("p_partkey", F.explode(nested.flat_lines(pages)).alias("l")).select("p_partkey", "l.text", "l.size", "l.flags")
 
 
-@query("P04_api_rows", "SELECT o_orderkey, 'ORD ' || o_orderkey || ', ' || o_orderstatus AS batch_details, o_orderpriority AS result FROM orders")
-def api_rows(d: Domain) -> DataFrame:
-    return d.table("orders").select("o_orderkey", F.concat(F.lit("ORD "), F.col("o_orderkey").cast("string"), F.lit(", "), F.col("o_orderstatus")).alias("batch_details"), F.col("o_orderpriority").alias("result"))
-
-
 @query("P15_proximity", "SELECT p_partkey, p_size <= 20 AS near FROM part")
 def proximity(d: Domain) -> DataFrame:
     t = F.concat(F.lit("alpha"), F.repeat(F.lit("."), (F.col("p_size") - 1) * 10), F.lit("omega"))
@@ -262,19 +223,6 @@ def paragraph_archetype(d: Domain) -> DataFrame:
     return d.table("part").select("p_partkey", scanned.archetype(F.col("p_name"), {"rings": ("ring", "small ring"), "bolts": ("bolt",)}).alias("archetype"))
 
 
-@query("R12_usability", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'Unusable' WHEN p_size < 25 THEN 'Partial' ELSE 'Usable' END AS usability, concat_ws(',', CASE WHEN p_size < 10 THEN 'low_ocr' END, CASE WHEN p_size < 25 THEN 'missing_batch' END) AS flags FROM part")
-def usability(d: Domain) -> DataFrame:
-    u = scanned.usability(F.lit("Usable"), {"batch": F.col("p_size") >= 25}, F.lit(True), F.when(F.col("p_size") < 10, 0.3).otherwise(0.9))
-    return d.table("part").select("p_partkey", u["usability"].alias("usability"), F.array_join(u["flags"], ",").alias("flags"))
-
-
-@query("R13_context_archetype", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'forced' WHEN p_size % 3 = 1 THEN 'from_table' ELSE 'from_title' END AS archetype, CASE WHEN p_size % 3 = 0 THEN 'FORCED' WHEN p_size % 3 = 1 THEN 'TABLE' ELSE 'CONTEXT' END AS status FROM part")
-def context_archetype(d: Domain) -> DataFrame:
-    k = F.col("p_size") % 3
-    r = scanned.decided(F.when(k == 0, "forced"), F.when(k == 1, "from_table"), F.lit("from_title"))
-    return d.table("part").select("p_partkey", r["archetype"].alias("archetype"), r["status"].alias("status"))
-
-
 @query("W03_remarks", "SELECT conv_id, max(turn) FILTER (role = 'assistant') AS turn FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0")
 def remarks(d: Domain) -> DataFrame:
     rows = d.table("conversations").withColumn("ord", F.col("turn") + 1)

@@ -105,9 +105,13 @@ def test_run_ids(spark):
 
 def test_field_tiers(spark):
     m = F.create_map(lit("Dru g Name"), lit(" Aspirin "), lit("BATCH NO"), lit("B1"), lit("Name of maker firm"), lit("Acme"), lit("empty"), lit(" "))
-    e = records.entries(m)
+    e = m
     r = one(spark, records.field(e, ["drug name"]), records.field(e, ["batch no"]), records.field(e, ["maker"]), records.field(e, ["empty"]), records.field(e, ["drug name"], loose=False))
     assert list(r) == ["Aspirin", "B1", "Acme", "", ""]
+    # names decide between exact keys, a blank value gives way, and loose fits come last
+    m = F.create_map(lit("batch"), lit(" "), lit("lot no"), lit("L7"), lit("batch no"), lit("B2"), lit("x batch x"), lit("B3"))
+    r = one(spark, records.field(m, ["batch no", "batch", "lot no"]), records.field(m, ["batch", "lot no"]), records.field(m, ["batch"]), records.candidates(F.map_keys(m), ["batch"]))
+    assert list(r) == ["B2", "L7", "B2", ["batch", "batch no", "x batch x"]]
 
 
 def test_records_of(spark):
