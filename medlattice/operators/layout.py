@@ -189,3 +189,34 @@ def header_archetypes(headers: DataFrame, archetypes: dict[str, list[list[str]]]
             yield pd.DataFrame(out, columns=["table_id", "archetype", "score"])
 
     return headers.select("table_id", "cells").mapInPandas(run, "table_id long, archetype string, score double")
+
+
+def has_grid(drawings: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., grid) of drawings(key..., kind, x0, y0, x1, y1): whether a page has two horizontal and two vertical rules.
+
+    A line counts if it is straight within 1.5 and at least 25 wide or 12 high; a rectangle has two of each.
+    """
+    wide, high = F.abs(F.col("x0") - F.col("x1")), F.abs(F.col("y0") - F.col("y1"))
+    line, box = F.col("kind") == "l", F.col("kind") == "re"
+    rules = F.when(line & (high <= 1.5) & (wide >= 25), F.array(F.bround((F.col("y0") + F.col("y1")) / 2))).when(box, F.array(F.bround("y0"), F.bround("y1")))
+    bars = F.when(line & ~((high <= 1.5) & (wide >= 25)) & (wide <= 1.5) & (high >= 12), F.array(F.bround((F.col("x0") + F.col("x1")) / 2))).when(box, F.array(F.bround("x0"), F.bround("x1")))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    return drawings.groupBy(*key).agg(((distinct(rules) >= 2) & (distinct(bars) >= 2)).alias("grid"))
+
+
+def text_table(words: DataFrame, key: list[str], gap: float = 18.0, tolerance: float = 14.0, rows: int = 3, height: float = 24.0) -> DataFrame:
+    """(key..., y0, y1, n): where words(key..., line, x0, y0, x1, y1) stand in columns without rules.
+
+    A line has columns if a gap parts its words; it is a row if the first two
+    columns of another line of the page start within the tolerance.
+    """
+    order = Window.partitionBy(*key, "line").orderBy("x0", "x1")
+    right = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = words.withColumn("start", F.when(right.isNull() | (F.col("x0") - right >= gap), F.col("x0")))
+    ends = [F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    lines = starts.groupBy(*key, "line").agg(F.slice(F.array_sort(F.collect_list("start")), 1, 2).alias("s"), *ends).filter(F.size("s") >= 2)
+    page = lines.groupBy(*key).agg(F.collect_list(F.struct("line", "s", "y0", "y1")).alias("lines"))  # lines of one page
+    near = lambda a, b: (a["line"] != b["line"]) & (F.abs(a["s"][0] - b["s"][0]) <= tolerance) & (F.abs(a["s"][1] - b["s"][1]) <= tolerance)
+    kept = page.withColumn("lines", F.filter("lines", lambda a: F.exists("lines", lambda b: near(a, b))))
+    out = kept.select(*key, F.array_min(F.transform("lines", lambda x: x["y0"])).alias("y0"), F.array_max(F.transform("lines", lambda x: x["y1"])).alias("y1"), F.size("lines").cast("long").alias("n"))
+    return out.filter((F.col("n") >= rows) & (F.col("y1") - F.col("y0") >= height))

@@ -90,3 +90,8 @@ def phrase_archetypes(docs: DataFrame, phrases: DataFrame, ratio: float = 0.7, l
     hit = grams.join(p, "phrase").groupBy("doc_id", "archetype").agg(F.countDistinct("grp").alias("hits")).join(total, "archetype")
     good = hit.withColumn("ratio", F.col("hits") / F.col("groups")).filter((F.col("hits") >= least) & (F.col("ratio") >= ratio))
     return good.groupBy("doc_id").agg(F.max_by("archetype", F.struct("ratio", "hits", "archetype")).alias("archetype"))
+
+
+def ingest_totals(results: DataFrame) -> DataFrame:
+    """(relation, rows, documents, failures) over results(document, relation, n, failed) of all documents."""
+    return results.groupBy("relation").agg(F.sum("n").cast("long").alias("rows"), F.count(F.lit(1)).alias("documents"), F.count_if("failed").alias("failures"))

@@ -16,14 +16,6 @@ def archetype(text: Column, signatures: dict[str, tuple[str, ...]]) -> Column:
     return F.when(best["hits"] > 0, best["name"])
 
 
-def usability(base: Column, fields: dict[str, Column], medicine: Column, confidence: Column, least: float = 0.55) -> Column:
-    """struct(usability, flags): low OCR confidence or another kind of product is unusable, a missing field partial."""
-    low, missing = F.coalesce(confidence < least, F.lit(False)), [F.when(~present, f"missing_{n}") for n, present in fields.items()]
-    flags = F.array_compact(F.array(F.when(low, "low_ocr"), F.when(~medicine, "not_a_medicine"), *missing))
-    lacking = F.size(F.array_compact(F.array(*missing))) > 0 if missing else F.lit(False)
-    return F.struct(F.when(low | ~medicine, "Unusable").when(lacking & (base == "Usable"), "Partial").otherwise(base).alias("usability"), flags.alias("flags"))
-
-
 def decided(forced: Column, from_table: Column, from_context: Column) -> Column:
     """struct(archetype, status): a forced one, else the table's, else that of file name and title."""
     a = F.coalesce(forced, from_table, from_context)

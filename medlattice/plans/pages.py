@@ -45,12 +45,6 @@ def archetypes(d: Domain) -> DataFrame:
     return layout.header_archetypes(h, {"rings": [["ring"], ["small", "large"]], "bolts": [["bolt"], ["cold", "hot"]]})
 
 
-@query("S10_strategy_cascade", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'default' WHEN p_size % 3 = 1 THEN 'text' ELSE 'mixed' END AS strategy FROM part")
-def cascade(d: Domain) -> DataFrame:
-    found = [F.when(F.col("p_size") % 3 == i, F.lit(s)) for i, s in enumerate(("default", "text", "mixed"))]
-    return d.table("part").select("p_partkey", F.coalesce(*found).alias("strategy"))
-
-
 @query("S18_selected_pages", "SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([0, 1, n - 1], lambda i: i >= 0 AND i < n))), ',') AS pages FROM (SELECT o_orderkey, (o_orderkey % 5)::INT AS n FROM orders)")
 def selected(d: Domain) -> DataFrame:
     n = (F.col("o_orderkey") % 5).cast("int")

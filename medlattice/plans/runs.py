@@ -92,14 +92,7 @@ def history(d: Domain) -> DataFrame:
     return d.table("events").filter("user_id = 7").orderBy(F.desc("ts"), "event_id").offset(10).limit(20).select("event_id")
 
 
-@query("T05_date_then_id", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN DATE '0001-01-01' ELSE o_orderdate::DATE END DESC, o_orderkey)::BIGINT AS position FROM orders QUALIFY position <= 200")
-def date_then_id(d: Domain) -> DataFrame:
-    day = F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate"))
-    top = d.table("orders").orderBy(F.coalesce(day, F.lit("0001-01-01").cast("date")).desc(), "o_orderkey").limit(200)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.coalesce(day, F.lit("0001-01-01").cast("date")).desc(), "o_orderkey")).cast("long")).select("o_orderkey", "position")
-
-
-@query("T05_date_then_id_whole", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN DATE '0001-01-01' ELSE o_orderdate::DATE END DESC, o_orderkey)::BIGINT AS position FROM orders")
+@query("T05_date_then_id", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN DATE '0001-01-01' ELSE o_orderdate::DATE END DESC, o_orderkey)::BIGINT AS position FROM orders")
 def date_then_id_whole(d: Domain) -> DataFrame:
     """The position of every order; a day, and the orders without one, are split by ranges of keys."""
     parts = 64
@@ -179,11 +172,6 @@ def approval_states(d: Domain) -> DataFrame:
     return out.select("run_id", F.coalesce("status", F.lit("")).alias("status"), F.coalesce("decided_by", F.lit("")).alias("decided_by"))
 
 
-@query("X08_envelopes", "SELECT event_id::VARCHAR AS key, 'live' AS kind, coalesce(event_type, 'unknown') AS event_type, 'unknown' AS source, user_id::VARCHAR AS run_id FROM events")
-def envelopes(d: Domain) -> DataFrame:
-    return d.table("events").select(F.col("event_id").cast("string").alias("key"), F.lit("live").alias("kind"), F.coalesce("event_type", F.lit("unknown")).alias("event_type"), F.lit("unknown").alias("source"), F.col("user_id").cast("string").alias("run_id"))
-
-
 @query("X10_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id").join(d.table("labels"), "doc_id", "left_anti")
