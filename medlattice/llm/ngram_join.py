@@ -5,13 +5,16 @@ their sets' Jaccard similarity is 0.75 or more. The result names every
 document's component of links.
 
 1. Equal sets form a class; its smallest document stands for it.
-2. Candidates: a class keeps the smallest of its hashes, as many as ensure that two
-   linked classes share at least ``least_shared(n)`` of them: what a set of n
-   shingles doesn't share with a linked one is a quarter of it at most, so of its
-   n/4 + t smallest hashes t are shared. By the same principle they then share one
-   of the rarest of these keys, so only keys that several classes have, rarest
-   first, connect clusters. No link is lost. A passage that many documents share is
-   never among the rarest unless it makes up a third of a document or more.
+2. Candidates: a class keeps its SKETCH smallest hashes. Two linked classes share
+   at least ``sketch_shared(n)`` of them: sets whose union fits a sketch by
+   counting, larger ones but for a chance below 1e-10 (the tail of SKETCH draws
+   from their union, three quarters of which are shared). With ``sketch=None`` a
+   class keeps all that a linked one may lack, a quarter of its hashes, and some
+   more, so they share ``least_shared(n)`` of them for certain. By the prefix
+   principle they then share one of the rarest of these keys, so only keys that
+   several classes have, rarest first, connect clusters. A passage that many
+   documents share is never among the rarest unless it makes up about half of a
+   document (a third, or some hundred words, with ``sketch=None``).
 3. Within a cluster a signature tree is built over whole sets: leaves of like
    sizes, nodes with OR- and AND-combined bitmaps and size ranges. A dual
    traversal drops node pairs whose sizes or largest possible overlap rule a link
@@ -27,6 +30,8 @@ class. A null id belongs to no component.
 
 from __future__ import annotations
 
+from math import exp, lgamma
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +40,13 @@ from pyspark.sql import functions as F
 from .common import Staged, connected, narrow, table
 from .words import Block, U, blocks, gram_hashes, mix, signed
 
-WORDS, PERCENT, SPARE, CHUNK, PIVOTS, LEAF, BITS = 5, 75, 5, 512, 32, 32, 2048
+WORDS, PERCENT, SKETCH, SPARE, CHUNK, PIVOTS, LEAF, BITS = 5, 75, 96, 32, 512, 32, 32, 2048
 #: Shingles of a chunk on average; long documents make smaller chunks.
 CHUNK_SHINGLES = 400_000
 #: Members of clusters that are sent to the scan; more are met by a shuffle join.
 SEND_ROWS = 200_000
+#: Classes (32 bytes each) that are sent to the scan of kept hashes; more are met by a shuffle join.
+SEND_CLASSES = 500_000
 
 
 def shingle_sets(block: Block, words: int = WORDS) -> list[np.ndarray]:
@@ -54,7 +61,9 @@ def shingle_sets(block: Block, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _sketches(docs: DataFrame, words: int, percent: int, sketch: int | None) -> DataFrame:
+    kept = (lambda n: kept_keys(n, percent)) if sketch is None else lambda n: sketch
+
     def run(batches):
         for batch in batches:
             for lo, hi, block in blocks(batch, lower=True):
@@ -62,20 +71,52 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n = pa.array([len(s) for s in sets], pa.int64())
                 h1 = pa.array(np.array([s.sum(dtype=U) if len(s) else 0 for s in sets], U).view(np.int64))
                 h2 = pa.array(np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], U).view(np.int64))
-                sketch = pa.array([signed(s[: kept_keys(len(s), percent)]) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, h1, h2, sketch], names=["doc_id", "n", "h1", "h2", "sketch"])
+                hashes = pa.array([signed(s[: kept(len(s))]) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, h1, h2, hashes], names=["doc_id", "n", "h1", "h2", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
 
 
+def _spare(n: int) -> int:
+    return max(1, min(n // 5, SPARE))
+
+
 def kept_keys(n: int, percent: int = PERCENT) -> int:
-    """How many of its n hashes, smallest first, a set keeps: all that a linked set may lack, and n/SPARE more."""
-    return n + (-n * percent // 100) + max(1, n // SPARE)
+    """How many of its n hashes, smallest first, a set keeps: all that a linked set may lack, and up to SPARE more."""
+    return n + (-n * percent // 100) + _spare(n)
 
 
 def least_shared(n: int, percent: int = PERCENT) -> int:
     """Fewest kept keys that a set of n shingles and a linked one share; the smallest linked set has ``percent`` of n."""
-    return max(1, -(-n * percent // 100) // SPARE)
+    return _spare(-(-n * percent // 100))
+
+
+def sketch_shared(n: int, percent: int = PERCENT, sketch: int = SKETCH, risk: float = 1e-10) -> int:
+    """Fewest keys that the sketches of a set of n shingles and a linked one share, but for the risk."""
+    union, share = -(-n * 100 // percent), percent / 100
+    # a union that fits the sketch has n shingles at least, and all that are shared are seen
+    counted = -(-n * percent // 100) if n <= sketch else sketch
+    if union <= sketch:
+        return counted
+    good = int(union * share)
+    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    tail = 0.0
+    for x in range(max(0, sketch - (union - good)), sketch + 1):
+        tail += exp(choose(good, x) + choose(union - good, sketch - x) - choose(union, sketch))
+        if tail > risk:
+            return max(1, min(x, counted))
+    return 1
+
+
+def _share(n: Column, percent: int, sketch: int) -> Column:
+    """``sketch_shared`` by steps, each with the smallest value within it."""
+    exact = 64
+    out = F.lit(sketch_shared(1 << 30, percent, sketch))
+    for end in (1 << k for k in range(16, 6, -1)):
+        out = F.when(n <= end, F.lit(sketch_shared(end, percent, sketch))).otherwise(out)
+    for end in range(160, exact, -8):
+        out = F.when(n <= end, F.lit(min(sketch_shared(k, percent, sketch) for k in range(end - 7, end + 1)))).otherwise(out)
+    return F.when(n <= exact, F.ceil(n * percent / 100)).otherwise(out)
 
 
 class Tree:
@@ -198,20 +239,30 @@ def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "cluster long, doc_id long, root long")
 
 
-def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text", sketch: int | None = SKETCH) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document.
+
+    ``sketch`` hashes of a set find its candidates, but for a risk below that of
+    hash collisions; None takes as many as rule that risk out.
+    """
     spark = docs.sparkSession
     staged = Staged(spark, "ngram_join")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    every = staged.write(_sketches(plain, words, percent))
-    classes = staged.write(every.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    every = staged.write(_sketches(plain, words, percent, sketch))
+    sets_of = every.filter("n > 0 and doc_id is not null")
+    classes = staged.write(sets_of.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     rows, n_keys = every.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()
 
-    keys = classes.select("rep", F.explode("sketch").alias("key"))
+    # the kept hashes of each class are those of its smallest document; where that row repeats, its keys do, which widens the prefixes only
+    named_by = classes.select("n", "h1", "h2", F.col("rep").alias("doc_id"))
+    named_by = F.broadcast(named_by) if classes.count() <= SEND_CLASSES else named_by
+    keys = sets_of.join(named_by, ["n", "h1", "h2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sketch").alias("key"))
     df = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = keys.join(df, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))  # at most half a set
+    exact = lambda n: F.greatest(F.lit(1), F.least(F.lit(SPARE), F.floor(F.ceil(n * percent / 100) / 5)))
+    shared_of = exact if sketch is None else lambda n: _share(n, percent, sketch)
     size = classes.groupBy("rep").agg(F.min("n").alias("n"))
-    rare = shared.join(size, "rep").withColumn("take", F.size("keys") - F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)).cast("int") + 1).filter("take > 0")
+    rare = shared.join(size, "rep").withColumn("take", F.size("keys") - shared_of(F.col("n")).cast("int") + 1).filter("take > 0")
     prefix = staged.write(rare.select("rep", F.explode(F.slice("keys", F.lit(1), F.col("take"))).alias("k")).select("rep", F.col("k.key").alias("key")), n_keys)
     pivot = prefix.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     edges = staged.write(prefix.join(pivot, "key").select(F.col("rep").alias("node"), F.col("pivot").alias("hub")).distinct(), n_keys)

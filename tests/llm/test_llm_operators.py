@@ -347,8 +347,8 @@ def components_of(texts):
     return {i: (len(s[i]), root[i]) for i in s}
 
 
-@pytest.mark.parametrize("chunk", [512, 4])
-def test_ngram_join(spark, corpus, chunk):
+@pytest.mark.parametrize("chunk,sketch", [(512, 96), (4, 96), (4, None)])
+def test_ngram_join(spark, corpus, chunk, sketch):
     docs, texts = corpus
     rng = random.Random(8)
     base = prose(rng, 100).split()
@@ -359,7 +359,7 @@ def test_ngram_join(spark, corpus, chunk):
             t[rng.randrange(len(t))] = f"e{rng.randrange(50)}"
         more[100 + i] = " ".join(t)
     df = spark.createDataFrame(list(more.items()), "doc_id long, text string").withColumn("n", F.lit("clash"))
-    out = ngram_join.components(df.unionByName(df.filter("doc_id = 2")), chunk=chunk).collect()
+    out = ngram_join.components(df.unionByName(df.filter("doc_id = 2")), chunk=chunk, sketch=sketch).collect()
     assert len(out) == len(more) + 1
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == components_of(more)
     assert ngram_join.components(empty(spark)).count() == 0
@@ -379,6 +379,8 @@ def test_least_shared_holds():
             a, b = np.concatenate([common, rest[: n - both]]), np.concatenate([common, rest[n - both :]])
             shared = len(np.intersect1d(keep(a), keep(b)))
             assert shared >= ngram_join.least_shared(len(a)) and shared >= ngram_join.least_shared(len(b))
+            drawn = len(np.intersect1d(np.sort(a)[: ngram_join.SKETCH], np.sort(b)[: ngram_join.SKETCH]))
+            assert drawn >= ngram_join.sketch_shared(len(a)) and drawn >= ngram_join.sketch_shared(len(b))
 
 
 def test_winnowing(spark):
