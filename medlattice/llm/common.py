@@ -7,8 +7,6 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,26 +103,24 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: Column, order: list[Col
     summed by their names without the last two digits first, and so not in one
     task either.
     """
-    keyed = df.withColumn("_bucket", bucket.cast("string")).withColumn("_value", value.cast("long"))
-    # an exchange of its own: one by the group alone would satisfy the window and put a hot group in one task
-    keyed = keyed.repartition(*[F.col(f"`{c}`") for c in group], F.col("_bucket"))
-    sums = keyed.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum"))
+    # the group as one text that is never null, so that one exchange by it serves the windows and the join of the rows.
+    # An exchange by the group alone would satisfy the window and put a hot group in one task.
+    keyed = df.withColumn("_group", F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group)])))
+    keyed = keyed.withColumn("_bucket", F.coalesce(bucket.cast("string"), F.lit(""))).withColumn("_value", value.cast("long"))
+    sums = keyed.groupBy("_group", "_bucket").agg(F.sum("_value").alias("_sum"))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    so_far = lambda window: F.coalesce(F.sum("_sum").over(window), F.lit(0))
-    names = [F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group)]
-    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+    so_far = lambda window, c: F.coalesce(F.sum(c).over(window), F.lit(0))
     if levels == 1:
-        shift = sums.select(*names, F.col("_bucket").alias("_b"), so_far(before(*group).orderBy("_bucket")).alias("_shift"))
+        shift = sums.select("_group", "_bucket", so_far(before("_group").orderBy("_bucket"), "_sum").alias("_shift"))
     else:
         sums = sums.withColumn("_upper", F.substring("_bucket", F.lit(1), F.greatest(F.length("_bucket") - 2, F.lit(0))))
-        upper = sums.groupBy(*group, "_upper").agg(F.sum("_sum").alias("_sum"))
-        upper = upper.select(*names, F.col("_upper").alias("_u"), so_far(before(*group).orderBy("_upper")).alias("_far"))
-        near = sums.withColumn("_near", so_far(before(*group, "_upper").orderBy("_bucket")))
-        met = near.join(upper, reduce(and_, [*same, F.col("_upper").eqNullSafe(F.col("_u"))]))
-        shift = met.select(*[F.col(f"_g{i}") for i in range(len(group))], F.col("_bucket").alias("_b"), (F.col("_far") + F.col("_near")).alias("_shift"))
-    within = before(*group, "_bucket").orderBy(*order)
-    summed = keyed.withColumn("_before", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    met = summed.join(shift, reduce(and_, [*same, F.col("_bucket").eqNullSafe(F.col("_b"))]))
+        upper = sums.groupBy("_group", "_upper").agg(F.sum("_sum").alias("_all"))
+        upper = upper.select("_group", "_upper", so_far(before("_group").orderBy("_upper"), "_all").alias("_far"))
+        near = sums.withColumn("_near", so_far(before("_group", "_upper").orderBy("_bucket"), "_sum"))
+        shift = near.join(upper, ["_group", "_upper"]).select("_group", "_bucket", (F.col("_far") + F.col("_near")).alias("_shift"))
+    dealt = keyed.repartition("_group", "_bucket")
+    summed = dealt.withColumn("_before", so_far(before("_group", "_bucket").orderBy(*order), "_value"))
+    met = summed.join(shift, ["_group", "_bucket"])
     return met.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_shift")).cast("long").alias(name))
 
 
