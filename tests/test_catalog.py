@@ -80,7 +80,7 @@ def test_canonical_of_whole_texts(spark, texts):
         t = re.sub(r"\b(pvt|private|ltd|limited|inc|corp|corporation|co|company)\b\.?", "", (t or "").lower().strip())
         return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", t)).strip()
 
-    assert by_id(catalog.QUERIES["F01_canonical_whole"](spark, texts), "canonical") == {i: canonical(t) for i, _, t in TEXTS}
+    assert by_id(catalog.QUERIES["F01_canonical"](spark, texts), "canonical") == {i: canonical(t) for i, _, t in TEXTS}
 
 
 def test_words_tokens_and_entities_of_all_documents(spark, texts):
@@ -96,10 +96,10 @@ def test_words_tokens_and_entities_of_all_documents(spark, texts):
     def whole(name, column):
         return by_id(catalog.QUERIES[name](spark, texts), column)
 
-    assert whole("F02_normalized_words_whole", "words") == {i: " ".join(re.findall("[a-z0-9]+", (t or "").casefold())) for i, _, t in TEXTS}
-    assert whole("F03_folded_words_whole", "words") == {i: folded(t) for i, _, t in TEXTS}
-    assert whole("F19_content_tokens_whole", "tokens") == {i: len(set(re.findall("[a-z0-9]{3,}", (t or "").lower()))) for i, _, t in TEXTS}
-    assert whole("A11_entities_whole", "makers") == {i: makers(t) for i, _, t in TEXTS}
+    assert whole("F02_normalized_words", "words") == {i: " ".join(re.findall("[a-z0-9]+", (t or "").casefold())) for i, _, t in TEXTS}
+    assert whole("F03_folded_words", "words") == {i: folded(t) for i, _, t in TEXTS}
+    assert whole("F19_content_tokens", "tokens") == {i: len(set(re.findall("[a-z0-9]{3,}", (t or "").lower()))) for i, _, t in TEXTS}
+    assert whole("A11_entities", "makers") == {i: makers(t) for i, _, t in TEXTS}
 
 
 def test_case_folds_are_all_that_give_ascii():
@@ -120,7 +120,7 @@ def test_sequence_records_keep_whole_turns(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test data")
-@pytest.mark.parametrize("name", ["T05_date_then_id_whole", "S21_key_lookup_whole"])
+@pytest.mark.parametrize("name", ["T05_date_then_id", "S21_key_lookup"])
 def test_every_order_has_a_row(spark, name):
     test_query_equals_its_sql(spark, name)
     assert catalog.QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
@@ -129,13 +129,13 @@ def test_every_order_has_a_row(spark, name):
 def test_orders_without_a_date_come_last(spark, tmp_path):
     rows = [(k, "P" if k % 3 == 0 else "O", f"2024-01-0{k % 4 + 1}") for k in range(1, 901)]
     spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
-    got = [r.o_orderkey for r in catalog.QUERIES["T05_date_then_id_whole"](spark, str(tmp_path)).orderBy("position").collect()]
+    got = [r.o_orderkey for r in catalog.QUERIES["T05_date_then_id"](spark, str(tmp_path)).orderBy("position").collect()]
     dated = sorted((r for r in rows if r[1] == "O"), key=lambda r: (-int(r[2][-1]), r[0]))
     assert got == [r[0] for r in dated] + [r[0] for r in rows if r[1] == "P"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test data")
 def test_raw_records_get_all_checks(spark):
-    test_query_equals_its_sql(spark, "A31_raw_record_checks_whole")
-    found = {(r.check_name, r.detail) for r in catalog.QUERIES["A31_raw_record_checks_whole"](spark, DATA).collect()}
+    test_query_equals_its_sql(spark, "A31_raw_record_checks")
+    found = {(r.check_name, r.detail) for r in catalog.QUERIES["A31_raw_record_checks"](spark, DATA).collect()}
     assert found >= {("empty", "source_location"), ("empty", "raw_json"), ("duplicate", "source_record_id"), ("json", "invalid"), ("json", "neither object nor array")}
