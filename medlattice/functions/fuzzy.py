@@ -9,7 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import words
+from .text import blank
+
+#: What both sides of a similarity take for a word: runs of letters and digits of any script.
+WORD = "[\\p{L}\\p{N}]+"
 
 
 def trigrams(word: str) -> set[str]:
@@ -26,11 +29,12 @@ def word_similarity_of(query: str, target: str) -> float:
         return 0.0
     best, hits = 0.0, [i for i, g in enumerate(have) if g in want]
     for k, start in enumerate(hits):
-        seen = set()
+        seen: set[str] = set()
         extra: set[str] = set()
         for end in hits[k:]:
-            run = have[start : end + 1]
-            seen, extra = {g for g in run if g in want}, {g for g in run if g not in want}
+            for g in have[start : end + 1]:
+                (seen if g in want else extra).add(g)
+            start = end + 1
             best = max(best, len(seen) / (len(want) + len(extra)))
     return best
 
@@ -66,8 +70,9 @@ sequence_ratio = _pairwise(lambda a, b: SequenceMatcher(None, a, b).ratio())
 
 
 def _grams(c: Column) -> Column:
-    each = F.transform(F.split(words(c), " "), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.when(words(c) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(each)))
+    words = F.regexp_extract_all(F.lower(blank(c)), F.lit(WORD), 0)
+    each = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    return F.array_distinct(F.flatten(each))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.fuzzy import trigram_containment, word_similarity_of
 from ..functions.text import blank, compact
@@ -95,7 +96,7 @@ def scored(products: DataFrame, organizations: DataFrame, ingredients: DataFrame
         per_token = [_any([holds(F.col(c), t) for c in names] + [F.contains(compact(F.col("product_name")), F.lit(t)), F.col(f"_t{i}")]) for i, t in enumerate(name.split())]
         hit = reduce(and_, per_token)
         if fuzzy:
-            # the UDF sees only rows that no token filter has taken and whose trigrams allow the limit
+            # similarities are computed only for names whose trigrams allow the limit, token matches included: it ranks those too
             p = p.withColumn("_hit", hit)
             bound = F.greatest(*[trigram_containment(F.lit(name), F.col(c)) for c in names])
             p = p.withColumn("_maybe", F.when(bound >= FUZZY_LIMIT, F.lit(name)))
@@ -135,5 +136,6 @@ def top(matches: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     limit = max(1, min(limit, MAX_LIMIT))
     order = [F.desc("relevance"), F.asc("product_name"), F.asc("id")]
     some = matches.orderBy(*order).limit(limit + 1)
-    at_most = some.agg(F.count(F.lit(1)).alias("_n"))
-    return some.orderBy(*order).limit(limit).join(F.broadcast(at_most)).withColumn("has_more", F.col("_n") > limit).drop("_n")  # one row
+    # a window over these few rows counts them, so that the search is planned once
+    counted = some.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    return counted.orderBy(*order).limit(limit).withColumn("has_more", F.col("_n") > limit).drop("_n")

@@ -43,8 +43,9 @@ def once(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def consume(stream: DataFrame, target: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None):
     """Append unseen events of each micro-batch to Parquet, then publish them.
 
-    A batch that is run again adds nothing: its ids are there. Ids of the stored
-    table are only read where the batch has them (a semi join).
+    A batch that is run again adds nothing: its ids are there. Each batch reads
+    the id column of the whole stored table; for a stream without an end, use
+    ``once``, whose state the watermark bounds, and a target by date.
     """
 
     def save(batch: DataFrame, _: int) -> None:

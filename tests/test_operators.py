@@ -111,6 +111,25 @@ def test_ingredient_typo_is_fuzzy(spark):
     assert r[0].match_type == "FUZZY" and 60 < r[0].relevance < 80
 
 
+def test_fuzzy_search_equals_all_names(spark):
+    from medlattice.functions.fuzzy import word_similarity_of
+
+    names = ["Paracetamol 500", "पैरासिटामोल टैबलेट", "पैरासिटामल", "Парацетамол", "парацетомол форте", "Ünïcödé Täbletten", "", None, "¹²³ mg", "扑热息痛片", "Ibuprofen"]
+    p = spark.createDataFrame([(i, n, None, n, "Tablet", "1 mg") for i, n in enumerate(names)], "id long, product_name string, brand_name string, normalized_search_name string, dosage_form string, strength string")
+    none = spark.createDataFrame([], "product_id long, name string, normalized_name string, strength_text string")
+    for term in ("पैरासिटामोल", "парацетамл", "unicode tabletten", "ünicödé täblette", "扑热息疼片", "paracetmol"):
+        want = {i for i, n in enumerate(names) if word_similarity_of(term, n or "") >= search.FUZZY_LIMIT}
+        hits = {i for i, n in enumerate(names) if n and all(t in n.lower() for t in term.split())}
+        got = {r.id for r in search.scored(p, none, none, none, {"name": term}).collect()}
+        assert got == want | hits, term
+
+
+def test_top_plans_the_search_once(shelf):
+    best = search.top(search.scored(*shelf, {"name": "crocin"}), 2)
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan.split("MapInPandas")[0]
+
+
 def test_limit_tells_more(shelf):
     r = search.top(search.scored(*shelf, {"ingredient": "paracetamol"}), 2).collect()
     assert [x.id for x in r] == [3, 1] and all(x.has_more for x in r)
