@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import keys, text
-from ..operators import ingest, resolve, stage, validate
+from ..operators import ingest, resolve, runs, stage, validate
 from ..sources.driver import Domain
 from ..sources.store import once
 from .registry import query
@@ -147,7 +147,8 @@ def orphan_rows(d: Domain) -> DataFrame:
  SELECT event_key, p.id AS product_id, o.id AS organization_id FROM resolved JOIN p USING (product_key) LEFT JOIN o USING (organization_key)""", domain=True)
 def surrogate_ids(d: Domain) -> DataFrame:
     r = resolved(d).select("event_key", "product_key", F.col("maker_key").alias("organization_key"), "dosage_form", "state")
-    number = lambda df, key: df.select(key).distinct().withColumn("id", F.row_number().over(Window.orderBy(key)).cast("long"))  # noqa: E731  dimension tables
+    # keys are hex digests, so their first digits deal them evenly and in order
+    number = lambda df, key: runs.positions(df.select(key).distinct(), F.coalesce(F.substring(key, 1, 3), F.lit("")), [F.col(key)], "id")
     p, o = number(r.filter("dosage_form <> 'PROMO'"), "product_key"), number(r.filter("state <> 'NATION_1'"), "organization_key")
     out = ingest.with_ids(ingest.with_ids(r, "product_key", p, "product_key", "product_id"), "organization_key", o, "organization_key", "organization_id", needed=False)
     return out.select("event_key", "product_id", "organization_id")
