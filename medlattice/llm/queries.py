@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_crf, line_dedup, mixing, ngram_join, quality_rules, sharding, substring_dedup, url_rules
+from . import decontaminate, language_id, line_crf, line_dedup, mixing, ngram_join, quality_rules, sharding, source_audit, substring_dedup, url_rules
 
 QUERIES = {
     "op1_distribution_divergence": quality_rules.op1_distribution_divergence,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_systematic_sampling": mixing.op8_systematic_sampling,
     "op9_signature_tree": ngram_join.op9_signature_tree,
     "op10_winnowing": decontaminate.op10_winnowing,
+    "op11_source_divergence_audit": source_audit.op11_source_divergence_audit,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op8_systematic_sampling": mixing.OP8_SQL,
     "op9_signature_tree": ngram_join.OP9_SQL,
     "op10_winnowing": decontaminate.OP10_SQL,
+    "op11_source_divergence_audit": source_audit.OP11_SQL,
 }
