@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_crf, line_dedup, mixing, ngram_join, quality_rules, sharding, source_audit, substring_dedup, url_rules
+from . import decontaminate, language_id, line_crf, line_dedup, media_columns, mixing, ngram_join, quality_rules, sharding, source_audit, substring_dedup, url_rules
 
 QUERIES = {
     "op1_distribution_divergence": quality_rules.op1_distribution_divergence,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_signature_tree": ngram_join.op9_signature_tree,
     "op10_winnowing": decontaminate.op10_winnowing,
     "op11_source_divergence_audit": source_audit.op11_source_divergence_audit,
+    "op12_media_columns": media_columns.op12_media_columns,
 }
 
 ORACLE_SQL = {
