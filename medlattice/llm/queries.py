@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_crf, line_dedup, media_columns, mixing, ngram_join, quality_rules, sharding, source_audit, substring_dedup, url_rules
+from . import centroids, decontaminate, language_id, line_crf, line_dedup, media_columns, mixing, ngram_join, quality_rules, sharding, source_audit, substring_dedup, url_rules
 
 QUERIES = {
     "op1_distribution_divergence": quality_rules.op1_distribution_divergence,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_winnowing": decontaminate.op10_winnowing,
     "op11_source_divergence_audit": source_audit.op11_source_divergence_audit,
     "op12_media_columns": media_columns.op12_media_columns,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
 ORACLE_SQL = {
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op9_signature_tree": ngram_join.OP9_SQL,
     "op10_winnowing": decontaminate.OP10_SQL,
     "op11_source_divergence_audit": source_audit.OP11_SQL,
+    "op13_centroid_clustering": centroids.OP13_SQL,
 }
