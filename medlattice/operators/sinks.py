@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -10,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.snapshots import Snapshots
+
+TABLE = "table"
+
 
 def verdict_rows(parts: list[DataFrame]) -> DataFrame:
     """All parts with the union of their columns, sorted in any case; nested values as JSON, nulls as empty texts."""
@@ -42,52 +45,46 @@ def schema_outputs(tables: DataFrame, inventory: DataFrame) -> tuple[DataFrame,
     return ok.drop("reason"), tables.filter("reason is not null").drop("signature")
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def rewrite(df: DataFrame, folder: str, stamp: str) -> int | None:
+    """Replace the table that ``folder`` publishes, whole: readers see the old one or the new one.
 
+    A writer that dies leaves the old table. Returns the number of the version
+    before, which stays as a backup; none at the first time.
+    """
+    store = Snapshots(df.sparkSession, folder)
+    before = store.current()
+    store.replace({TABLE: df}, stamp)
+    return before or None
 
-def rewrite(df: DataFrame, path: str, stamp: str, kind: str = "parquet") -> str | None:
-    """Replace the table at ``path`` whole: written beside it, then renamed; the old one is kept under ``stamp``.
 
-    A writer that dies leaves the old table. Returns the backup's path, none at the first time.
-    """
-    spark, new = df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:8]}"
-    df.write.format(kind).option("header", True).save(new)
-    fs, target = _fs(spark, path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    backup = None
-    if fs.exists(target):
-        backup = f"{path}.bak-{stamp}"
-        if not fs.rename(target, jpath(backup)):
-            raise OSError(f"can't keep {path} as {backup}")
-    if not fs.rename(jpath(new), target):
-        if backup:
-            fs.rename(jpath(backup), target)
-        raise OSError(f"can't move {new} to {path}")
-    return backup
+def stored(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame | None:
+    """The table that ``rewrite`` published last, or an earlier version of it."""
+    return Snapshots(spark, folder).read(TABLE, version)
 
 
 def replace_all(relations: dict[str, DataFrame], folder: str, findings: DataFrame, confirmed: bool, order: Iterable[str]) -> list[tuple[str, int, int]]:
-    """Replace all stored relations if that is confirmed and no finding speaks against it.
+    """Replace all stored relations at once if that is confirmed and no finding speaks against it.
 
-    ``order`` names parents first; old tables go in its reverse. Nothing is
-    touched before all checks have passed. Returns (relation, rows deleted, rows written).
+    ``order`` names parents first: old rows are counted in its reverse, new
+    relations are written in it, and one pointer is swapped after the last. A
+    check that fails, a writer that dies or a swap that fails leaves every old
+    relation as it was. Returns (relation, rows deleted, rows written).
     """
     if not confirmed:
         raise PermissionError("a full replacement has to be confirmed")
     if findings.limit(1).count():
         raise ValueError("the staged relations have findings; nothing was replaced")
     spark, names = findings.sparkSession, list(order)
-    deleted = {}
+    store = Snapshots(spark, folder)
+    base, own, deleted, parts, written = store.current(), store.transaction(), {}, {}, {}
     for name in reversed(names):
-        fs, path = _fs(spark, f"{folder}/{name}")
-        deleted[name] = spark.read.parquet(f"{folder}/{name}").count() if fs.exists(path) else 0
-    out = []
+        old = store.read(name, base)
+        deleted[name] = old.count() if old is not None else 0
     for name in names:
-        relations[name].write.mode("overwrite").parquet(f"{folder}/{name}")
-        out.append((name, deleted[name], spark.read.parquet(f"{folder}/{name}").count()))
-    return out
+        parts[name] = [store.write(own, name, relations[name])]
+        written[name] = spark.read.parquet(f"{folder}/data/{parts[name][0]}").count()
+    store.publish(parts, base)
+    return [(name, deleted[name], written[name]) for name in names]
 
 
 def deliver(messages: list[str], clients: dict[str, Callable[[str], None]]) -> list[str]:

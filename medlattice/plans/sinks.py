@@ -20,18 +20,25 @@ def _folder(d: Domain, name: str) -> str:
     return f"{shared_folder(d.spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-_LOADED = ("organizations", "ingredients", "products", "batches")
+#: Entity tables with the key that the key map has; bridges and rows of a document have no entry in it.
+_MAPPED = {"organizations": "organization_key", "ingredients": "ingredient_key", "products": "product_key", "batches": "batch_key"}
 
 
 @query("K03_idempotent_load", RESOLVED + f""", n AS (SELECT 'organizations' AS relation, count(*) AS n FROM (SELECT organization_key FROM resolved UNION SELECT sha256('org|' || {C('state')} || '|' || {C('state')}) FROM resolved) UNION ALL SELECT 'ingredients', count(DISTINCT ingredient_key) FROM resolved
- UNION ALL SELECT 'products', count(DISTINCT product_key) FROM resolved UNION ALL SELECT 'batches', count(DISTINCT batch_key) FROM resolved) SELECT relation, n::BIGINT AS first_added, 0::BIGINT AS then_added, n::BIGINT AS mapped FROM n""", domain=True)
+ UNION ALL SELECT 'products', count(DISTINCT product_key) FROM resolved UNION ALL SELECT 'batches', count(DISTINCT batch_key) FROM resolved UNION ALL SELECT 'regulatory_documents', count(DISTINCT k) FROM resolved UNION ALL SELECT 'raw_source_records', count(DISTINCT source_record_id) FROM resolved
+ UNION ALL SELECT 'product_ingredients', count(DISTINCT product_key || ingredient_key) FROM resolved UNION ALL SELECT 'product_organizations', count(DISTINCT product_key || organization_key) FROM resolved UNION ALL SELECT 'regulatory_events', count(DISTINCT event_key) FROM resolved)
+ SELECT relation, n::BIGINT AS first_added, 0::BIGINT AS then_added, n::BIGINT AS mapped FROM n""", domain=True)
 def idempotent_load(d: Domain) -> DataFrame:
-    rows = {n: r for n, r in stage.staging(resolved(d)).items() if n in _LOADED}
+    """All nine relations, loaded twice; ``mapped`` counts the pairs of key and id in the key map, or the stored ids."""
+    rows = {n: r for n, r in stage.staging(resolved(d)).items() if n in ingest.CONFLICT}
     folder = _folder(d, "load")
     first, then = ingest.load(rows, folder), ingest.load(rows, folder)
-    keys = ingest.key_map(folder, d.spark, {"organizations": "organization_key", "ingredients": "ingredient_key", "products": "product_key", "batches": "batch_key"})
+    keys = ingest.key_map(folder, d.spark, _MAPPED)
     mapped = keys.groupBy(F.col("entity_type").alias("relation")).agg(F.countDistinct("staging_key", "entity_id").alias("mapped"))
-    counts = d.spark.createDataFrame([(n, first[n], then[n]) for n in _LOADED], "relation string, first_added long, then_added long")
+    for n in ingest.CONFLICT:
+        if n not in _MAPPED:
+            mapped = mapped.unionByName(ingest.loaded(d.spark, folder, n).agg(F.countDistinct("id").alias("mapped")).withColumn("relation", F.lit(n)))
+    counts = d.spark.createDataFrame([(n, first[n], then[n]) for n in ingest.CONFLICT], "relation string, first_added long, then_added long")
     return counts.join(mapped, "relation")
 
 
@@ -55,23 +62,23 @@ def verdict_rows(d: Domain) -> DataFrame:
     return sinks.verdict_rows([d.table("labels"), c])
 
 
-@query("K07_run_manifest", """SELECT *, '{"run_id":' || run_id || ',"documents_count":' || documents_count || ',"has_pdfs":' || has_pdfs || ',"triggered_on":"' || triggered_on || '"}' AS body FROM (SELECT user_id AS run_id, count(*)::BIGINT AS documents_count, bool_or(value > 100) AS has_pdfs, strftime(max(ts), '%Y-%m-%d') AS triggered_on FROM events WHERE event_type = 'purchase' GROUP BY user_id)""")
+@query("K07_run_manifest", """SELECT *, '{"run_id":' || run_id || ',"documents_count":' || documents_count || ',"has_pdfs":' || has_pdfs || ',"triggered_on":"' || triggered_on || '"}' AS body FROM (SELECT user_id AS run_id, count(*)::BIGINT AS documents_count, bool_or(value > 100) AS has_pdfs, strftime(max(ts), '%Y-%m-%d') AS triggered_on FROM events GROUP BY user_id)""")
 def run_manifest(d: Domain) -> DataFrame:
-    return sinks.run_manifest(d.table("events").filter("event_type = 'purchase'"), "user_id", "ts", F.col("value") > 100)
+    return sinks.run_manifest(d.table("events"), "user_id", "ts", F.col("value") > 100)
 
 
 @query("K08_atomic_rewrite", "SELECT 'now' AS version, n_nationkey FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 'kept', n_nationkey FROM nation")
 def atomic_rewrite(d: Domain) -> DataFrame:
     path, nation = f"{_folder(d, 'rewrite')}/nation", d.table("nation")
     assert sinks.rewrite(nation, path, "1") is None
-    backup = sinks.rewrite(nation.filter("n_regionkey > 1"), path, "2")
-    read = lambda p, v: d.spark.read.parquet(p).select(F.lit(v).alias("version"), "n_nationkey")
-    return read(path, "now").unionByName(read(backup, "kept"))
+    backup = sinks.rewrite(sinks.stored(d.spark, path).filter("n_regionkey > 1"), path, "2")
+    read = lambda p, v: sinks.stored(d.spark, path, p).select(F.lit(v).alias("version"), "n_nationkey")
+    return read(None, "now").unionByName(read(backup, "kept"))
 
 
-@query("K19_scan_records", "SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'processing' WHEN value > 200 THEN 'unsafe' WHEN value > 100 THEN 'safe' ELSE 'failed' END AS status FROM events WHERE event_type = 'view'")
+@query("K19_scan_records", "SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'processing' WHEN value > 200 THEN 'unsafe' WHEN value > 100 THEN 'safe' ELSE 'failed' END AS status FROM events")
 def scan_records(d: Domain) -> DataFrame:
-    e = d.table("events").filter("event_type = 'view'")
+    e = d.table("events")
     status = F.when(F.col("value") > 200, "unsafe").when(F.col("value") > 100, "safe")
     return sinks.recorded(e.select("event_id", "user_id"), e.filter("event_id % 3 <> 0"), "event_id", status)
 

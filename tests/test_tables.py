@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from medlattice.operators import ingest, parts, sinks, tables
 from medlattice.sources import payload
+from medlattice.sources.snapshots import Conflict, Snapshots
 
 ROWS = "array<array<string>>"
 
@@ -66,7 +67,17 @@ def test_api_records(spark):
     assert out == [("a", {"x": "1"}, True), ("b", None, False), ("c", None, False), ("d", None, False)]
 
 
-def test_replace_and_rewrite(spark, tmp_path):
+def failing(spark):
+    """A DataFrame whose writer fails in its tasks."""
+    return spark.range(5).select(F.when(F.col("id") < 9, F.raise_error(F.lit("writer died")).cast("long")).alias("id"))
+
+
+def counts(spark, folder, version=None):
+    store = Snapshots(spark, folder)
+    return {n: store.read(n, version).count() for n in store.parts(version)}
+
+
+def test_replace_is_checked_first(spark, tmp_path):
     rows, none = {"a": spark.range(3), "b": spark.range(2)}, spark.createDataFrame([], "f string")
     with pytest.raises(PermissionError):
         sinks.replace_all(rows, str(tmp_path), none, False, rows)
@@ -75,10 +86,52 @@ def test_replace_and_rewrite(spark, tmp_path):
     assert not list(tmp_path.iterdir())
     assert sinks.replace_all(rows, str(tmp_path), none, True, rows) == [("a", 0, 3), ("b", 0, 2)]
     assert sinks.replace_all({"a": spark.range(1), "b": spark.range(1)}, str(tmp_path), none, True, rows) == [("a", 3, 1), ("b", 2, 1)]
+    assert counts(spark, str(tmp_path)) == {"a": 1, "b": 1} and counts(spark, str(tmp_path), 1) == {"a": 3, "b": 2}
+
+
+def test_failed_writer_and_failed_swap_leave_all_relations(spark, tmp_path, monkeypatch):
+    none, folder = spark.createDataFrame([], "f string"), str(tmp_path)
+    rows = {"a": spark.range(3), "b": spark.range(2)}
+    sinks.replace_all(rows, folder, none, True, rows)
+    with pytest.raises(Exception, match="writer died"):
+        sinks.replace_all({"a": spark.range(7), "b": failing(spark)}, folder, none, True, rows)
+    assert counts(spark, folder) == {"a": 3, "b": 2}
+
+    def lost(self, beside, pointer):
+        raise OSError("store is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(Snapshots, "_swap", lost)
+        with pytest.raises(OSError):
+            sinks.replace_all({"a": spark.range(7), "b": spark.range(7)}, folder, none, True, rows)
+    store = Snapshots(spark, folder)
+    assert counts(spark, folder) == {"a": 3, "b": 2} and store.versions() == [1]
+    assert not [n for n in store._names("versions") if not n.endswith(".json")]
+    assert len(store.vacuum()) == 2 and counts(spark, folder) == {"a": 3, "b": 2}
+    assert sinks.replace_all({"a": spark.range(7)}, folder, none, True, ["a"]) == [("a", 3, 7)] and counts(spark, folder) == {"a": 7}
+
+
+def test_two_writers_and_old_versions(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path))
+    assert store.current() == 0 and store.parts() == {} and store.read("a") is None and store.vacuum() == []
+    first, second = (store.write(t, "a", spark.range(n)) for t, n in (("t1", 1), ("t2", 2)))
+    assert store.publish({"a": [first]}, 0) == 1
+    with pytest.raises(Conflict):
+        store.publish({"a": [second]}, 0)
+    assert store.read("a").count() == 1 and store.publish({"a": [first, second]}, 1) == 2
+    assert store.read("a").count() == 3 and store.read("a", 1).count() == 1
+    store.replace({"a": spark.range(9)})
+    assert store.vacuum(1) and store.versions() == [3] and store.read("a").count() == 9
+
+
+def test_rewrite_reads_its_own_table(spark, tmp_path):
     path = str(tmp_path / "t")
-    assert sinks.rewrite(spark.range(4), path, "x") is None
-    backup = sinks.rewrite(spark.read.parquet(path).filter("id > 1"), path, "y")
-    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(backup).count() == 4
+    assert sinks.stored(spark, path) is None and sinks.rewrite(spark.range(4), path, "x") is None
+    backup = sinks.rewrite(sinks.stored(spark, path).filter("id > 1"), path, "y")
+    assert sinks.stored(spark, path).count() == 2 and sinks.stored(spark, path, backup).count() == 4
+    with pytest.raises(Exception, match="writer died"):
+        sinks.rewrite(failing(spark), path, "z")
+    assert sinks.stored(spark, path).count() == 2
 
 
 def test_load_twice_adds_nothing(spark, tmp_path):
@@ -87,12 +140,23 @@ def test_load_twice_adds_nothing(spark, tmp_path):
     folder = str(tmp_path)
     assert ingest.load({"products": products, "batches": batches}, folder) == {"products": 2, "batches": 3}
     assert ingest.load({"products": products, "batches": batches}, folder) == {"products": 0, "batches": 0}
+    assert Snapshots(spark, folder).versions() == [1]
     more = products.unionByName(spark.createDataFrame([("p3", "C")], products.schema))
     assert ingest.load({"products": more}, folder) == {"products": 1}
-    stored = spark.read.parquet(f"{folder}/products")
+    stored = ingest.loaded(spark, folder, "products")
     assert stored.select("id").distinct().count() == 3
     ids = {r.product_key: r.id for r in stored.collect()}
-    assert {r.batch_key: r.product_key_id for r in spark.read.parquet(f"{folder}/batches").collect()} == {"b1": ids["p1"], "b2": ids["p2"], "b3": None}
+    assert {r.batch_key: r.product_key_id for r in ingest.loaded(spark, folder, "batches").collect()} == {"b1": ids["p1"], "b2": ids["p2"], "b3": None}
+    # a load that dies at its second relation adds nothing to the first
+    lost = failing(spark).select(F.col("id").cast("string").alias("batch_key"), F.lit("p1").alias("product_key"))
+    again = more.unionByName(spark.createDataFrame([("p4", "D")], products.schema))
+    with pytest.raises(Exception, match="writer died"):
+        ingest.load({"products": again, "batches": lost}, folder)
+    assert ingest.loaded(spark, folder, "products").count() == 3
+    new = spark.createDataFrame([("b4", "p4")], batches.schema)
+    assert ingest.load({"products": again, "batches": new}, folder) == {"products": 1, "batches": 1}
+    by_key = {r.product_key: r.id for r in ingest.loaded(spark, folder, "products").collect()}
+    assert ingest.loaded(spark, folder, "batches").filter("batch_key = 'b4'").first().product_key_id == by_key["p4"] and len(set(by_key.values())) == 4
 
 
 def test_dead_clients_are_dropped():
