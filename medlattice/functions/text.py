@@ -90,15 +90,23 @@ def fold_words(c: Column) -> Column:
     return words(F.translate(split, "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ", "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy"))
 
 
+def fold_ascii(t: str | None) -> str:
+    """Camel case split, compatibility decomposition, whatever isn't ASCII then left out, then ``words``, of one text."""
+    t = re.sub("(?<=[a-z])(?=[A-Z])", " ", t or "")
+    return re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii").lower()).strip()
+
+
 @partial(F.pandas_udf, returnType=T.StringType())
 def ascii_words(texts: pd.Series) -> pd.Series:
-    """Camel case split, compatibility decomposition, whatever isn't ASCII then left out, then ``words``."""
+    """``fold_ascii`` of a column."""
+    return texts.map(fold_ascii, na_action=None)
 
-    def one(t: str | None) -> str:
-        t = re.sub("(?<=[a-z])(?=[A-Z])", " ", t or "")
-        return re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii").lower()).strip()
 
-    return texts.map(one, na_action=None)
+def folded_words(c: Column) -> Column:
+    """``fold_ascii``; only texts with other than ASCII characters leave the JVM."""
+    odd = blank(c).rlike(r"[^\x00-\x7F]")
+    plain = words(F.regexp_replace(blank(c), "(?<=[a-z])(?=[A-Z])", " "))
+    return F.when(odd, ascii_words(F.when(odd, c))).otherwise(plain)
 
 
 def content_tokens(c: Column) -> Column:

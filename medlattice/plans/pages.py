@@ -39,10 +39,26 @@ def continued(d: Domain) -> DataFrame:
     return layout.continued_tables(t, "doc").select("doc", "page", "continues")
 
 
+#: Archetypes of the shape that alert tables have, and headers that fill them whole, in part, twice, with OCR faults, and not at all.
+ARCHETYPES = [
+    layout.Archetype("failed samples", (("s no", "sr no"), ("name of drug", "product name"), ("batch no", "batch number"), ("reason for failure", "reasons for failure")), (("manufactured by", "manufacturer"), ("date of expiry", "expiry date"))),
+    layout.Archetype("state alert", (("s no", "sr no"), ("product name", "drug name"), ("batch no", "batch number"), ("nsq result",)), (("manufactured by", "manufacturer"),)),
+    layout.Archetype("recall", (("product name", "name of drug"), ("lot no", "batch no"), ("recall date",))),
+    layout.Archetype("contacts", (("ministry or state",), ("contact directory", "laboratory name"))),
+]
+_HEADERS = (
+    ("S. No.", "Name of drug", "Batch No", "Reason for failure", "Manufactured by"), ("Sr No", "Product Name", "Batch number", "NSQ Result", None), ("s no", "product name", "batch no"), ("Name of drug", "Lot No.", "Recall date"),
+    ("S No", "Name of drvg", "Batch No.", "Reasons for fai1ure", "Expiry date"), ("Product name", "Product name", "Batch no", "NSQ result"), ("Ministry or State", "Contact directory"), ("batch no",), ("क्रम", "दवा", "batch no", "product name"), (),
+)
+
+
 @query("J18_header_archetypes")
 def archetypes(d: Domain) -> DataFrame:
-    h = d.table("part").select(F.col("p_partkey").alias("table_id"), F.split("p_name", " ").alias("cells"))
-    return layout.header_archetypes(h, {"rings": [["ring"], ["small", "large"]], "bolts": [["bolt"], ["cold", "hot"]]})
+    """A table a part; its cells come from the headers above, the last one is the part's own name."""
+    k = (F.col("p_partkey") % len(_HEADERS) + 1).cast("int")
+    cells = F.concat(F.element_at(F.array(*[F.array(*[F.lit(c) for c in h]).cast("array<string>") for h in _HEADERS]), k), F.array("p_name"))
+    h = d.table("part").select(F.col("p_partkey").alias("table_id"), F.when(F.col("p_size") % 5 == 0, F.reverse(cells)).otherwise(cells).alias("cells"))
+    return layout.header_archetypes(h, ARCHETYPES)
 
 
 @query("S18_selected_pages", "SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([0, 1, n - 1], lambda i: i >= 0 AND i < n))), ',') AS pages FROM (SELECT o_orderkey, (o_orderkey % 5)::INT AS n FROM orders)")
@@ -56,32 +72,70 @@ def aligned(d: Domain) -> DataFrame:
     return layout.aligned_columns(boxes(d), ["doc", "page"])
 
 
+def lines(d: Domain) -> DataFrame:
+    """Every line of every document as a line of a page of 60, larger, indented or in the middle now and then."""
+    each = d.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    place = F.col("n") % 60
+    x0 = F.when(F.col("n") % 11 == 0, 60.0).otherwise(50.0) + F.when(F.col("n") % 13 == 0, 150.0).otherwise(0.0)
+    y0 = 20.0 + place * 13.0 + F.when(place % 9 == 0, 9.0).otherwise(0.0)
+    x1 = F.least(x0 + F.length("text") * 5.0, F.lit(560.0))
+    size = F.when(F.col("n") % 17 == 0, 14.0).when(F.col("n") % 19 == 0, 0.0).otherwise(10.0)
+    return each.select("doc_id", (F.col("n") / 60).cast("int").alias("page"), "n", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 11.0).alias("y1"), size.alias("size"), "text")
+
+
+_L = """l AS (SELECT doc_id, n, text, n % 60 AS place FROM (SELECT doc_id, unnest(range(0, len(x)))::INT AS n, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+ b AS (SELECT *, (n // 60)::INT AS page, CASE WHEN n % 11 = 0 THEN 60.0 ELSE 50.0 END + CASE WHEN n % 13 = 0 THEN 150.0 ELSE 0.0 END AS x0, 20.0 + place * 13.0 + CASE WHEN place % 9 = 0 THEN 9.0 ELSE 0.0 END AS y0, CASE WHEN n % 17 = 0 THEN 14.0 WHEN n % 19 = 0 THEN 0.0 ELSE 10.0 END AS size,
+ trim(regexp_replace(regexp_replace(text, '([\\p{L}\\p{N}_]+)-\\n([\\p{L}\\p{N}_]+)', '\\1\\2', 'g'), '[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g')) AS t FROM l),
+ c AS (SELECT *, least(x0 + length(text) * 5.0, 560.0) AS x1, y0 + 11.0 AS y1 FROM b),
+ m AS (SELECT doc_id, coalesce(median(CASE WHEN size > 0 THEN size END), 10.0) AS m FROM c WHERE t <> '' GROUP BY doc_id), p AS (SELECT doc_id, page, max(y1) AS deep, max(x1) AS wide FROM c WHERE t <> '' GROUP BY doc_id, page)"""
+
+
+@query("R14_line_labels", f"""WITH {_L} SELECT doc_id, n, CASE WHEN y0 < 0.08 * deep THEN 'HEADER' WHEN y1 > 0.92 * deep THEN 'FOOTER' WHEN size > 1.2 * m OR abs((x0 + x1) / 2 - wide / 2) < 0.15 * wide AND length(t) < 60 AND NOT ends_with(t, '.') THEN 'TITLE' ELSE 'PARAGRAPH' END AS label
+ FROM c JOIN m USING (doc_id) JOIN p USING (doc_id, page) WHERE t <> ''""")
+def labels(d: Domain) -> DataFrame:
+    return layout.line_labels(layout.lines_of_text(lines(d)), "doc_id").select("doc_id", "n", "label")
+
+
 @query("W11_paragraphs")
 def paragraphs(d: Domain) -> DataFrame:
-    lines = d.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    y = F.col("n") * 12.0 + F.when(F.col("n") % 7 == 0, 40.0).otherwise(0.0)
-    return layout.paragraphs(lines.select("doc_id", F.lit(1).alias("page"), "n", F.lit(10.0).alias("x0"), y.alias("y0"), (y + 10).alias("y1"), "text"), "doc_id")
+    return layout.paragraphs(layout.line_labels(layout.lines_of_text(lines(d)), "doc_id"), "doc_id")
+
+
+def blocks(d: Domain) -> DataFrame:
+    """Order lines as recognized blocks: a page a supplier and month; rows lean, overlap and share centres."""
+    li = d.table("lineitem")
+    k, day = F.col("l_orderkey"), F.col("l_shipdate")
+    y0 = (F.col("l_partkey") * 7 % 160) * 2.5 + F.col("l_linenumber")
+    words = F.element_at(F.array(*[F.lit(x) for x in ("BATCH NO", "Remarks:", "Page 3 of 9", "tablets of", "not of standard quality", "Printed by the Manager, Press", "assay", "")]), (k % 8 + 1).cast("int"))
+    return li.select(
+        F.col("l_suppkey").alias("doc"), (F.year(day) * 100 + F.month(day)).alias("page"), (k * 10 + F.col("l_linenumber")).alias("id"), (k % 23 * 20).cast("double").alias("x0"), y0.cast("double").alias("y0"), (k % 23 * 20 + 15).cast("double").alias("x1"),
+        (y0 + 6 + F.col("l_quantity") % 12).cast("double").alias("y1"), words.alias("text"), (F.col("l_discount") * 10).cast("double").alias("confidence"),
+    )
 
 
 @query("W12_visual_rows")
 def visual_rows(d: Domain) -> DataFrame:
-    return layout.ocr_rows(boxes(d), "doc")
+    return layout.ocr_rows(blocks(d), "doc")
+
+
+@query("W12_photographed_rows")
+def photographed_rows(d: Domain) -> DataFrame:
+    return layout.reading_rows(blocks(d), "doc")
 
 
 @query("W13_block_paragraphs")
 def block_paragraphs(d: Domain) -> DataFrame:
-    return layout.ocr_paragraphs(boxes(d), "doc")
+    """Blocks of odd rows whose text speaks of batches have gone into tables."""
+    b = blocks(d)
+    return layout.ocr_paragraphs(b, "doc", b.filter("text = 'BATCH NO' and id % 2 = 1").select("doc", "page", "id"))
 
 
 @query("W14_markdown_chunks")
 def chunks(d: Domain) -> DataFrame:
-    return layout.chunk_markdown(d.table("documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")), "doc_id")
-
-
-@query("R14_line_labels", f"WITH b AS ({_B}), m AS (SELECT doc, median(x1) AS m FROM b GROUP BY doc), p AS (SELECT doc, page, max(y1) AS deep FROM b GROUP BY ALL) SELECT b.doc, b.page, x0, y0, x1, y1, CASE WHEN y1 <= 0.06 * deep THEN 'HEADER' WHEN y0 >= 0.94 * deep THEN 'FOOTER' WHEN x1 >= 1.2 * m THEN 'TITLE' ELSE 'PARAGRAPH' END AS label FROM b JOIN m ON b.doc = m.doc JOIN p ON b.doc = p.doc AND b.page = p.page")
-def labels(d: Domain) -> DataFrame:
-    b = boxes(d).drop("text").distinct().withColumn("size", F.col("x1")).withColumn("text", F.lit("x"))
-    return layout.line_labels(b, "doc").select("doc", "page", "x0", "y0", "x1", "y1", "label")
+    """Whole texts; every fifth line is a heading of one of four levels, and a block may go on over a line."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), (i / 5 % 4 + 1).cast("int")), F.lit(" "), x, F.lit(" ##"))).otherwise(x))
+    marked = F.array_join(F.transform(line, lambda x, i: F.concat(x, F.when(i % 7 == 3, "\n").otherwise("\n \n"))), "")
+    return layout.chunk_markdown(d.table("documents").select("doc_id", marked.alias("text")), "doc_id")
 
 
 @query("X01_parsed_messages", "SELECT event_id::VARCHAR AS event_id, 'ecs.task_state_change' AS event_type, 'run-' || user_id AS run_id, event_type AS status FROM events")
