@@ -2,14 +2,17 @@
 
 A payload is stored as a greyscale PNG of 64 samples a row, a member of a tar
 shard whose name is the payload's SHA-256. Rows of a table carry no media but
-(digest, shard, offset, length). Equal payloads are stored once: each task drops
-the repeats it meets, so a text that a third of all rows hold reaches the
-shuffle once a task, and the task that writes a shard keeps the first of each
-digest. Shards are dealt by digest and sized by the bytes of the table.
+(digest, shard, offset, length). Equal payloads are stored once. Hashes of all
+payloads are counted first. A payload whose hash occurs once is encoded and
+written by the task that reads it, so media aren't shuffled. Payloads of other
+hashes are dealt by digest, each task having dropped the repeats it meets, so a
+text that a third of all rows hold reaches the shuffle once a task; the task
+that writes their shard keeps the first of each digest. Should the hashes that
+occur again be more than SEND_HASHES, all payloads go that way.
 
 ``metadata`` reads only the first HEADER bytes of a member and fills columns
-from them. ``features`` reads whole members, checks and decodes them. Both take
-one sweep over a shard in the order of offsets.
+from them. ``features`` reads whole members, checks and decodes them. ``sweep``
+does any of that in one pass over a shard, in the order of offsets.
 
 A task writes a shard under a name of its own attempt, and the manifest, written
 as a table after it, names the attempts that succeeded. So a lost executor or a
@@ -33,6 +36,7 @@ import tarfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ UNIT, TAIL = 64, 64
 SHARD_BYTES, HEADER, BATCH_BYTES = 64 << 20, 33, 8 << 20
 #: Digests a task remembers in order to drop repeats; what it forgets, the shard's task drops.
 REMEMBERED = 1_000_000
+#: Hashes of payloads that occur again, eight bytes each, that are sent to all tasks.
+SEND_HASHES = 1_000_000
 
 #: Fixed values of the PNG format: signature, and (bit depth, colour type, compression, filter, interlace) of 8-bit greyscale.
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -159,13 +165,17 @@ _MANIFEST = "digest binary, shard string, offset long, length long"
 _MANIFEST_KINDS = {"digest": pa.binary(), "shard": pa.string(), "offset": pa.int64(), "length": pa.int64()}
 
 
-def _writer(folder: str) -> Callable:
-    """Writes the members of a task, sorted by digest, as one shard, and returns their places."""
+def _writer(folder: str, shard_bytes: int) -> Callable:
+    """Writes a task's members (digest, media) into shards of about shard_bytes, and returns their places; a repeated neighbour is left out."""
 
     def run(batches):
         fs, at = pa.fs.FileSystem.from_uri(folder)
-        name = f"shard-{uuid.uuid4().hex}.tar"  # of this attempt alone
-        tar, out, last, places = None, None, None, []
+        name, tar, out, last, places = None, None, None, None, []
+
+        def close():
+            tar.close()
+            out.close()
+
         try:
             for batch in batches:
                 digests, media = batch.column(0), batch.column(1)
@@ -176,6 +186,7 @@ def _writer(folder: str) -> Callable:
                     last, body = digest, media[i].as_py()
                     if tar is None:
                         fs.create_dir(at, recursive=True)
+                        name = f"shard-{uuid.uuid4().hex}.tar"  # of this attempt alone
                         out = fs.open_output_stream(f"{at}/{name}")
                         tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.USTAR_FORMAT)
                     member = tarfile.TarInfo(f"{digest.hex()}.png")
@@ -183,29 +194,57 @@ def _writer(folder: str) -> Callable:
                     tar.addfile(member, io.BytesIO(body))
                     padded = -(-len(body) // tarfile.BLOCKSIZE) * tarfile.BLOCKSIZE
                     places.append((digest, name, tar.offset - padded, len(body)))
+                    if tar.offset >= shard_bytes:
+                        close()
+                        tar = None
+                        yield _batch(places, _MANIFEST_KINDS)  # only now is the shard whole
+                        places = []
         finally:
             if tar is not None:
-                tar.close()
-                out.close()
-        if places:  # only now is the shard whole
+                close()
+        if places:
             yield _batch(places, _MANIFEST_KINDS)
 
     return run
 
 
-def pack(payloads: DataFrame, staged: Staged, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
+def pack(payloads: DataFrame, staged: Staged, shard_bytes: int = SHARD_BYTES, send_hashes: int = SEND_HASHES) -> tuple[DataFrame, str]:
     """The manifest (digest, shard, offset, length) of payloads(payload binary), and the folder of its shards."""
-    total = payloads.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
     folder = f"{staged.base}/shards"
     folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
-    members = payloads.select("payload").mapInArrow(_encoded, "digest binary, media binary")
-    dealt = members.repartition(shards, "digest").sortWithinPartitions("digest")
-    return staged.write(dealt.mapInArrow(_writer(folder), _MANIFEST)), folder
+    write = _writer(folder, shard_bytes)
+    hashed = payloads.select("payload", F.xxhash64("payload").alias("h"))
+    again = staged.write(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("payload")).alias("size")).filter("n > 1"))
+    found = again.agg(F.count(F.lit(1)), F.sum("size")).first()
+    if found[0] <= send_hashes:
+        flagged = F.broadcast(again.select("h"))
+        alone, common = hashed.join(flagged, "h", "left_anti"), hashed.join(flagged, "h", "left_semi")
+        total = found[1] or 0
+    else:
+        alone, common = None, hashed
+        total = payloads.agg(F.sum(F.octet_length("payload"))).first()[0]
+    encoded = common.select("payload").mapInArrow(_encoded, "digest binary, media binary")
+    shards = max(1, -(-total // shard_bytes))
+    dealt = encoded.repartition(shards, "digest").sortWithinPartitions("digest")
+    manifest = dealt.mapInArrow(write, _MANIFEST)
+    if alone is not None:
+        direct = alone.select("payload").mapInArrow(lambda batches: write(_encoded(batches)), _MANIFEST)
+        manifest = manifest.unionByName(direct)
+    return staged.write(manifest), folder
+
+
+class Read(NamedTuple):
+    """How many of a member's n bytes are read (``length(n)``), what is made of them, and the DDL of that."""
+
+    length: Callable[[int], int]
+    made: Callable[[bytes], tuple]
+    fields: str
 
 
-def _ranges(manifest: DataFrame, folder: str, length: Callable[[int], int], made: Callable[[bytes], tuple], kinds: dict[str, pa.DataType], fields: str) -> DataFrame:
-    """(digest, fields) of each member from ``made(bytes)``, reading ``length(length)`` bytes of it; shards are swept in order."""
+def sweep(manifest: DataFrame, folder: str, *reads: Read) -> DataFrame:
+    """manifest with the fields of all reads of each member; a shard is opened once and read in the order of its offsets."""
+    ddl = ", ".join(r.fields for r in reads)
+    kinds = dict(_MANIFEST_KINDS) | {f.split()[0]: {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[f.split()[1]] for f in ddl.split(", ")}
 
     def run(batches):
         fs, at = pa.fs.FileSystem.from_uri(folder)
@@ -218,51 +257,52 @@ def _ranges(manifest: DataFrame, folder: str, length: Callable[[int], int], made
                         if file is not None:
                             file.close()
                         name, file = shard, fs.open_input_file(f"{at}/{shard}")
-                    rows.append((digest, *made(file.read_at(length(size), offset))))
-                yield _batch(rows, {"digest": pa.binary()} | kinds)
+                    row = [digest, shard, offset, size]
+                    for r in reads:
+                        row += r.made(file.read_at(r.length(size), offset))
+                    rows.append(row)
+                yield _batch(rows, kinds)
         finally:
             if file is not None:
                 file.close()
 
     places = manifest.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
-    return places.mapInArrow(run, f"digest binary, {fields}")
-
-
-def metadata(manifest: DataFrame, folder: str) -> DataFrame:
-    """(digest, width, height, bit_depth) of each member, from its header alone."""
-    kinds = {"width": pa.int64(), "height": pa.int64(), "bit_depth": pa.int32()}
-    return _ranges(manifest, folder, lambda n: min(n, HEADER), header, kinds, "width long, height long, bit_depth int")
+    return places.mapInArrow(run, f"{_MANIFEST}, {ddl}")
 
 
 def _read(media: bytes) -> tuple:
     data = decode(media)
-    return len(data), hashlib.sha256(data).hexdigest(), binascii.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)
+    return hashlib.sha256(data).digest(), binascii.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).digest(), feature(data)
 
 
-_READ = "read_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+HEAD = Read(lambda n: min(n, HEADER), header, "width long, height long, bit_depth int")
+WHOLE = Read(lambda n: n, _read, "payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
+
+
+def metadata(manifest: DataFrame, folder: str) -> DataFrame:
+    """manifest with width, height and bit_depth of each member, from its header alone."""
+    return sweep(manifest, folder, HEAD)
 
 
 def features(manifest: DataFrame, folder: str) -> DataFrame:
-    """(digest, read_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each member, from all its bytes."""
-    names = [f.split()[0] for f in _READ.split(", ")]
-    kinds = {n: pa.string() if f.endswith("string") else pa.int64() for n, f in zip(names, _READ.split(", "), strict=True)}
-    return _ranges(manifest, folder, lambda n: n, _read, kinds, _READ)
+    """manifest with payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of each member, from all its bytes."""
+    return sweep(manifest, folder, WHOLE)
 
 
 def columns(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs without the text, but with its media's address and what headers and stored bytes say of it."""
     bound_batches(docs.sparkSession)
     staged = Staged(docs.sparkSession, "media_columns")
-    made = ["n_bytes", "payload_bytes", "digest", "shard", "offset", "length", "width", "height", "bit_depth", *[f.split()[0] for f in _READ.split(", ")]]
     manifest, folder = pack(docs.select(payload(text).alias("payload")), staged, shard_bytes)
-    known = manifest.join(metadata(manifest, folder), "digest").join(features(manifest, folder), "digest")
+    known = staged.write(sweep(manifest, folder, HEAD, WHOLE))
+    made = ["n_bytes", "payload_bytes", *known.columns]
     kept = [c for c in docs.columns if c != text and c.lower() not in made]
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], size.alias("n_bytes"), F.unhex(F.sha2(payload(text), 256)).alias("digest"))
     # one row a digest on the other side: a digest of many rows is a skewed join, which Spark splits
-    out = rows.join(staged.write(known), "digest")
-    own = [m for m in made if m not in ("payload_bytes", "digest")]
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *own, (F.col("width") * F.col("height")).alias("payload_bytes"), F.hex("digest").alias("digest"))
+    out = rows.join(known, "digest")
+    shown = [F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in known.dtypes]
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "n_bytes", (F.col("width") * F.col("height")).alias("payload_bytes"), *shown)
 
 
 def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
