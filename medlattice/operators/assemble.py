@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,28 +92,60 @@ def alert_rows(records: DataFrame, key: list[str]) -> DataFrame:
     return named.groupBy(*key).agg(*[pick(c) for c in ALERT_COLUMNS])
 
 
-def in_sequence(lines: DataFrame, doc: str, order: str, schema: str) -> DataFrame:
-    """(doc, number, text): numbered entries, accepted only if each follows the one before.
+#: What a document of drug safety alerts speaks of, and where its table begins and ends.
+SUSPECTS, REACTIONS = "suspected drug", "adverse drug"
+ENDINGS = ("healthcare professional", "disclaimer")
+SAFETY_SECTION = r"(?is)(?:S\.?\s*No\.?\s+)?Suspected\s+Drugs.*?Adverse\s+Drug\s+Reactions\s*(.*?)(?=Healthcare\s+Professionals|$(?![\s\S]))"
+SAFETY_ENTRY = r"(?ms)^\s*(\d+)\s+(.+?)(?=^\s*\d+\s+|\z)"
+INDICATION = r"(?i)\b(?:chemotherapy|in\s+combination\s+with|for\s+the\s+treatment\s+of|treatment\s+of|used\s+for|indicated\s+for)\b"
+ISSUED, FILED = r"(?i)\bDated\s*:?\s*([^\n\r]+)", r"(?i)\bFile\s*No\.?\s*:?\s*(.*?)(?=\s+\bDated\b|[\n\r]|$)"
 
-    A line ``n ...`` starts an entry if n is one more than the last accepted
-    number; other lines continue the entry. A line may hold line breaks. State depends on what was accepted,
-    so a document is read in order by one task.
+
+def safety_alerts(documents: DataFrame, rows: DataFrame, doc: str, order: list[str]) -> DataFrame:
+    """(doc, position, number, suspected_drug, indications, reaction, issue_date, file_number, origin) of drug safety alerts.
+
+    documents(doc, text) count if text or cells speak of such alerts. In
+    rows(doc, order..., cells) a row of column names opens the table and a row
+    of a closing section shuts it; a row that begins with a number is a record,
+    the others go on with the last one, cell by cell. A document whose tables
+    give no record is read from its text: numbered entries between the column
+    names and the closing section, split where an indication and then a
+    sentence begin; entries without an indication go.
     """
-    import re
-
-    def read(frame: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], 0
-        frame = frame.sort_values(order)
-        for key, text in zip(frame[doc], frame["text"], strict=True):
-            m = re.match(r"^\s*(\d+)[.)]?\s+(.*)$", text or "", re.DOTALL)
-            if m and int(m[1]) == last + 1:
-                last += 1
-                out.append([key, last, m[2].strip()])
-            elif out:
-                out[-1][2] = f"{out[-1][2]} {(text or '').strip()}".strip()
-        return pd.DataFrame(out, columns=[doc, "number", "text"])
-
-    return lines.groupBy(doc).applyInPandas(read, schema)
+    clean = rows.withColumn("cells", F.transform("cells", clean_cell)).withColumn("_line", F.lower(F.array_join("cells", " ")))
+    spoken = clean.groupBy(doc).agg(F.concat_ws(" ", F.collect_list("_line")).alias("_cells"))  # a document's own rows
+    known = documents.select(doc, blank(F.col("text")).alias("text")).join(spoken, doc, "left")
+    content = F.concat_ws(" ", F.lower("text"), F.coalesce("_cells", F.lit("")))
+    says = lambda t: F.contains(content, F.lit(t))
+    known = known.filter(says("pvpi") | says("drug safety alerts") | (says("suspected drugs") & says("adverse drug reactions"))).select(doc, "text")
+    marks = known.select(
+        doc, "text", clean_cell(F.regexp_extract("text", ISSUED, 1)).alias("issue_date"), clean_cell(F.regexp_extract("text", FILED, 1)).alias("file_number")
+    )
+
+    opens = F.contains("_line", F.lit(SUSPECTS)) & F.contains("_line", F.lit(REACTIONS))
+    closes = F.startswith("_line", F.lit(ENDINGS[0])) | F.startswith("_line", F.lit(ENDINGS[1]))
+    inside = gated(clean.join(known.select(doc), doc, "left_semi"), doc, order, opens, closes)
+    w = Window.partitionBy(doc).orderBy(*order)
+    first = F.coalesce(F.get("cells", 0), F.lit(""))
+    inside = inside.withColumn("_record", F.sum(first.rlike(r"^\d+\.?$").cast("int")).over(w)).withColumn("_ord", F.row_number().over(w)).filter("_record > 0")
+    joined = lambda i: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(F.get("cells", i), F.lit("")) != "", F.struct("_ord", F.get("cells", i).alias("c"))))), lambda x: x["c"]), " ")
+    number = F.regexp_replace(F.min_by(F.get("cells", 0), "_ord"), r"\.+$", "")
+    from_rows = inside.groupBy(doc, "_record").agg(number.alias("number"), joined(1).alias("suspected_drug"), joined(2).alias("indications"), joined(3).alias("reaction"))
+    from_rows = from_rows.select(doc, (F.col("_record") - 1).cast("int").alias("position"), "number", "suspected_drug", "indications", "reaction", F.lit("table").alias("origin"))
+
+    section = F.regexp_extract("text", SAFETY_SECTION, 1)
+    entries = F.regexp_extract_all(section, F.lit(SAFETY_ENTRY), F.lit(0))
+    left = known.join(from_rows.select(doc).distinct(), doc, "left_anti").select(doc, F.posexplode(entries).alias("_at", "_entry"))
+    body = clean_cell(F.regexp_replace("_entry", r"(?s)^\s*\d+\s+", ""))
+    left = left.select(doc, "_at", F.regexp_extract("_entry", r"^\s*(\d+)", 1).alias("number"), body.alias("_body")).filter(F.col("_body").rlike(INDICATION))
+    head = F.element_at(F.split("_body", INDICATION, 2), 1)
+    parts = F.split(F.substr("_body", F.length(head) + 1), r"(?<=[.!?])\s+(?=[A-Z])", 2)
+    from_text = left.select(
+        doc, (F.row_number().over(Window.partitionBy(doc).orderBy("_at")) - 1).alias("position"), "number", F.regexp_replace(head, r"^[ .:\-]+|[ .:\-]+$", "").alias("suspected_drug"), F.trim(F.get(parts, 0)).alias("indications"),
+        F.trim(F.coalesce(F.get(parts, 1), F.lit(""))).alias("reaction"), F.lit("text").alias("origin"),
+    )
+    found = from_rows.unionByName(from_text).join(marks.drop("text"), doc)
+    return found.select(doc, "position", F.col("number").try_cast("long").alias("number"), "suspected_drug", "indications", "reaction", "issue_date", "file_number", "origin")
 
 
 def sections(lines: DataFrame, doc: str, order: list[str], pattern: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codes, dates, nested, text
-from ..operators import assemble, classify, reports, resolve
+from ..operators import assemble, classify, listings, reports, resolve
 from ..sources import html
 from ..sources.driver import Domain
 from .registry import query
@@ -347,10 +347,47 @@ def gated(d: Domain) -> DataFrame:
     return assemble.gated(d.table("conversations"), "conv_id", ["turn"], F.col("role") == "user", F.col("role") == "system").select("conv_id", "turn")
 
 
+def numbered_lines(d: Domain, *ends: str) -> DataFrame:
+    """Every turn as lines of a list: most begin with a number one up, some skip, repeat or have none; ``ends`` go on in turn."""
+    t = F.col("turn")
+    number = F.when(t % 5 == 3, "").when(t % 7 == 6, F.concat((t + 40).cast("string"), F.lit(". "))).otherwise(F.concat((t - F.floor(t / 5) + 4).cast("string"), F.lit(". ")))
+    more = F.element_at(F.array(*[F.lit(e) for e in ends]), (t % len(ends) + 1).cast("int"))
+    return d.table("conversations").select("conv_id", "turn", F.concat(number, "text", more).alias("text"))
+
+
+@query("W08_pvpi_alerts")
+def pvpi_alerts(d: Domain) -> DataFrame:
+    """Conversations as alerts: a third as tables of their turns, a third as plain text, a third as both."""
+    t, kind = d.table("conversations"), F.col("conv_id") % 3
+    head = F.array(F.lit("S No"), F.lit("Suspected Drugs"), F.lit("Indication(s)"), F.lit("Adverse Drug Reactions"))
+    words = F.split("text", " ")
+    cell = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    record = F.when(F.col("turn") % 3 == 2, F.array(F.lit(""), cell(0), F.lit(""), F.col("text"))).otherwise(F.array(F.concat((F.col("turn") + 1).cast("string"), F.lit(".")), cell(0), cell(1), F.col("text")))
+    shut = F.array(F.lit("Healthcare professionals are advised"))
+    rows = t.filter(kind != 1).select("conv_id", "turn", F.explode(F.when(F.col("turn") == 0, F.array(F.array(F.lit("9"), F.lit("too early")), head, record)).when(F.col("turn") % 6 == 5, F.array(shut, record, head)).otherwise(F.array(record))).alias("cells"))
+    rows = rows.withColumn("nth", F.when(F.array_contains("cells", "too early"), 0).when(F.size("cells") == 1, 0).when(F.get("cells", 0) == "S No", F.when(F.col("turn") == 0, 1).otherwise(2)).otherwise(F.when(F.col("turn") == 0, 2).otherwise(1)))
+    entry = F.concat((F.col("turn") + 1).cast("string"), F.lit(" "), cell(0), F.when(F.col("turn") % 4 == 3, " ").otherwise(" used for pain. "), F.regexp_replace("text", "(?m)^\\s*\\d+", ""))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda x: x["e"]), "\n")
+    texts = t.groupBy("conv_id").agg(F.concat(F.lit("PvPI File No. 7/2 Dated: 3 May\nS. No Suspected Drugs Indication Adverse Drug Reactions\n"), body, F.lit("\nHealthcare Professionals, report.")).alias("text"))
+    return assemble.safety_alerts(texts, rows, "conv_id", ["turn", "nth"])
+
+
 @query("W09_sequence_records")
 def sequence(d: Domain) -> DataFrame:
-    lines = d.table("conversations").select("conv_id", "turn", F.concat((F.col("turn") % 4).cast("string"), F.lit(". "), F.col("text")).alias("text"))
-    return assemble.in_sequence(lines, "conv_id", "turn", "conv_id long, number long, text string")
+    """Bans: what holds a digit or speaks of a notification is the notification, what comes before is the name."""
+    return listings.listed(numbered_lines(d, "\n=====\nSr. No.", "\nGSR 578 Dated3 . 05 . 20 04", "\n\n  and others"), "conv_id", "turn", "bans")
+
+
+@query("W09_approval_records")
+def approvals(d: Domain) -> DataFrame:
+    return listings.listed(numbered_lines(d, "\nfor treatment of pain\n12.05.2020.", "\n7/8/99\nlater on", "\nName Of Drug\nand more"), "conv_id", "turn", "approvals")
+
+
+@query("W09_notice_records")
+def notices(d: Domain) -> DataFrame:
+    number = F.concat((F.col("turn") % 4).cast("string"), F.lit(".\n"))
+    more = F.when(F.col("turn") % 3 == 0, "\nX Pharma 2 Letters\nnot read").when(F.col("turn") % 3 == 1, "\nNAME OF COMPANY\n1letter").otherwise("")
+    return listings.listed(d.table("conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 2 == 0, number).otherwise(""), "text", more).alias("text")), "conv_id", "turn", "notices")
 
 
 @query("W10_context", "SELECT conv_id, turn, coalesce(substr(lag(text) OVER w, 1, 500), '') AS before, coalesce(substr(lead(text) OVER w, 1, 500), '') AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

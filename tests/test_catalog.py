@@ -113,10 +113,11 @@ def test_case_folds_are_all_that_give_ascii():
 
 
 def test_sequence_records_keep_whole_turns(spark, tmp_path):
-    turns = [" ".join(f"t{t}w{i}" for i in range(40)) + "\nlast line" for t in range(6)]
+    turns = [" ".join(f"t{chr(97 + t)}w" + "x" * (i % 7) for i in range(40)) + "\nlast line" for t in range(3)]
     spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    out = sorted((r.number, r.text) for r in catalog.QUERIES["W09_sequence_records"](spark, str(tmp_path)).collect())
-    assert out == [(1, turns[1]), (2, turns[2]), (3, f"{turns[3]} 0. {turns[4]} 1. {turns[5]}")]
+    out = sorted((r.number, r.name, r.detail) for r in catalog.QUERIES["W09_sequence_records"](spark, str(tmp_path)).collect())
+    joined = [t.replace("\n", " ") for t in turns]
+    assert out == [(4, joined[0], ""), (5, joined[1], "GSR 578 Dated 3 . 05 . 20 04"), (6, f"{joined[2]} and others", "")]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test data")

@@ -164,12 +164,6 @@ def test_records_from_rows(spark):
     assert out[1, 1] == ("Para cetamol", "seen") and out[2, 1] == ("Other", None) and (0, 1) not in out
 
 
-def test_sequence(spark):
-    lines = spark.createDataFrame([(1, 1, "1. one"), (1, 2, "more"), (1, 3, "7. not next"), (1, 4, "2. two")], "doc long, n long, text string")
-    out = assemble.in_sequence(lines, "doc", "n", "doc long, number long, text string").orderBy("number").collect()
-    assert [(r.number, r.text) for r in out] == [(1, "one more 7. not next"), (2, "two")]
-
-
 def test_keyword_score_caps_counts(spark):
     s = spark.range(1).select(classify.keyword_score(F.lit("NSQ nsq nsq nsq nsq nsq nsq")).alias("s")).first().s
     assert s.score == pytest.approx(25 / 40)
