@@ -8,10 +8,12 @@ words is one window and is looked up by the hash of all its words.
 
 Items of up to SEND_BLOCKS blocks of ``BLOCK_MB`` of text are sent with the tasks, a
 pass within the same stage for each. A larger benchmark stays on the executors:
-fingerprints of both sides are joined and the pairs that share one verified.
+documents emit the windows around fingerprints that a filter lets pass, and
+windows of both sides are joined; work grows with the places that are found.
 
 Defined results: null or empty texts and items have no words, so no window and
-no hit. Items with equal texts all count. Repeated rows are judged alike.
+no hit. Items with equal texts all count; a null item id is an item of its own,
+which lists name as null. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Staged, annotate, narrow, table
-from .words import ALNUM, Block, blocks, gram_hashes, sliding_min
+from .words import ALNUM, Block, blocks, gram_hashes, mix, sliding_min
 
 SPAN, GRAM, BLOCK_MB, SEND_BLOCKS = 10, 5, 32, 2
 
@@ -42,7 +44,7 @@ def _kept(grams: np.ndarray, width: int) -> np.ndarray:
 class ItemIndex:
     """Words and kept hashes of a block of items."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], span: int = SPAN, gram: int = GRAM):
+    def __init__(self, ids: list[str | None], texts: list[str | None], span: int = SPAN, gram: int = GRAM):
         data = [(t or "").encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         block = Block(np.frombuffer(b"".join(data), np.uint8), offsets, ALNUM, True)
@@ -129,7 +131,7 @@ RESULT = "n_words bigint, hit_spans array<struct<a:bigint,b:bigint>>, hit_items
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _pass(docs: DataFrame, ids: list[str], texts: list[str], text: str, before: bool) -> DataFrame:
+def _pass(docs: DataFrame, ids: list[str | None], texts: list[str], text: str, before: bool) -> DataFrame:
     """docs with the hits of a block of items, added to those of earlier blocks."""
     token = uuid.uuid4().hex  # workers outlive a pass, and other items may have the same ids
 
@@ -148,11 +150,11 @@ def _pass(docs: DataFrame, ids: list[str], texts: list[str], text: str, before:
             for i in range(hi - lo):
                 own = order[cut[i] : cut[i + 1]]
                 s = [{"a": x - int(block.first[i]), "b": y - int(block.first[i])} for x, y in sorted(set(zip(a[own].tolist(), b[own].tolist(), strict=True)))] if len(own) else []
-                t = sorted({index.ids[k] for k in item[own]}) if len(own) else []
+                t = {index.ids[k] for k in item[own]}
                 if before:
-                    s, t = old[0][lo + i] + s, sorted({*old[1][lo + i], *t})
+                    s, t = old[0][lo + i] + s, t.union(old[1][lo + i])
                 spans.append(s)
-                items.append(t)
+                items.append(sorted(t, key=lambda x: (x is not None, x or "")))
             n_words.append(np.diff(block.first).astype(np.int64))
         return {"n_words": pa.array(np.concatenate([np.zeros(0, np.int64), *n_words])), "hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(items, pa.list_(pa.string()))}
 
@@ -162,88 +164,143 @@ def _pass(docs: DataFrame, ids: list[str], texts: list[str], text: str, before:
 _pass.cache = {}
 
 
-def _prints(rows: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(key, print): the kept hashes of each text; a text of fewer than ``span`` words gives the hash of all its words."""
+#: Bits of the filter of item fingerprints that tasks get of a large benchmark, whatever its size (8 MB).
+FILTER_BITS = 26
+#: Texts with hits, and their spans, that are sent to all tasks; more are met by a shuffle join.
+SEND_TEXTS, SEND_SPANS = 200_000, 2_000_000
+_SECOND = np.uint64(0xA0761D6478BD642F)
+_WINDOW = "n int, wa long, wb long"
+_DIGEST = lambda c: F.sha2(F.to_json(c), 256)
+
+
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Words' hashes for the other half of a window's 128 bits."""
+    return mix(hashes ^ _SECOND)
+
+
+def _item_windows(batches, span: int = SPAN):
+    """(item, n, wa, wb): the distinct windows of items(item, t); an item of fewer words is one window."""
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        for lo, hi, block in blocks(batch, ALNUM, True, "t"):
+            for i in range(lo, hi):
+                own = block.hashes[block.first[i - lo] : block.first[i - lo + 1]]
+                n = min(span, len(own))
+                if n:
+                    pairs = np.unique(np.stack([gram_hashes(own, n), gram_hashes(_second(own), n)], 1), axis=0).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i]] * len(pairs)), pa.array(np.full(len(pairs), n, np.int32)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["item", "n", "wa", "wb"])
+
+
+def _item_prints(batches, span: int = SPAN, gram: int = GRAM):
+    """(print): kept fingerprints of items, and the hashes of all words of those that are shorter than a window."""
+    for batch in batches:
+        for lo, hi, block in blocks(batch, ALNUM, True, "t"):
+            out = [np.zeros(0, np.uint64)]
+            for i in range(hi - lo):
+                own = block.hashes[block.first[i] : block.first[i + 1]]
+                if len(own) >= span:
+                    g = gram_hashes(own, gram)
+                    out.append(g[_kept(g, span - gram + 1)])
+                elif len(own):
+                    out.append(gram_hashes(own, len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).view(np.int64))], names=["print"])
+
+
+def _filter_of(prints: DataFrame) -> np.ndarray:
+    """The leading bits of the prints that occur, ored word by word on the executors; 2 ** FILTER_BITS bits in all."""
+    at = F.shiftrightunsigned("print", 64 - FILTER_BITS)
+    ored = prints.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in ored.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r.word] = r.bits
+    return out.view(np.uint64)
+
+
+def _passes(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - FILTER_BITS)
+    return (known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _candidates(known, lengths: list[int], span: int = SPAN, gram: int = GRAM):
+    """(a, b, at, n, wa, wb) of rows (a, b, text): the windows around kept fingerprints that the items may have, and short runs likewise."""
 
     def run(batches):
+        maybe = known.value
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for lo, hi, block in blocks(batch, ALNUM, True, text):
-                out_keys, out = [], [np.zeros(0, np.uint64)]
-                for i in range(hi - lo):
-                    own = block.hashes[block.first[i] : block.first[i + 1]]
-                    if len(own) >= span:
-                        g = gram_hashes(own, gram)
-                        own = np.unique(g[_kept(g, span - gram + 1)])
-                    elif len(own):
-                        own = gram_hashes(own, len(own))
-                    out.append(own)
-                    out_keys += [keys[lo + i]] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(out_keys, batch.column(0).type), pa.array(np.concatenate(out).view(np.int64))], names=["key", "print"])
-
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lambda b: run(b), f"key {rows.schema[key].dataType.simpleString()}, print long")
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, _, block in blocks(batch, ALNUM, True):
+                h = block.hashes
+                other = _second(h)
+                owner = np.repeat(np.arange(len(block.offsets) - 1), np.diff(block.first))
+                for n in [span, *lengths]:
+                    if len(h) < n:
+                        continue
+                    wa = gram_hashes(h, n)
+                    if n == span:
+                        grams = gram_hashes(h, gram)
+                        p = _kept(grams, span - gram + 1)
+                        p = p[_passes(maybe, grams[p])]
+                        s = np.unique((p[:, None] - np.arange(span - gram + 1)).ravel())
+                        s = s[(s >= 0) & (s < len(wa))]
+                    else:
+                        s = np.flatnonzero(_passes(maybe, wa))
+                    s = s[s + n <= block.first[owner[s] + 1]]
+                    if len(s):
+                        doc, wb = owner[s], gram_hashes(other, n)
+                        columns = [a[lo + doc], b[lo + doc], s - block.first[doc], np.full(len(s), n, np.int32), wa[s].view(np.int64), wb[s].view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "at", "n", "wa", "wb"])
+
+    return run
 
 
 def _by_join(docs: DataFrame, items: DataFrame, text: str, staged: Staged) -> DataFrame:
     """docs with hits, for a benchmark that is too large to be sent.
 
-    Fingerprints of both sides are joined, so a text meets only the items it can
-    hold. Items of fewer than SPAN words can lie anywhere in a text, and are so
-    joined with the hashes of all runs of their lengths. Each pair is then
-    verified and extended in a task of its own batch, and a text's hits united.
+    Windows of both sides are joined by 128 bits of hash, so a phrase of fewer
+    words that many texts share joins nothing. Documents emit only windows around
+    kept fingerprints that pass a filter of fixed size. Each distinct window is one
+    row on the items' side, so a passage that a third of all documents and items
+    share makes one row for each place in a document. The items of a window come
+    last: windows with the same items form a class, texts with the same classes
+    one set, and items are gathered once a set.
     """
-    known = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
-    keyed = docs.withColumn("_key", F.when(F.length(text) > 0, known))
-    texts = staged.write(keyed.filter("_key is not null").groupBy(F.col("_key.a").alias("a")).agg(F.first(text).alias("text")))
-    rows = staged.write(items.filter("length(t) > 0").groupBy("t").agg(F.sort_array(F.collect_set(F.coalesce("id", F.lit("")))).alias("ids")).withColumn("item", F.xxhash64("t")))
-    lengths = sorted(r[0] for r in rows.select(F.size(_words("t")).alias("n")).filter(f"n between 1 and {SPAN - 1}").distinct().collect())
-    found = _prints(texts, "a", "text").unionByName(_runs(texts, lengths)) if lengths else _prints(texts, "a", "text")
-    pairs = found.withColumnRenamed("key", "a").join(_prints(rows, "item", "t").withColumnRenamed("key", "item"), "print").select("a", "item").distinct()
-
-    def verify(batches):
-        for batch in batches:
-            keys, body, names, item = (batch.column(i).to_pylist() for i in range(4))
-            a_out, spans, ids = [], [], []
-            for k, b, n, t in zip(keys, body, names, item, strict=True):
-                data = np.frombuffer(b.encode(), np.uint8)
-                block = Block(data, np.array([0, len(data)]), ALNUM, True)
-                a, e, _ = ItemIndex([""], [t]).hits(block)
-                if len(a):
-                    a_out.append(k)
-                    spans.append([{"a": x, "b": y} for x, y in sorted(set(zip(a.tolist(), e.tolist(), strict=True)))])
-                    ids.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))], names=["a", "spans", "ids"])
-
-    met = pairs.join(rows, "item").join(texts, "a").select("a", "text", "ids", "t")
-    hits = met.mapInArrow(verify, "a long, spans array<struct<a:bigint,b:bigint>>, ids array<string>")
-    hits = staged.write(hits.groupBy("a").agg(F.flatten(F.collect_list("spans")).alias("hit_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("hit_items")))
+    spark = docs.sparkSession
+    # items of equal texts are one; ids are kept in structs, so that a null id is one of them
+    rows = items.filter("length(t) > 0").groupBy("t").agg(F.sort_array(F.collect_set(F.struct("id"))).alias("ids"))
+    rows = staged.write(rows.select("t", "ids", F.monotonically_increasing_id().alias("item")))
+    windows = rows.select("item", "t").mapInArrow(_item_windows, f"item long, {_WINDOW}")
+    # a window's items as one sorted list, and a class for each distinct list
+    listed = windows.groupBy("n", "wa", "wb").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    listed = staged.write(listed.withColumn("class", _DIGEST(F.struct("items"))))
+    classes = staged.write(listed.groupBy("class").agg(F.first("items").alias("items")))
+    lengths = sorted(r[0] for r in listed.select("n").distinct().collect() if r[0] < SPAN)  # at most SPAN - 1
+    known = spark.sparkContext.broadcast(_filter_of(rows.select("t").mapInArrow(_item_prints, "print long")))
+
+    keyed = docs.withColumn("_a", F.when(F.length(text) > 0, F.xxhash64(text))).withColumn("_b", F.xxhash64(F.lit(1), text))
+    texts = keyed.filter("_a is not null").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.col(f"`{text}`").alias("text"))
+    found = texts.mapInArrow(_candidates(known, lengths), f"a long, b long, at long, {_WINDOW}").distinct()
+    hits = staged.write(found.join(listed.select("n", "wa", "wb", "class"), ["n", "wa", "wb"]).select("a", "b", "at", "n", "class"))
+    spans = F.sort_array(F.collect_set(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))))
+    per_text = hits.groupBy("a", "b").agg(spans.alias("hit_spans"), F.sort_array(F.collect_set("class")).alias("classes"))
+    per_text = staged.write(per_text.withColumn("set", _DIGEST(F.struct("classes"))))
+    sets = per_text.groupBy("set").agg(F.first("classes").alias("classes"))
+    gathered = sets.select("set", F.explode("classes").alias("class")).join(classes, "class").select("set", F.explode("items").alias("item")).distinct()
+    named = gathered.join(rows.select("item", "ids"), "item").select("set", F.explode("ids").alias("id")).distinct()
+    named = named.groupBy("set").agg(F.transform(F.sort_array(F.collect_list("id")), lambda x: x["id"]).alias("hit_items"))
+    merged = staged.write(per_text.join(named, "set").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "hit_spans", "hit_items"))
+    size = merged.agg(F.count(F.lit(1)), F.sum(F.size("hit_spans") + F.size("hit_items"))).first()
+    small = size[0] <= SEND_TEXTS and (size[1] or 0) <= SEND_SPANS
+
     made = {"n_words", "hit_spans", "hit_items"}
     kept = [c for c in docs.columns if c.lower() not in made]
-    plain = keyed.select(*kept, F.size(_words(text)).cast("long").alias("n_words"), F.col("_key.a").alias("a"))
+    plain = keyed.select(*[F.col(f"`{c}`") for c in kept], F.size(_words(text)).cast("long").alias("n_words"), "_a", "_b")
     none = "cast(array() as array<struct<a:bigint,b:bigint>>)"
-    return plain.join(hits, "a", "left").select(*kept, "n_words", F.coalesce("hit_spans", F.expr(none)).alias("hit_spans"), F.coalesce("hit_items", F.expr("cast(array() as array<string>)")).alias("hit_items"))
+    out = plain.join(F.broadcast(merged) if small else merged, ["_a", "_b"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in kept], "n_words", F.coalesce("hit_spans", F.expr(none)).alias("hit_spans"), F.coalesce("hit_items", F.expr("cast(array() as array<string>)")).alias("hit_items"))
 
 
 def _words(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-
-
-def _runs(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(key, print): hashes of all runs of the given numbers of words."""
-
-    def run(batches):
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for lo, hi, block in blocks(batch, ALNUM, True):
-                out_keys, out = [], [np.zeros(0, np.uint64)]
-                for i in range(hi - lo):
-                    own = block.hashes[block.first[i] : block.first[i + 1]]
-                    for n in lengths:
-                        out.append(np.unique(gram_hashes(own, n)))
-                        out_keys += [keys[lo + i]] * len(out[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(np.concatenate(out).view(np.int64))], names=["key", "print"])
-
-    return texts.select("a", "text").mapInArrow(run, "key long, print long")
+    return F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_mb: float = BLOCK_MB, send_blocks: int = SEND_BLOCKS) -> DataFrame:
@@ -255,7 +312,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         return _by_join(docs, items, text, Staged(docs.sparkSession, "decontaminate"))
     out = docs
     for k in range(count):
-        rows = sorted((r["id"] or "", r["t"]) for r in items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(count)) == k).collect() if r["t"])
+        rows = sorted(((r["id"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(count)) == k).collect() if r["t"]), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
         out = _pass(out, [r[0] for r in rows], [r[1] for r in rows], text, k > 0)
     return out
 
