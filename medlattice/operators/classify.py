@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from ..functions.fuzzy import indel_ratio_of, token_sort_ratio_of
@@ -255,13 +256,17 @@ def averaged(samples: DataFrame, relevant: tuple[str, ...], uniform: float = 0.3
     return top.select("doc_id", F.col("t.label").alias("top_label"), F.round("t.score", 4).alias("top_score"), v.alias("verdict"))
 
 
+#: Two terms that count together where a text names the programme and a reaction.
+PROGRAMME, REACTION, PAIR = ("pvpi", "pharmacovigilance programme of india"), (r"\badr\b", "adverse drug reaction"), ("pvpi", "adr")
+
+
 def distinct_event_terms(docs: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """(doc_id, n): terms in a text, counting only the longest of those that overlap.
+    """(doc_id, n): distinct terms in a text, counting only the longest of those that overlap, the first of equals.
 
-    Spans are found by position, grouped where they overlap (gaps and islands) and the longest term of each group counts.
+    Spans are found by position, grouped where they overlap (gaps and islands)
+    and the longest term of each group counts. A text that names the
+    pharmacovigilance programme and an adverse reaction has both terms of PAIR.
     """
-    from pyspark.sql.window import Window
-
     low = F.lower(blank(F.col("text")))
     spans = None
     for term in terms:
@@ -272,8 +277,10 @@ def distinct_event_terms(docs: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     spans = spans.withColumn("b", F.col("a") + F.length("term"))
     w = Window.partitionBy("doc_id").orderBy("a", "b", "term")
     begins = F.coalesce(F.col("a") >= F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    grouped = spans.withColumn("new", begins).withColumn("g", F.sum("new").over(w)).groupBy("doc_id", "g").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))
-    return grouped.groupBy("doc_id").agg(F.countDistinct("term").alias("n"))
+    grouped = spans.withColumn("new", begins).withColumn("g", F.sum("new").over(w)).groupBy("doc_id", "g").agg(F.min_by("term", F.struct(-F.length("term"), "a", "b", "term")).alias("term"))
+    programme = F.contains(low, F.lit(PROGRAMME[0])) | F.contains(low, F.lit(PROGRAMME[1]))
+    pairs = docs.filter(programme & (low.rlike(REACTION[0]) | F.contains(low, F.lit(REACTION[1])))).select("doc_id", F.explode(F.array(*[F.lit(p) for p in PAIR])).alias("term"))
+    return grouped.select("doc_id", "term").unionByName(pairs).groupBy("doc_id").agg(F.countDistinct("term").alias("n"))
 
 
 def document_family(headers: Column, sample: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE_CHAR, blank, words
+from ..functions.text import SPACE_CHAR, blank, bound, folded_words, words
 
 #: Patterns of signals, all on lower-case words.
 FORMS = r"\b(?:tablet|capsule|injection|syrup|solution|ointment|vaccine)\b"
@@ -16,9 +16,10 @@ ACTION = r"\b(?:recall(?:\s+of)?|withdrawn|withdrawal|stop(?:\s+sale|\s+distribu
 PRODUCT = r"\b(?:product|drug|medicine|brand|formulation)\s+(?:name|details|batch)\b|\b(?:tablet|capsule|injection|syrup|ointment|vaccine)\b"
 SUSPECTED = r"\b(?:suspected drug|drug suspected|suspected medicine)\b"
 REACTION = r"\b(?:adverse drug reaction|adverse reaction|adverse effect|reaction reported)\b"
-REPORTED = r"\b(?:reported|date|dated|on\s+\d{1,2}[-/]\d{1,2}[-/]\d{2,4})\b"
 NOTIFIED = r"(?i)(?:S\.?\s*O\.?|G\.?\s*S\.?\s*R\.?)\s*(?:No\.?|No\s*[:.]?)?\s*\d+[A-Za-z0-9\-/]*"
+MADE_BY = r"\b(?:m s|manufactured by|manufacturer|manufacturing firm)\b"
 CHECKED = r"\b(?:nsq|not of standard quality|adverse drug reaction|prohibited|banned)\b"
+BATCH_NUMBER, QUOTE = r"(?i)(?:B\.?\s*No\.?|Batch\s*No\.?|Lot\s*No\.?)\s*[:.]?\s*([A-Za-z0-9\-/]+)", 500
 SIGNALS = {
     "product_name": r"\b(?:product|drug|medicine|brand)\b(?:\s+name)?|" + NAMED,
     "manufacturer": r"\b(?:mfg|manufactured by|manufacturer|manufacturing firm|manufacture by)\b|\bm s\b",
@@ -59,7 +60,7 @@ def english_block(text: Column, least: float = 0.85) -> Column:
 
 def is_boilerplate(text: Column) -> Column:
     """A page number, or a printer's or publisher's line."""
-    t = words(text)
+    t = folded_words(text)
     page = F.contains(t, F.lit("page")) & F.contains(F.concat(F.lit(" "), t, F.lit(" ")), F.lit(" of ")) & (F.length(t) < 25)
     return page | F.contains(t, F.lit("printed by the manager")) | F.contains(t, F.lit("published by the controller"))
 
@@ -79,33 +80,55 @@ def same_window(t: Column, patterns: tuple[str, ...], chars: int = 200) -> Colum
 
 
 def field_signals(text: Column, batch: Column | None = None) -> Column:
-    """struct of the 18 flags that tell which fields a part speaks of; ``batch`` is a number known beforehand."""
+    """struct of the 18 flags that tell which fields a part speaks of; ``batch`` is a number known beforehand.
+
+    All patterns but that of notifications are tried on the folded words. Those
+    have no punctuation, so a suspected drug and an adverse reaction anywhere in
+    the part make up the format of an alert.
+    """
     given = blank(batch) != "" if batch is not None else F.lit(False)
 
     def flags(t: Column) -> Column:
         says = t.rlike
         out = {n: says(p) for n, p in SIGNALS.items()}
         numbered = given | says(BATCH)
-        alert = out["suspected_drug"] & out["adverse_reaction"] & says(REPORTED)
         action = (numbered | out["specific_product"]) & out["action_verb"] | same_window(t, (NAMED, BATCH, ACTION))
-        out |= {"batch_no": numbered, "specific_batch": numbered, "notification_no": blank(text).rlike(NOTIFIED), "current_check_match": given & says(CHECKED), "alert_format": alert, "specific_action": action}
+        out |= {"batch_no": numbered, "specific_batch": numbered, "notification_no": blank(text).rlike(NOTIFIED), "current_check_match": given & says(CHECKED), "alert_format": out["suspected_drug"] & out["adverse_reaction"], "specific_action": action}
         return F.struct(*[c.alias(n) for n, c in sorted(out.items())])
 
-    return F.get(F.transform(F.array(words(text)), flags), 0)
+    return bound(folded_words(text), flags)
+
+
+def batch_of(text: Column) -> Column:
+    """The number behind the first batch label of a text; null without one."""
+    return F.nullif(F.regexp_extract(blank(text), BATCH_NUMBER, 1), F.lit(""))
 
 
-def usability(archetype: Column, is_table: Column, fields: Column, product_type: Column, confidence: Column, quality_window: Column) -> Column:
+def quality_window(text: Column, fields: Column, chars: int = 200) -> Column:
+    """Whether a text's quote (its first 500 characters) names product, batch, maker and failure within ``chars`` of its folded words, by first matches."""
+    near = bound(folded_words(F.substring(blank(text), 1, QUOTE)), lambda t: same_window(t, (NAMED, BATCH, MADE_BY, SIGNALS["failure_reason"]), chars))
+    return bound(fields, lambda f: f["product_name"] & f["batch_no"] & f["manufacturer"] & f["failure_reason"]) & near
+
+
+def usability(archetype: Column, is_table: Column, fields: Column, product_type: Column, confidence: Column, quality_window: Column, batch: Column) -> Column:
     """struct(class, priority, flags) of a part: its archetype's class, put off where fields are missing, the product is no medicine or the OCR is weak.
 
     ``fields`` is a struct of flags as of ``field_signals``; ``quality_window``
-    tells whether a text's product, batch, maker and failure stand together.
+    tells whether a text's product, batch, maker and failure stand together. A
+    batch number counts as there only if ``batch`` holds it, and tables have none.
     """
+    given = {"archetype": archetype, "is_table": is_table, "fields": fields, "product_type": product_type, "confidence": confidence, "window": quality_window, "batch": blank(batch)}
+    return bound(F.struct(*[c.alias(n) for n, c in given.items()]), lambda x: _usable(*[x[n] for n in given]))
+
+
+def _usable(archetype: Column, is_table: Column, fields: Column, product_type: Column, confidence: Column, quality_window: Column, batch: Column) -> Column:
+    has = lambda n: batch != "" if n == "batch_no" else fields[n]
 
     def known(maps: dict[str, tuple[str, str]]) -> Column:
         return F.try_element_at(F.create_map(*[x for k, v in maps.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("class"), F.lit(v[1]).alias("priority")))]), archetype)
 
     def needed(maps: dict[str, tuple[str, ...]]) -> Column:
-        lacking = {k: F.array_join(F.array_compact(F.array(*[F.when(~fields[n], F.lit(n)) for n in names])), ",") for k, names in maps.items()}
+        lacking = {k: F.array_join(F.array_compact(F.array(*[F.when(~has(n), F.lit(n)) for n in names])), ",") for k, names in maps.items()}
         out = F.lit("")
         for k, c in lacking.items():
             out = F.when(archetype == k, c).otherwise(out)
@@ -139,6 +162,7 @@ def context_archetype(source: Column, filename: Column) -> Column:
     return F.get(F.transform(F.transform(F.array(names), both), _context_rules), 0)
 
 
+#: Fixed rules, the first that fits.
 def _context_rules(name: Column) -> Column:
     stem, title = name["stem"], name["title"]
     has = lambda t: F.contains(title, F.lit(t))

@@ -101,9 +101,12 @@ def entities(d: Domain) -> DataFrame:
     return docs(d).withColumn("e", e).select("doc_id", *[F.size(f"e.{c}").cast("long").alias(c) for c in ("batches", "makers", "drugs")])
 
 
-@query("A19_distinct_terms", None)
+@query("A19_distinct_terms")
 def distinct_terms(d: Domain) -> DataFrame:
-    return classify.distinct_event_terms(docs(d), ("the", "of the", "license", "in the"))
+    """Every third text speaks of the programme, every second of a reaction."""
+    k = F.col("doc_id")
+    said = F.concat("text", F.when(k % 3 == 0, " PvPI").otherwise(""), F.when(k % 2 == 0, " an ADR of the drug").otherwise(""))
+    return classify.distinct_event_terms(docs(d).withColumn("text", said), ("the", "of the", "license", "in the", "adr"))
 
 
 _W = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"

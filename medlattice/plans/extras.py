@@ -223,6 +223,21 @@ def paragraph_archetype(d: Domain) -> DataFrame:
     return d.table("part").select("p_partkey", scanned.archetype(F.col("p_name"), {"rings": ("ring", "small ring"), "bolts": ("bolt",)}).alias("archetype"))
 
 
+#: Paragraphs with the archetype and product type that the signatures and the overrides of product types give.
+_PARAGRAPHS = (
+    ("Veterinary use only, banned", "P16", "veterinary"), ("For vet shops: recall", "P16", "veterinary"), ("medicalDevice Alert: catheter recalled", "P9", "device"), ("stent among approved products", "P10", "device"), ("WHO alert on spurious, misbranded and falsified goods", "P6", "medicine"),
+    ("a spurious drug", "P1", "medicine"), ("cosmetic banned", "P4", "cosmetic"), ("nothing to see", None, "medicine"), ("corvette recall", "P5", "medicine"), ("Infusion-Pump safety", "P9", "device"), ("DiagnosticKit found", None, "device"), ("amendment by S.O. 5", "P29", "medicine"),
+    ("prohibited and restricted", "P3", "medicine"), ("Adverse drug reaction, ADR of a spurious drug", "P7", "medicine"), ("pröhibited", "P3", "medicine"),
+)
+
+
+@query("R11_product_overrides", "SELECT p_partkey, a AS archetype, k AS product_type FROM part JOIN (VALUES " + ", ".join(f"({i}, {repr(a) if a else 'NULL'}, '{k}')" for i, (_, a, k) in enumerate(_PARAGRAPHS)) + f") t(m, a, k) ON p_partkey % {len(_PARAGRAPHS)} = m")
+def product_overrides(d: Domain) -> DataFrame:
+    t = F.element_at(F.array(*[F.lit(x[0]) for x in _PARAGRAPHS]), (F.col("p_partkey") % len(_PARAGRAPHS) + 1).cast("int"))
+    r = scanned.paragraph(F.concat(t, F.lit(" "), F.col("p_name")))
+    return d.table("part").select("p_partkey", r.alias("r")).select("p_partkey", "r.archetype", "r.product_type")
+
+
 @query("W03_remarks", "SELECT conv_id, max(turn) FILTER (role = 'assistant') AS turn FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0")
 def remarks(d: Domain) -> DataFrame:
     rows = d.table("conversations").withColumn("ord", F.col("turn") + 1)

@@ -11,6 +11,8 @@ from ..sources.driver import Domain
 from .registry import query
 
 ROWS = "array<array<string>>"
+#: Folded words in SQL: camel case split, accents stripped, other characters than ASCII left out.
+_FOLDED = r"trim(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 _WORDS = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -213,11 +215,11 @@ def language_filter(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", parts.english_block(t).alias("block")).select("doc_id", F.col("block").isNotNull().alias("kept"), F.sha2("block", 256).alias("hash"))
 
 
-@query("P14_boilerplate", f"""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Page ' || turn || ' of 9' WHEN 1 THEN text || ' Printed by the Manager, Govt.' WHEN 2 THEN 'Published, by the Controller' ELSE text END AS t FROM conversations), w AS (SELECT conv_id, turn, {_WORDS.format('t')} AS w FROM t)
+@query("P14_boilerplate", f"""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Page ' || turn || ' of 9' WHEN 1 THEN text || ' Printed by the Manager, Govt.' WHEN 2 THEN 'Püblished, by theController' ELSE text END AS t FROM conversations), w AS (SELECT conv_id, turn, {_FOLDED.format('t')} AS w FROM t)
  SELECT conv_id, turn, (contains(w, 'page') AND contains(' ' || w || ' ', ' of ') AND length(w) < 25) OR contains(w, 'printed by the manager') OR contains(w, 'published by the controller') AS boilerplate FROM w""")
 def boilerplate(d: Domain) -> DataFrame:
     t = F.col("turn") % 4
-    text = F.when(t == 0, F.concat(F.lit("Page "), F.col("turn").cast("string"), F.lit(" of 9"))).when(t == 1, F.concat("text", F.lit(" Printed by the Manager, Govt."))).when(t == 2, "Published, by the Controller").otherwise(F.col("text"))
+    text = F.when(t == 0, F.concat(F.lit("Page "), F.col("turn").cast("string"), F.lit(" of 9"))).when(t == 1, F.concat("text", F.lit(" Printed by the Manager, Govt."))).when(t == 2, "Püblished, by theController").otherwise(F.col("text"))
     return d.table("conversations").select("conv_id", "turn", parts.is_boilerplate(text).alias("boilerplate"))
 
 
@@ -225,6 +227,7 @@ def boilerplate(d: Domain) -> DataFrame:
 _SPOKEN = (
     "", " Product name: X tablet, Batch No. 77, recall of stock. Manufactured by M/s Z; failed in assay.", " Notification S.O. 55(E): banned, subject to conditions. Suspected drug: adverse reaction reported on 1-2-2020.",
     " product name" + " far" * 80 + " batch 9 withdrawn, spurious, not to be used", " Brand name Y batch details: prohibited, NSQ; restricted to hospitals",
+    " BatchNo12 tablet recall", " Suspected drug X caused an adverse reaction in patients.", " Suspécted drug. Nothing else",
 )
 _BATCH_GIVEN = 7
 
@@ -238,7 +241,7 @@ def _spoken_sql(given: str) -> dict[str, str]:
     ends = ", ".join(f"{at(p)} + length(regexp_extract(w, '({p})', 1))" for p in wide)
     near = " AND ".join(says(p) for p in wide) + f" AND greatest({ends}) - least({', '.join(at(p) for p in wide)}) <= 200"
     return out | {
-        "batch_no": numbered, "specific_batch": numbered, "notification_no": f"regexp_matches(t, '{parts.NOTIFIED}')", "current_check_match": f"{given} AND {says(parts.CHECKED)}", "alert_format": f"{out['suspected_drug']} AND {out['adverse_reaction']} AND {says(parts.REPORTED)}",
+        "batch_no": numbered, "specific_batch": numbered, "notification_no": f"regexp_matches(t, '{parts.NOTIFIED}')", "current_check_match": f"{given} AND {says(parts.CHECKED)}", "alert_format": f"{out['suspected_drug']} AND {out['adverse_reaction']}",
         "specific_action": f"({numbered} OR {out['specific_product']}) AND {out['action_verb']} OR ({near})",
     }
 
@@ -247,7 +250,7 @@ _SIGNAL_NAMES = sorted(_spoken_sql("g"))
 _PARTS_SQL = f"SELECT doc_id, text || [{', '.join(repr(s) for s in _SPOKEN)}][(doc_id % {len(_SPOKEN)} + 1)::INT] AS t, doc_id % {_BATCH_GIVEN} = 0 AS g FROM documents"
 
 
-@query("P16_field_signals", f"WITH p AS ({_PARTS_SQL}), w AS (SELECT *, {_WORDS.format('t')} AS w FROM p) SELECT doc_id, " + ", ".join(f"{c} AS {n}" for n, c in sorted(_spoken_sql("g").items())) + " FROM w")
+@query("P16_field_signals", f"WITH p AS ({_PARTS_SQL}), w AS (SELECT *, {_FOLDED.format('t')} AS w FROM p) SELECT doc_id, " + ", ".join(f"{c} AS {n}" for n, c in sorted(_spoken_sql("g").items())) + " FROM w")
 def field_signals(d: Domain) -> DataFrame:
     k = F.col("doc_id")
     text = F.concat("text", F.element_at(F.array(*[F.lit(s) for s in _SPOKEN]), (k % len(_SPOKEN) + 1).cast("int")))
@@ -260,18 +263,21 @@ _CLASSES = {a: (parts.TABLE_CLASS | parts.TEXT_CLASS).get(a, (parts.UNUSABLE, "P
 _NEEDS = {a: ",".join((parts.TABLE_FIELDS | parts.TEXT_FIELDS).get(a, ())) for a in _CLASSES}
 
 
-@query("R12_usability", "WITH m(i, a, c, p, f) AS (VALUES " + ", ".join(f"({i}, '{a}', '{_CLASSES[a][0]}', '{_CLASSES[a][1]}', '{_NEEDS[a]}')" for i, a in enumerate(_ARCHETYPES) if a) + f"""), x AS (SELECT p_partkey, a, c, p, f, p_partkey % 3 = 0 AS spoken, p_partkey % 5 = 0 AS device, p_partkey % 7 = 0 AS weak, p_partkey % 2 = 0 AS win FROM part LEFT JOIN m ON p_partkey % {len(_ARCHETYPES)} = i),
- y AS (SELECT *, CASE WHEN a = 'P1' THEN CASE WHEN NOT win THEN 'missing:product_name,batch_no,manufacturer,failure_reason_window' END WHEN a = 'P5' THEN CASE WHEN NOT spoken THEN 'missing:specific_action' END WHEN f <> '' AND NOT spoken THEN 'missing:' || f END AS miss FROM x),
+@query("R12_usability", "WITH m(i, a, c, p, f) AS (VALUES " + ", ".join(f"({i}, '{a}', '{_CLASSES[a][0]}', '{_CLASSES[a][1]}', '{_NEEDS[a]}')" for i, a in enumerate(_ARCHETYPES) if a) + f"""), x AS (SELECT p_partkey, a, c, p, f, p_partkey % 3 = 0 AS spoken, p_partkey % 5 = 0 AS device, p_partkey % 7 = 0 AS weak, p_partkey % 3 = 0 AND p_partkey % 2 = 0 AS win FROM part LEFT JOIN m ON p_partkey % {len(_ARCHETYPES)} = i),
+ y AS (SELECT *, CASE WHEN a = 'P1' THEN CASE WHEN NOT win THEN 'missing:product_name,batch_no,manufacturer,failure_reason_window' END WHEN a = 'P5' THEN CASE WHEN NOT spoken THEN 'missing:specific_action' END WHEN a = 'A' AND spoken THEN 'missing:batch_no' WHEN f <> '' AND NOT spoken THEN 'missing:' || f END AS miss FROM x),
  z AS (SELECT *, CASE WHEN miss IS NOT NULL THEN 'Future-usable' ELSE c END AS c1 FROM y), v AS (SELECT *, device AND c1 = 'Usable' AS o, CASE WHEN device AND c1 = 'Usable' THEN 'Future-usable' ELSE c1 END AS c2 FROM z)
  SELECT p_partkey, CASE WHEN a IS NULL THEN 'Non-usable' WHEN weak AND c2 = 'Usable' THEN 'Future-usable' ELSE c2 END AS class, CASE WHEN a IS NULL THEN 'P3' WHEN miss IS NOT NULL OR o OR weak AND c2 = 'Usable' THEN 'P2' ELSE p END AS priority,
  CASE WHEN a IS NULL THEN 'unmapped_taxonomy' ELSE concat_ws('|', miss, CASE WHEN o THEN 'out_of_medicine_scope:device' END, CASE WHEN weak THEN 'low_ocr_confidence' END, CASE WHEN weak AND c2 = 'Usable' THEN 'deferred_pending_ocr_review' END, CASE WHEN NOT weak AND c2 = 'Usable' THEN 'evidence_review_required' END) END AS flags FROM v""")
 def usability(d: Domain) -> DataFrame:
+    """Texts that say nothing, all fields close together, and all fields with the product far from the others."""
     k = F.col("p_partkey")
     a = F.element_at(F.array(*[F.lit(x) for x in _ARCHETYPES]), (k % len(_ARCHETYPES) + 1).cast("int"))
-    all_of = "product name tablet, batch no 7, manufactured by Z, failed: spurious. S.O. 5, prohibited, only for hospitals, subject to review, recall; suspected drug adverse reaction reported"
-    fields = parts.field_signals(F.when(k % 3 == 0, all_of).otherwise(""))
-    u = parts.usability(F.col("a"), ~F.startswith(F.col("a"), F.lit("P")), F.col("f"), F.when(k % 5 == 0, "device").otherwise("medicine"), F.when(k % 7 == 0, 0.3).otherwise(0.9), k % 2 == 0)
-    return d.table("part").withColumns({"a": a, "f": fields}).withColumn("u", u).select("p_partkey", F.col("u.class").alias("class"), F.col("u.priority").alias("priority"), F.array_join("u.flags", "|").alias("flags"))
+    rest = ", batch no 7, manufactured by Z, failed: spurious. S.O. 5, prohibited, only for hospitals, subject to review, recall; suspected drug adverse reaction reported"
+    text = F.when(k % 3 == 0, F.concat(F.lit("product name tablet"), F.when(k % 2 == 1, " far" * 60).otherwise(""), F.lit(rest))).otherwise("")
+    table = ~F.startswith(F.col("a"), F.lit("P"))
+    rows = d.table("part").withColumns({"a": a, "t": text}).withColumn("f", parts.field_signals(F.col("t")))
+    u = parts.usability(F.col("a"), table, F.col("f"), F.when(k % 5 == 0, "device").otherwise("medicine"), F.when(k % 7 == 0, 0.3).otherwise(0.9), parts.quality_window(F.col("t"), F.col("f")), F.when(~table, parts.batch_of(F.col("t"))))
+    return rows.withColumn("u", u).select("p_partkey", F.col("u.class").alias("class"), F.col("u.priority").alias("priority"), F.array_join("u.flags", "|").alias("flags"))
 
 
 #: Source, file name, archetype.

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from medlattice.operators import ingest, parts, sinks, tables
+from medlattice.operators import ingest, parts, scanned, sinks, tables
 from medlattice.sources import payload
 from medlattice.sources.snapshots import Conflict, Snapshots
 
@@ -46,6 +46,30 @@ def test_english_blocks_and_signals(spark):
     assert {k for k, v in s.items() if v} == {"product_name", "batch_no", "specific_batch", "specific_product", "action_verb", "specific_action"}
 
 
+def test_signals_of_folded_words(spark):
+    said = lambda t, b=None: {k for k, v in one(spark, parts.field_signals(F.lit(t), F.lit(b)))[0].asDict().items() if v}
+    assert "alert_format" in said("Suspected drug X caused an adverse reaction in patients.")
+    assert {"batch_no", "specific_batch", "action_verb", "specific_action"} <= said("BatchNo12 tablet recall")
+    assert "operative_prohibition" in said("Pröhibited") and "suspected_drug" in said("SuspectedDrug")
+    assert said(None) == said("") == set() and said("", "7") == {"batch_no", "specific_batch"}
+    assert one(spark, parts.is_boilerplate(F.lit("Püblished by theController")), parts.is_boilerplate(F.lit("pageOf of 3")))[0]
+
+
+def test_quality_window_is_computed_from_the_text(spark):
+    text = "Product name X tablet, batch no 9, manufactured by Y, failed in assay"
+    far = text.replace(", failed", " far" * 60 + ", failed")
+    late = "x" * 480 + text
+    found = [one(spark, parts.quality_window(F.lit(t), parts.field_signals(F.lit(t))))[0] for t in (text, far, late, text.replace("batch no 9", ""), "", None)]
+    assert found == [True, False, False, False, False, False]
+    assert one(spark, *[parts.batch_of(F.lit(t)) for t in ("Lot No. AB-1/2 x", "B. No: 7", "batch 7", None)]) == ("AB-1/2", "7", None, None)
+
+
+def test_archetypes_need_their_least_and_types_override(spark):
+    table = {"A": ("batch no", "s no"), "B": ("batch no", "nsq result")}
+    assert one(spark, *[scanned.archetype(F.lit(t), table, 2) for t in ("S. No Batch No", "batch no, NSQ-Result", "batch no", None)]) == ("A", "B", None, None)
+    assert one(spark, *[scanned.product_type(F.lit(t)) for t in ("Remote-Controller", "a vet", "vets", "Animal use of stents", "cosmetics", None)]) == ("device", "veterinary", "medicine", "veterinary", "cosmetic", "medicine")
+
+
 def test_same_window(spark):
     near, far = F.lit("batch 1 recall"), F.lit("batch 1 " + "x " * 120 + "recall")
     assert list(one(spark, parts.same_window(near, (parts.BATCH, parts.ACTION)), parts.same_window(far, (parts.BATCH, parts.ACTION)), parts.same_window(F.lit("recall"), (parts.BATCH, parts.ACTION)))) == [True, False, False]
