@@ -282,9 +282,9 @@ def two_sided(d: Domain) -> DataFrame:
     return reports.reconciled(a, d.table("labels").select("doc_id", F.col("quality").alias("value")), "doc_id", "value")
 
 
-@query("J12_full_merge", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(l.quality::VARCHAR, d.lang) AS value, CASE WHEN l.doc_id IS NULL THEN 'left only' WHEN d.doc_id IS NULL THEN 'right only' ELSE 'merged' END AS audit FROM documents d FULL JOIN (SELECT * FROM labels WHERE toxic = 0) l ON d.doc_id = l.doc_id")
+@query("J12_full_merge", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(l.quality::VARCHAR, d.lang) AS value, CASE WHEN l.doc_id IS NULL THEN 'left only' WHEN d.doc_id IS NULL THEN 'right only' ELSE 'merged' END AS audit FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def full_merge(d: Domain) -> DataFrame:
-    r = d.table("labels").filter("toxic = 0").select("doc_id", F.col("quality").cast("string").alias("value"))
+    r = d.table("labels").select("doc_id", F.col("quality").cast("string").alias("value"))
     return reports.merged(docs(d).select("doc_id", F.col("lang").alias("value")), r, "doc_id", "value")
 
 
@@ -299,9 +299,9 @@ def event_bearing(d: Domain) -> DataFrame:
     return docs(d).select("doc_id").join(d.table("labels").filter("toxic = 1"), "doc_id", "left_semi")
 
 
-@query("J15_title_join", "SELECT page_id, coalesce(d.source, '') AS title FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id AND d.lang = 'en'")
+@query("J15_title_join", "SELECT page_id, coalesce(d.source, '') AS title FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id")
 def title_join(d: Domain) -> DataFrame:
-    t = docs(d).filter("lang = 'en'").select(F.col("doc_id").alias("page_id"), "source")
+    t = docs(d).select(F.col("doc_id").alias("page_id"), "source")
     return d.table("pages").join(t, "page_id", "left").select("page_id", F.coalesce("source", F.lit("")).alias("title"))
 
 
@@ -409,10 +409,10 @@ def running_rows(d: Domain) -> DataFrame:
 # Set operations
 
 
-@query("U01_keyed_union", "SELECT k, arg_max(src, rank) AS src FROM (SELECT o_orderkey AS k, 'a' AS src, 1 AS rank FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'b', 2 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'c', 3 FROM orders WHERE o_orderkey % 5 = 0) GROUP BY k")
+@query("U01_keyed_union", "SELECT k, arg_max(src, rank) AS src FROM (SELECT o_orderkey AS k, 'a' AS src, 1 AS rank FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'b', 2 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'c', 3 FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'rest', 0 FROM orders) GROUP BY k")
 def keyed_union(d: Domain) -> DataFrame:
     part = lambda m, s, r: d.table("orders").filter(F.col("o_orderkey") % m == 0).select(F.col("o_orderkey").alias("k"), F.lit(s).alias("src"), F.lit(r).alias("rank"))
-    return part(2, "a", 1).unionByName(part(3, "b", 2)).unionByName(part(5, "c", 3)).groupBy("k").agg(F.max_by("src", "rank").alias("src"))
+    return part(2, "a", 1).unionByName(part(3, "b", 2)).unionByName(part(5, "c", 3)).unionByName(part(1, "rest", 0)).groupBy("k").agg(F.max_by("src", "rank").alias("src"))
 
 
 @query("U02_except_intersect", "(SELECT 'except' AS op, c_custkey AS k FROM customer EXCEPT SELECT 'except', o_custkey FROM orders) UNION ALL (SELECT 'both', c_custkey FROM customer INTERSECT SELECT 'both', o_custkey FROM orders)")

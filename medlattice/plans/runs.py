@@ -82,9 +82,9 @@ def newest(d: Domain) -> DataFrame:
     return d.table("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "event_type", F.col("user_id").alias("run_id"))
 
 
-@query("T03_newest_approvals", "SELECT user_id AS run_id, max(event_id) AS last_event FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 50")
+@query("T03_newest_approvals", "SELECT user_id AS run_id, max(event_id) AS last_event FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 50")
 def newest_approvals(d: Domain) -> DataFrame:
-    return d.table("events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("run_id")).agg(F.max("event_id").alias("last_event"), F.max("ts").alias("t")).orderBy(F.desc("t"), "run_id").limit(50).drop("t")
+    return d.table("events").groupBy(F.col("user_id").alias("run_id")).agg(F.max("event_id").alias("last_event"), F.max("ts").alias("t")).orderBy(F.desc("t"), "run_id").limit(50).drop("t")
 
 
 @query("T04_history_page", "SELECT event_id FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id LIMIT 20 OFFSET 10")
@@ -158,17 +158,25 @@ def changed_content(d: Domain) -> DataFrame:
     return runs.changed(docs, before, "doc_id", F.col("text")).select("doc_id", "hash")
 
 
-_ACT = "SELECT user_id AS run_id, ts AS ts_, event_id, CASE event_type WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'view' THEN 'ingest' END AS action, event_id::VARCHAR AS actor FROM events WHERE event_type <> 'click'"
+_ACT = "SELECT user_id AS run_id, ts AS ts_, event_id, CASE event_type WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'view' THEN 'ingest' ELSE 'request' END AS action, event_id::VARCHAR AS actor FROM events"
 
 
-@query("X06_approvals", f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_, action, actor) AS n FROM ({_ACT})),
+APPROVALS_SQL = f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_, action, actor) AS n FROM ({_ACT})),
  f AS (SELECT DISTINCT run_id, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::VARCHAR AS who FROM a UNION ALL SELECT f.run_id, a.n, CASE WHEN a.action = 'request' AND f.status IS NULL THEN 'pending' WHEN a.action = 'approve' AND f.status IN ('pending', 'rejected') THEN 'approved' WHEN a.action = 'reject' AND f.status IN ('pending', 'approved') THEN 'rejected' WHEN a.action = 'ingest' AND f.status = 'approved' THEN 'ingested' ELSE f.status END,
   CASE WHEN a.action = 'approve' AND f.status IN ('pending', 'rejected') OR a.action = 'reject' AND f.status IN ('pending', 'approved') THEN a.actor ELSE f.who END FROM f JOIN a ON a.run_id = f.run_id AND a.n = f.n + 1)
- SELECT run_id, arg_max(coalesce(status, ''), n) AS status, arg_max(coalesce(who, ''), n) AS decided_by FROM f GROUP BY run_id""")
+ SELECT run_id, arg_max(coalesce(status, ''), n) AS status, arg_max(coalesce(who, ''), n) AS decided_by FROM f GROUP BY run_id"""
+
+
+def approval_actions(d: Domain) -> DataFrame:
+    """Every event as an action on its user's run; a click asks again for what may be asked already."""
+    kinds = {"purchase": "approve", "error": "reject", "view": "ingest"}
+    act = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type")), F.lit("request"))
+    return d.table("events").select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), act.alias("action"), F.col("event_id").cast("string").alias("actor"))
+
+
+@query("X06_approvals", APPROVALS_SQL)
 def approval_states(d: Domain) -> DataFrame:
-    e = d.table("events").filter("event_type <> 'click'")
-    act = F.when(F.col("event_type") == "signup", "request").when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "reject").otherwise("ingest")
-    out = runs.approvals(e.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), act.alias("action"), F.col("event_id").cast("string").alias("actor")))
+    out = runs.approvals(approval_actions(d))
     return out.select("run_id", F.coalesce("status", F.lit("")).alias("status"), F.coalesce("decided_by", F.lit("")).alias("decided_by"))
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import ingest, sinks, stage
 from ..sources.driver import Domain
 from ..sources.store import shared_folder
+from ..streaming import approvals
 from ..streaming import events as streaming
 from .registry import query
+from .runs import APPROVALS_SQL, approval_actions
 from .staging import RESOLVED, C, resolved
 
 
@@ -139,6 +141,39 @@ def queue_messages(d: Domain) -> DataFrame:
     return _consumed(d).select("event_id", "event_type", "run_id", "status", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+def _spans(rows: DataFrame, at: str, n: int) -> list[DataFrame]:
+    """rows in n spans of equal time, the earliest first."""
+    low, high = rows.agg(F.min(at).cast("timestamp"), F.max(at).cast("timestamp")).first()
+    if low is None:
+        return [rows]
+    part = F.least(F.floor((F.col(at).cast("timestamp").cast("double") - low.timestamp()) / max((high - low).total_seconds(), 1e-6) * n), F.lit(n - 1))
+    return [rows.filter(part == i) for i in range(n)]
+
+
+@query("X02_streamed_once", "SELECT event_id, user_id FROM events")
+def streamed_once(d: Domain) -> DataFrame:
+    """Events in three rounds, each a stream that starts anew from its checkpoint; some come twice in a round, some again in a later one."""
+    folder, e, before = _folder(d, "once"), d.table("events").select("event_id", "user_id", "ts"), None
+    for span in _spans(e, "ts", 3):
+        sent = span.unionByName(span.filter("event_id % 3 = 0"))
+        sent = sent if before is None else sent.unionByName(before.filter("event_id % 5 = 0"))
+        sent.write.mode("append").parquet(f"{folder}/in")
+        streaming.consume(d.spark.readStream.schema(e.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
+        before = span if before is None else before.unionByName(span)
+    return d.spark.read.parquet(f"{folder}/out").select("event_id", "user_id")
+
+
+@query("X06_streamed_approvals", APPROVALS_SQL)
+def streamed_approvals(d: Domain) -> DataFrame:
+    """The actions of all runs in four rounds; the machine's state lives on in the checkpoint between them."""
+    folder, a = _folder(d, "approvals"), approval_actions(d).withColumn("run_id", F.col("run_id").cast("string"))
+    for span in _spans(a, "at", 4):
+        span.write.mode("append").parquet(f"{folder}/in")
+        approvals.run(d.spark.readStream.schema(a.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    out = approvals.states(d.spark, f"{folder}/out")
+    return out.select(F.col("run_id").cast("long").alias("run_id"), F.coalesce("status", F.lit("")).alias("status"), F.coalesce("decided_by", F.lit("")).alias("decided_by"))
+
+
 @query("K13_live_delivery", "SELECT * FROM (VALUES ('gone', 0::BIGINT, false), ('there', 3::BIGINT, true)) t(client, received, live)")
 def live_delivery(d: Domain) -> DataFrame:
     got: dict[str, list[str]] = {"there": [], "gone": []}

@@ -35,34 +35,36 @@ def split_poison(events: DataFrame, most: int = MOST_ATTEMPTS) -> tuple[DataFram
     return good, bad.filter(F.col("attempts") < most), bad.filter(F.col("attempts") >= most)
 
 
-def once(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each event id once within the watermark; state is bounded by the delay."""
-    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
+def once(events: DataFrame, delay: str = "1 day", key: str = "event_id") -> DataFrame:
+    """Each event id once, if its repeats arrive within the delay.
+
+    State holds the ids that arrived within the delay, not all that ever did.
+    The watermark runs on the time of arrival, which is the same when a batch is
+    run again, so no event is late and none is lost for its own old time.
+    """
+    return events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay).dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
-def consume(stream: DataFrame, target: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None):
-    """Append unseen events of each micro-batch to Parquet, then publish them.
+def to_batches(stream: DataFrame, target: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None, mode: str = "append"):
+    """Write each micro-batch to a folder of its own below ``target``, then publish it if it has rows.
 
-    A batch that is run again adds nothing: its ids are there. Each batch reads
-    the id column of the whole stored table; for a stream without an end, use
-    ``once``, whose state the watermark bounds, and a target by date.
+    A batch that is run again after a failure writes the same folder again, so
+    its rows are there once, and no batch reads what others have stored.
     """
 
-    def save(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["event_id"])
-        try:
-            stored = spark.read.parquet(target).select("event_id")
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(stored, "event_id", "left_anti")
-        fresh.write.mode("append").parquet(target)
-        if publish is not None:
-            publish(fresh)
-
-    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def save(batch: DataFrame, number: int) -> None:
+        path = f"{target}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        if publish is not None and not stored.isEmpty():
+            publish(stored)
+
+    return stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def consume(stream: DataFrame, target: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None, delay: str = "1 day"):
+    """Store and publish each event of the stream once, whether it is repeated within a batch, in a later one or after a restart."""
+    return to_batches(once(stream, delay), target, checkpoint, publish)
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files: int = 1) -> DataFrame:
