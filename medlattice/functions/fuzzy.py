@@ -69,7 +69,8 @@ token_sort_ratio = _pairwise(token_sort_ratio_of)
 sequence_ratio = _pairwise(lambda a, b: SequenceMatcher(None, a, b).ratio())
 
 
-def _grams(c: Column) -> Column:
+def grams(c: Column) -> Column:
+    """Distinct trigrams of a text's words, each with two spaces before and one behind."""
     words = F.regexp_extract_all(F.lower(blank(c)), F.lit(WORD), 0)
     each = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(each))
@@ -77,12 +78,12 @@ def _grams(c: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all distinct trigrams of both texts' words, in the JVM."""
-    x, y = _grams(a), _grams(b)
+    x, y = grams(a), grams(b)
     union = F.size(F.array_union(x, y))
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
 
 def trigram_containment(query: Column, target: Column) -> Column:
     """Share of the query's distinct trigrams that the target has: an upper bound of its word similarity."""
-    x = _grams(query)
-    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, _grams(target))) / F.size(x)).otherwise(0.0)
+    x = grams(query)
+    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, grams(target))) / F.size(x)).otherwise(0.0)

@@ -7,13 +7,13 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.fuzzy import trigram_containment, word_similarity_of
 from ..functions.text import blank, compact
+from . import trigrams
 
 FUZZY_LIMIT, DEFAULT_LIMIT, MAX_LIMIT = 0.55, 50, 100
+NAMES = ["product_name", "brand_name", "normalized_search_name"]
 
 
 def holds(c: Column, term: str) -> Column:
@@ -40,30 +40,19 @@ def _flags(products: DataFrame, children: DataFrame, flags: dict[str, Column]) -
     return joined.select(*[products[c] for c in products.columns], *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in flags])
 
 
-def _with_similarity(p: DataFrame, names: list[str]) -> DataFrame:
-    """p with ``_similarity``: the best word similarity of ``_maybe`` with the named texts, 0 where it is null."""
-    schema = T.StructType([*p.schema.fields, T.StructField("_similarity", T.DoubleType())])
-
-    def run(frames):
-        for f in frames:
-            texts = zip(f["_maybe"], *[f[c] for c in names], strict=True)
-            yield f.assign(_similarity=[0.0 if q is None else max(word_similarity_of(q, t or "") for t in ts) for q, *ts in texts])
-
-    return p.mapInPandas(run, schema)
-
-
-def scored(products: DataFrame, organizations: DataFrame, ingredients: DataFrame, batches: DataFrame, fields: dict[str, str], fuzzy: bool = True) -> DataFrame:
+def scored(products: DataFrame, organizations: DataFrame, ingredients: DataFrame, batches: DataFrame, fields: dict[str, str], fuzzy: bool = True, index: trigrams.NameIndex | None = None) -> DataFrame:
     """Products that match all ``fields`` with ``relevance`` and ``match_type``.
 
     organizations(product_id, name, normalized_name), ingredients(product_id,
     name, normalized_name, strength_text) and batches(product_id, batch_number)
     are only read where a field needs them. Fields: name, manufacturer,
-    ingredient, strength, dosage_form, batch_number.
+    ingredient, strength, dosage_form, batch_number. A fuzzy search looks names
+    up in the ``index`` of NAMES, or compares all of them without one.
     """
     f = {k: v for k, v in fields.items() if v and v.strip()}
     p, keep, exact, partial, exact_name = products, [], [], [], []
     own = products.columns
-    names = ["product_name", "brand_name", "normalized_search_name"]
+    names = NAMES
     similarity = None
     wanted: dict[str, Column] = {}
     if "name" in f:
@@ -96,11 +85,9 @@ def scored(products: DataFrame, organizations: DataFrame, ingredients: DataFrame
         per_token = [_any([holds(F.col(c), t) for c in names] + [F.contains(compact(F.col("product_name")), F.lit(t)), F.col(f"_t{i}")]) for i, t in enumerate(name.split())]
         hit = reduce(and_, per_token)
         if fuzzy:
-            # similarities are computed only for names whose trigrams allow the limit, token matches included: it ranks those too
-            p = p.withColumn("_hit", hit)
-            bound = F.greatest(*[trigram_containment(F.lit(name), F.col(c)) for c in names])
-            p = p.withColumn("_maybe", F.when(bound >= FUZZY_LIMIT, F.lit(name)))
-            p = _with_similarity(p, names)
+            near = trigrams.scanned(products, NAMES, name, FUZZY_LIMIT) if index is None else trigrams.similarities(index, name, FUZZY_LIMIT)
+            near = near.select(F.col("id").alias("_near_id"), F.col("similarity").alias("_near"))
+            p = p.withColumn("_hit", hit).join(near, F.col("id") == F.col("_near_id"), "left").withColumn("_similarity", F.coalesce("_near", F.lit(0.0)))
             similarity, hit = F.col("_similarity"), F.col("_hit")
         keep.append(hit if similarity is None else hit | (similarity >= FUZZY_LIMIT))
         exact_name = [_any([equals(F.col(c), name) for c in names] + [compact(F.col("normalized_search_name")) == name.replace(" ", "")]), F.col("_named")]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import indel_ratio, sequence_ratio, token_sort_ratio, trigram_similarity, word_similarity
-from ..operators import assess
-from ..operators.search import scored, top
+from ..operators import assess, trigrams
+from ..operators.search import NAMES, scored, top
 from ..sources.driver import Domain
+from ..sources.store import once
 from .registry import query
 
 _C = "contains(lower({0}), '{1}')"
@@ -16,7 +17,12 @@ _C = "contains(lower({0}), '{1}')"
 
 def _search(d: Domain, fields: dict[str, str], fuzzy: bool = False) -> DataFrame:
     po = d.product_organizations().join(d.organizations(), F.col("organization_id") == F.col("id")).select("product_id", "name", "normalized_name")
-    return scored(d.products(), po, d.product_ingredients(), d.batches(), fields, fuzzy)
+    return scored(d.products(), po, d.product_ingredients(), d.batches(), fields, fuzzy, name_index(d) if fuzzy and fields.get("name") else None)
+
+
+def name_index(d: Domain) -> trigrams.NameIndex:
+    """The trigram index of the products' names, written at its first use and again when their files change."""
+    return trigrams.build(d.products(), NAMES, lambda name, build: once(d.spark, d.sf_dir, f"trigram_{name}", build))
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -25,20 +31,42 @@ def _columns(df: DataFrame) -> DataFrame:
 
 def flagship(d: Domain) -> DataFrame:
     """Search by name, rank, keep the best and assess them."""
-    best = top(_search(d, {"name": "small ring"}), 50)
+    best = top(_search(d, {"name": "small ring"}, fuzzy=True), 50)
     events = d.events().withColumn("status", F.col("event_type"))
     some = events.join(F.broadcast(best.select(F.col("id").alias("product_id"))), "product_id", "left_semi")  # at most 100 rows
     return assess.assessed(best, some, ["event_date", "batch_number", "organization_id"]).select("id", "product_name", "brand_name", "relevance", "match_type", "has_more", "n_events", "indicator", "template_id", "summary")
 
 
-_NAME_SQL = """, f AS (SELECT p.*, coalesce(i.hit0, false) AS hit0, coalesce(i.hit1, false) AS hit1, coalesce(i.named, false) AS named FROM products p LEFT JOIN
-  (SELECT product_id, bool_or(contains(lower(name), 'small') OR contains(strength_text, 'small')) AS hit0, bool_or(contains(lower(name), 'ring') OR contains(strength_text, 'ring')) AS hit1, bool_or(lower(name) = 'small ring') AS named FROM product_ingredients GROUP BY product_id) i ON p.id = i.product_id),
-m AS (SELECT *, lower(product_name) = 'small ring' OR lower(brand_name) = 'small ring' OR replace(normalized_search_name, ' ', '') = 'smallring' OR named AS is_exact,
-  contains(lower(product_name), 'small ring') OR contains(lower(brand_name), 'small ring') AS is_partial FROM f
-  WHERE (contains(lower(product_name), 'small') OR contains(lower(brand_name), 'small') OR hit0) AND (contains(lower(product_name), 'ring') OR contains(lower(brand_name), 'ring') OR hit1)),
-r AS (SELECT id, product_name, brand_name, CASE WHEN is_exact THEN 100 WHEN is_partial THEN 80 ELSE 60 END::INT AS relevance, CASE WHEN is_exact THEN 'EXACT' ELSE 'PARTIAL' END AS match_type FROM m),
+#: Trigrams of a text's words, in their order.
+_ORDERED = r"flatten(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+
+
+def _similar_sql(query: str) -> str:
+    """sim(nm, s): the word similarity of every name with the query, over all runs of the name's trigrams."""
+    q = _ORDERED.format(f"'{query}'")
+    shared, other = (f"len(list_distinct(list_filter(x, lambda y: {no}list_contains(q, y))))" for no in ("", "NOT "))
+    return f""", nm AS (SELECT DISTINCT unnest([lower(product_name), lower(brand_name), lower(normalized_search_name)]) AS nm FROM products), gr AS (SELECT nm, {_ORDERED.format('nm')} AS g, list_distinct({q}) AS q FROM nm),
+ runs AS (SELECT nm, q, g[i:j] AS x FROM (SELECT nm, g, q, i, unnest(range(i, len(g) + 1)) AS j FROM (SELECT nm, g, q, unnest(range(1, len(g) + 1)) AS i FROM gr))),
+ sim AS (SELECT nm, max({shared}::DOUBLE / (len(q) + {other})) AS s FROM runs GROUP BY nm)"""
+
+
+def _name_sql(query: str, fuzzy: bool) -> str:
+    """r: all matches of a name of two words; t: the best 50."""
+    a, b = query.split()
+    token = lambda t, i: f"(contains(lower(product_name), '{t}') OR contains(lower(brand_name), '{t}') OR hit{i})"
+    hit = f"{token(a, 0)} AND {token(b, 1)}"
+    near = "greatest(coalesce(x.s, 0), coalesce(y.s, 0), coalesce(z.s, 0))" if fuzzy else "0.0"
+    names = "LEFT JOIN sim x ON x.nm = lower(product_name) LEFT JOIN sim y ON y.nm = lower(brand_name) LEFT JOIN sim z ON z.nm = lower(normalized_search_name)" if fuzzy else ""
+    return f"""{_similar_sql(query) if fuzzy else ''}, f AS (SELECT p.*, coalesce(i.hit0, false) AS hit0, coalesce(i.hit1, false) AS hit1, coalesce(i.named, false) AS named, {near} AS s FROM products p LEFT JOIN
+  (SELECT product_id, bool_or(contains(lower(name), '{a}') OR contains(strength_text, '{a}')) AS hit0, bool_or(contains(lower(name), '{b}') OR contains(strength_text, '{b}')) AS hit1, bool_or(lower(name) = '{query}') AS named FROM product_ingredients GROUP BY product_id) i ON p.id = i.product_id {names}),
+m AS (SELECT *, lower(product_name) = '{query}' OR lower(brand_name) = '{query}' OR replace(normalized_search_name, ' ', '') = '{a}{b}' OR named AS is_exact, contains(lower(product_name), '{query}') OR contains(lower(brand_name), '{query}') AS is_partial FROM f WHERE {hit} OR s >= 0.55),
+r AS (SELECT id, product_name, brand_name, CASE WHEN is_exact THEN 100 WHEN is_partial THEN 80 WHEN s >= 0.55 THEN round(60 + s * 20) ELSE 60 END::INT AS relevance, CASE WHEN is_exact THEN 'EXACT' WHEN is_partial THEN 'PARTIAL' WHEN s >= 0.55 THEN 'FUZZY' ELSE 'PARTIAL' END AS match_type FROM m),
 t AS (SELECT *, (SELECT count(*) FROM r) > 50 AS has_more FROM r ORDER BY relevance DESC, product_name, id LIMIT 50)"""
 
+
+_NAME_SQL = _name_sql("small ring", False)
+
+
 _ASSESS_SQL = """, a AS (SELECT product_id, count(*) AS n_events, bool_or(coalesce(legal_status, '') = 'STAYED') AS uncertain,
   arg_min({'scope': scope, 'legal_status': legal_status, 'batch_number': batch_number}, {'d': event_date, 'b': batch_number, 'o': organization_id, 's': scope, 'l': legal_status, 'r': reason}) FILTER (legal_status = 'PROHIBITED') AS r,
   arg_min({'scope': scope, 'reason': reason, 'batch_number': batch_number}, {'d': event_date, 'b': batch_number, 'o': organization_id, 's': scope, 'l': coalesce(legal_status, ''), 'r': reason, 't': event_type}) FILTER (event_type IN ('NSQ', 'RECALL')) AS c
@@ -52,7 +80,7 @@ o AS (SELECT *, CASE template_id WHEN 'NO_MATCHING_ALERT' THEN 'GREEN' WHEN 'LEG
     WHEN 'LEGAL_RESTRICTION' THEN 'An applicable ' || lower(r.scope) || '-level legal ' || lower(r.legal_status) || ' is recorded for batch ' || r.batch_number || '. Review the official source record for details.'
     ELSE 'A ' || lower(c.scope) || '-level regulatory concern is recorded for batch ' || c.batch_number || '. Reason recorded: ' || c.reason || '. Review the official source record for details.' END AS summary FROM v)"""
 
-query("R16_flagship_search_assessment", _NAME_SQL + _ASSESS_SQL.replace("{source}", "t") + " SELECT id, product_name, brand_name, relevance, match_type, has_more, n_events, indicator, template_id, summary FROM o", domain=True)(flagship)
+query("R16_flagship_search_assessment", _name_sql("small ring", True) + _ASSESS_SQL.replace("{source}", "t") + " SELECT id, product_name, brand_name, relevance, match_type, has_more, n_events, indicator, template_id, summary FROM o", domain=True)(flagship)
 
 
 @query("R16_safety_assessment", _ASSESS_SQL.replace("{source}", "products") + " SELECT id, n_events, indicator, template_id, summary FROM o", domain=True)
@@ -108,7 +136,7 @@ def batch_existence(d: Domain) -> DataFrame:
     return _columns(_search(d, {"batch_number": "b-1-"}))
 
 
-@query("R15_fuzzy_search")
+@query("R15_fuzzy_search", _name_sql("smal ring", True) + " SELECT id, product_name, brand_name, relevance, match_type, has_more FROM t", domain=True)
 def fuzzy_search(d: Domain) -> DataFrame:
     return _columns(top(_search(d, {"name": "smal ring"}, fuzzy=True), 50))
 
@@ -184,7 +212,7 @@ def lookup(d: Domain) -> DataFrame:
     return d.products().filter("id = 7")
 
 
-@query("F34_word_similarity")
+@query("F34_word_similarity", _similar_sql("smal ring") + " SELECT id, coalesce(s, 0)::DOUBLE AS similarity FROM products LEFT JOIN sim ON nm = lower(product_name)", domain=True)
 def similar_words(d: Domain) -> DataFrame:
     return d.products().select("id", word_similarity(F.lit("smal ring"), F.col("product_name")).alias("similarity"))
 

@@ -126,10 +126,42 @@ def test_fuzzy_search_equals_all_names(spark):
         assert got == want | hits, term
 
 
+def test_trigram_index_finds_all_that_a_scan_finds(spark, tmp_path):
+    """Recall 1.0 for typos, common trigrams, other scripts and short names; only candidates are compared."""
+    from medlattice.functions.fuzzy import word_similarity_of
+    from medlattice.operators import trigrams
+
+    rng = random.Random(8)
+    parts = ["para", "ceta", "mol", "tab", "amox", "icill", "in", "клав", "टैब", "x1"]
+    names = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) + rng.choice(["", " tablet", " tablet 500", " Forte"]) for _ in range(400)] + ["", "tablet", None, "¹²³"]
+    rows = [(i, n, rng.choice([None, "Brand x"]), (n or "").lower()) for i, n in enumerate(names)] + [(0, "paracetamol", None, None)]
+    p = spark.createDataFrame(rows, "id long, product_name string, brand_name string, normalized_search_name string")
+
+    def stored(name, build):
+        build().write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    index = trigrams.build(p, search.NAMES, stored)
+    for query in ("paracetamol", "tablet", "paracetmol tablt", "амоx клав", "टैब", "in", "amoxicillin forte", "zzz", "..", "brand"):
+        want = {}
+        for i, *own in rows:
+            best = max(word_similarity_of(query, n) for n in own if n is not None) if any(n is not None for n in own) else 0
+            if best >= search.FUZZY_LIMIT:
+                want[i] = max(best, want.get(i, 0))
+        for found in (trigrams.similarities(index, query, search.FUZZY_LIMIT), trigrams.scanned(p, search.NAMES, query, search.FUZZY_LIMIT)):
+            assert {r.id: round(r.similarity, 9) for r in found.collect()} == {i: round(s, 9) for i, s in want.items()}, query
+    assert trigrams.candidates(index, "paracetamol", search.FUZZY_LIMIT).count() < index.names.count() / 3
+    none = spark.createDataFrame([], "product_id long, name string, normalized_name string, strength_text string")
+    full = p.withColumns({"dosage_form": F.lit("Tablet"), "strength": F.lit("1 mg")})
+    for query in ("tablet 50", "tab"):
+        by_index, by_scan = (sorted(map(str, search.scored(full, none, none, none, {"name": query}, index=x).collect())) for x in (index, None))
+        assert by_index == by_scan and by_scan
+
+
 def test_top_plans_the_search_once(shelf):
     best = search.top(search.scored(*shelf, {"name": "crocin"}), 2)
     plan = best._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("MapInPandas") == 1 and "Join" not in plan.split("MapInPandas")[0]
+    assert plan.count("MapInPandas") == 1 and plan.count("TakeOrdered") == 2
 
 
 def test_limit_tells_more(shelf):
