@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.snapshots import Snapshots
+from .stage import read_csv
 
 TABLE = "table"
 
@@ -32,6 +33,24 @@ def run_manifest(documents: DataFrame, run: str, at: str, is_pdf: Column) -> Dat
     return g.withColumn("body", F.to_json(F.struct("run_id", "documents_count", "has_pdfs", "triggered_on")))
 
 
+#: Names of the result objects of stages.
+STAGE_RESULTS = {"extractor": "extracted", "classifier": "classified", "parser": "parsed", "normalizer": "normalized", "ingester": "ingested", "processor": "processor", "profiler": "profiled"}
+
+
+def stage_results(results: DataFrame, prefix: str) -> DataFrame:
+    """(run_id, stage, key, body, error) of results(run_id, stage, ...): one object a row, all other columns as its JSON body.
+
+    The key is ``prefix``/runs/<run>/results/<name>.json. A run that is no path
+    segment, or a stage without a result, gives an error and neither key nor body.
+    """
+    run, stage = F.coalesce(F.col("run_id").cast("string"), F.lit("")), F.coalesce(F.col("stage"), F.lit(""))
+    name = F.try_element_at(F.create_map(*[F.lit(x) for kv in STAGE_RESULTS.items() for x in kv]), stage)
+    error = F.when(run.isin("", ".", "..") | run.rlike(r"[/\\]"), "run_id must be a non-empty path segment").when(name.isNull(), F.concat(F.lit("unsupported result stage: "), stage))
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in results.columns if c not in ("run_id", "stage")]), {"ignoreNullFields": "false"})
+    key = F.concat(F.lit(f"{prefix}/runs/"), run, F.lit("/results/"), name, F.lit(".json"))
+    return results.select(run.alias("run_id"), stage.alias("stage"), F.when(error.isNull(), key).alias("key"), F.when(error.isNull(), body).alias("body"), error.alias("error"))
+
+
 def recorded(scans: DataFrame, outcomes: DataFrame, key: str, status: Column) -> DataFrame:
     """scans with their status: ``processing`` when inserted, then what the outcome says, ``failed`` where it says nothing."""
     o = outcomes.select(key, status.alias("_status"), F.lit(True).alias("_done"))
@@ -132,3 +151,18 @@ def inspected(relations: dict[str, DataFrame], n: int = 3) -> DataFrame:
         lines = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "content"))), lambda x: x["content"]).alias("c")).select(F.lit(name).alias("relation"), F.posexplode("c").alias("line", "content"))
         parts += [head, lines.select("relation", (F.col("line") + 1).alias("line"), "content")]
     return reduce(DataFrame.unionByName, parts)
+
+
+def inspected_folder(spark: SparkSession, folder: str, n: int = 3) -> DataFrame:
+    """``inspected`` of every subfolder with CSV files, named by its path below ``folder``; all cells are texts."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names, root = set(), fs.makeQualified(base).toString()
+    files = fs.listFiles(base, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().lower().endswith(".csv"):
+            names.add(path.getParent().toString().removeprefix(root).strip("/"))
+    if not names:
+        return spark.createDataFrame([], "relation string, line int, content string")
+    return inspected({name: read_csv(spark, f"{folder}/{name}") for name in sorted(names)}, n)

@@ -69,6 +69,18 @@ def run_manifest(d: Domain) -> DataFrame:
     return sinks.run_manifest(d.table("events"), "user_id", "ts", F.col("value") > 100)
 
 
+_STAGES = {"view": "processor", "click": "extractor", "purchase": "ingester", "signup": "classifier"}
+
+
+@query("K07_stage_results", "WITH r AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'processor' WHEN 'click' THEN 'extractor' WHEN 'purchase' THEN 'ingester' WHEN 'signup' THEN 'classifier' ELSE event_type END AS stage, count(*) AS n FROM events GROUP BY ALL) SELECT CASE WHEN user_id % 10 = 0 THEN 'a/' || user_id ELSE user_id::VARCHAR END AS run_id, stage, CASE WHEN user_id % 10 > 0 AND stage <> 'error' THEN 'out/runs/' || user_id || '/results/' || CASE stage WHEN 'processor' THEN 'processor' WHEN 'extractor' THEN 'extracted' WHEN 'ingester' THEN 'ingested' ELSE 'classified' END || '.json' END AS key, CASE WHEN user_id % 10 > 0 AND stage <> 'error' THEN '{\"events\":' || n || ',\"note\":null}' END AS body, CASE WHEN user_id % 10 = 0 THEN 'run_id must be a non-empty path segment' WHEN stage = 'error' THEN 'unsupported result stage: error' END AS error FROM r")
+def stage_results(d: Domain) -> DataFrame:
+    """What each stage of a run leaves; runs whose name has a slash, and events without a stage, give errors."""
+    stage = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _STAGES.items() for x in kv]), F.col("event_type")), F.col("event_type"))
+    run = F.concat(F.when(F.col("user_id") % 10 == 0, "a/").otherwise(""), F.col("user_id").cast("string"))
+    counts = d.table("events").groupBy(run.alias("run_id"), stage.alias("stage")).agg(F.count(F.lit(1)).alias("events"), F.lit(None).cast("string").alias("note"))
+    return sinks.stage_results(counts, "out")
+
+
 @query("K08_atomic_rewrite", "SELECT 'now' AS version, n_nationkey FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 'kept', n_nationkey FROM nation")
 def atomic_rewrite(d: Domain) -> DataFrame:
     path, nation = f"{_folder(d, 'rewrite')}/nation", d.table("nation")
@@ -106,6 +118,18 @@ def inspection(d: Domain) -> DataFrame:
     return sinks.inspected({"nation": d.table("nation"), "region": d.table("region")})
 
 
+_LISTED = "(SELECT '{0}/{1}' AS relation, 0 AS line, '{2}' AS content) UNION ALL (SELECT '{0}/{1}', row_number() OVER (ORDER BY {3})::INT AS line, {4} FROM {1} QUALIFY line <= 2)"
+
+
+@query("S25_folder_inspection", _LISTED.format("a", "nation", "n_nationkey,n_name,n_regionkey", "n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR", "n_nationkey || ',' || n_name || ',' || n_regionkey") + " UNION ALL " + _LISTED.format("b", "region", "r_regionkey,r_name", "r_regionkey::VARCHAR, r_name", "r_regionkey || ',' || r_name"))
+def folder_inspection(d: Domain) -> DataFrame:
+    """Two tables as CSV in folders of folders, beside one that has other files."""
+    folder = _folder(d, "listed")
+    for name, kind in (("a/nation", "csv"), ("b/region", "csv"), ("b/other", "json")):
+        d.table("nation" if "nation" in name else "region").write.format(kind).option("header", True).save(f"{folder}/{name}")
+    return sinks.inspected_folder(d.spark, folder, 2)
+
+
 @query("F47_role_rows", "SELECT p_partkey, p_brand AS organization, 'MANUFACTURER' AS role FROM part UNION ALL SELECT p_partkey, p_type, 'IMPORTER' FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, p_name, 'APPLICANT' FROM part WHERE p_size > 25")
 def role_rows(d: Domain) -> DataFrame:
     roles = {"MANUFACTURER": F.col("p_brand"), "IMPORTER": F.when(F.col("p_size") % 2 == 0, F.col("p_type")), "APPLICANT": F.when(F.col("p_size") > 25, F.col("p_name")), "MARKETING_AUTHORIZATION_HOLDER": F.lit(None).cast("string")}
