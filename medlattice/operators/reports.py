@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import blank, words
+from .runs import positions
 
 
 def category_metrics(rows: DataFrame, category: str, counts: dict[str, Column]) -> DataFrame:
@@ -32,15 +33,17 @@ def part_rollup(parts: DataFrame, doc: str, kind: str, rank: str, usable: str, p
 def schema_inventory(tables: DataFrame, variants: int = 3) -> DataFrame:
     """Table schemas by signature with counts, their commonest variants and an id by rank.
 
-    tables(signature, document, n_rows, variant). There are as many rows to rank
-    as signatures.
+    tables(signature, document, n_rows, variant). Signatures are ranked in
+    buckets of equal counts and first letters, so not all in one task.
     """
     g = tables.groupBy("signature").agg(F.count(F.lit(1)).alias("tables"), F.countDistinct("document").alias("documents"), F.sum("n_rows").cast("long").alias("total_rows"), F.max("n_rows").cast("long").alias("max_rows"))
     v = tables.groupBy("signature", "variant").agg(F.count(F.lit(1)).alias("n"))
     v = v.withColumn("r", F.row_number().over(Window.partitionBy("signature").orderBy(F.desc("n"), "variant"))).filter(F.col("r") <= variants)
     v = v.groupBy("signature").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "variant"))), lambda x: x["variant"]), " | ").alias("variants"))
-    rank = F.row_number().over(Window.orderBy(F.desc("documents"), F.desc("total_rows"), "signature"))
-    return g.join(v, "signature").select(F.format_string("T%03d", rank).alias("schema_id"), "signature", "tables", "documents", "total_rows", "max_rows", "variants")
+    fewer = lambda c: F.lpad((F.lit(10**18) - F.coalesce(c, F.lit(0))).cast("string"), 19, "0")
+    bucket = F.concat(fewer(F.col("documents")), fewer(F.col("total_rows")), F.substring(F.coalesce("signature", F.lit("")), 1, 2))
+    ranked = positions(g.join(v, "signature"), bucket, [F.desc("documents"), F.desc("total_rows"), F.col("signature")], "_rank")
+    return ranked.select(F.format_string("T%03d", "_rank").alias("schema_id"), "signature", "tables", "documents", "total_rows", "max_rows", "variants")
 
 
 def extraction_quality(blocks: DataFrame, doc: str, block: str, chars: int = 200, good: int = 2) -> DataFrame:
