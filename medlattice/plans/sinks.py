@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest, sinks, stage
+from ..sources import history
 from ..sources.driver import Domain
 from ..sources.store import shared_folder
 from ..streaming import approvals
@@ -112,6 +113,20 @@ def metadata_override(d: Domain) -> DataFrame:
     return sinks.overridden(d.table("documents").select("doc_id", F.col("source").alias("title"), "lang"), fixed, "doc_id")
 
 
+@query("S17_paged_history", "SELECT 'orders' AS kind, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, o_orderkey::VARCHAR AS k, NULL::VARCHAR AS error FROM orders WHERE month(o_orderdate) <> 2 UNION ALL SELECT DISTINCT 'orders', year(o_orderdate)::INT, 2, NULL, 'unexpected shape: no list of aaData' FROM orders WHERE month(o_orderdate) = 2 UNION ALL SELECT 'parts', 2000, p_size::INT, p_partkey::VARCHAR, NULL FROM part")
+def paged_history(d: Domain) -> DataFrame:
+    """Orders as answers of their months, those of February in another shape, and parts as a second kind."""
+    folder = _folder(d, "history")
+    answer = lambda list_, bad: F.to_json(F.when(bad, F.struct(F.lit(None).cast("array<struct<k:string>>").alias("aaData"), F.lit("down").alias("state"))).otherwise(F.struct(list_.alias("aaData"), F.lit(None).cast("string").alias("state"))))
+    listed = F.collect_list(F.struct("k"))  # an answer is a month's page
+    o = d.table("orders").select(F.lit("orders").alias("kind"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.col("o_orderkey").cast("string").alias("k"))
+    p = d.table("part").select(F.lit("parts").alias("kind"), F.lit(2000).alias("year"), F.col("p_size").cast("int").alias("month"), F.col("p_partkey").cast("string").alias("k"))
+    pages = o.unionByName(p).groupBy("kind", "year", "month").agg(answer(listed, (F.first("kind") == "orders") & (F.first("month") == 2)).alias("value"))
+    pages.write.partitionBy("kind", "year", "month").text(folder)
+    r = history.records(history.answers(d.spark, folder, ["orders", "parts"]))
+    return r.select("kind", "year", "month", F.try_element_at("record", F.lit("k")).alias("k"), "error")
+
+
 @query("S25_inspection", """SELECT 'nation' AS relation, 0 AS line, 'n_nationkey,n_name,n_regionkey' AS content UNION ALL SELECT 'region', 0, 'r_regionkey,r_name' UNION ALL (SELECT 'nation', row_number() OVER (ORDER BY n_nationkey, n_name, n_regionkey)::INT AS line, n_nationkey || ',' || n_name || ',' || n_regionkey FROM nation QUALIFY line <= 3)
  UNION ALL (SELECT 'region', row_number() OVER (ORDER BY r_regionkey, r_name)::INT AS line, r_regionkey || ',' || r_name FROM region QUALIFY line <= 3)""")
 def inspection(d: Domain) -> DataFrame:
