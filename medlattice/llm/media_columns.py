@@ -49,6 +49,8 @@ from .common import Staged, bound_batches, narrow, table
 UNIT, TAIL = 64, 64
 #: Payload bytes of one shard; the first bytes of a member that hold all its metadata; bytes of media in one Arrow batch.
 SHARD_BYTES, HEADER, BATCH_BYTES = 64 << 20, 33, 8 << 20
+#: Bytes of a shard that are swept together, so that a task's share doesn't grow with its shards.
+RANGE_BYTES = 8 << 20
 #: Digests a task remembers in order to drop repeats; what it forgets, the shard's task drops.
 REMEMBERED = 1_000_000
 #: Hashes of payloads that occur again, eight bytes each, that are sent to all tasks.
@@ -242,7 +244,7 @@ class Read(NamedTuple):
 
 
 def sweep(manifest: DataFrame, folder: str, *reads: Read) -> DataFrame:
-    """manifest with the fields of all reads of each member; a shard is opened once and read in the order of its offsets."""
+    """manifest with the fields of all reads of each member; a range of a shard is opened once and read in the order of its offsets."""
     ddl = ", ".join(r.fields for r in reads)
     kinds = dict(_MANIFEST_KINDS) | {f.split()[0]: {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[f.split()[1]] for f in ddl.split(", ")}
 
@@ -266,7 +268,8 @@ def sweep(manifest: DataFrame, folder: str, *reads: Read) -> DataFrame:
             if file is not None:
                 file.close()
 
-    places = manifest.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
+    piece = F.floor(F.col("offset") / RANGE_BYTES)
+    places = manifest.select("digest", "shard", "offset", "length").repartition("shard", piece).sortWithinPartitions("shard", "offset")
     return places.mapInArrow(run, f"{_MANIFEST}, {ddl}")
 
 
