@@ -117,3 +117,18 @@ def test_field_tiers(spark):
 def test_records_of(spark):
     r = one(spark, records.records_of(lit('{"a":1,"rows":[{"x":"1"},{"x":2}]}')), records.records_of(lit('[{"x":"1"}]')), records.records_of(lit('{"x":"1"}')))
     assert r[0] == [{"x": "1"}, {"x": "2"}] and r[1] == [{"x": "1"}] and r[2] == [{"x": "1"}]
+
+
+def test_plain_texts_skip_the_patterns(spark):
+    """What the shortcuts tell to be plain gives what the patterns give."""
+    for t, name in (("acme labs", "acme labs"), ("co", ""), ("acme co", "acme"), ("co op", "op"), ("cold ring", "cold ring"), ("a  b ", "a b"), ("9", "9")):
+        assert one(spark, text.canonical(lit(t)).alias("c")).c == name, t
+    for t, name in (("Supplier#01", "Supplier#01"), ("M/s Acme", "Acme"), ("Acme batch no 4", "Acme"), ("A  B", "A B"), ("", "")):
+        assert tuple(one(spark, text.organization_and_address(lit(t)).alias("c")).c) == (name, ""), t
+    for t, items, form in (("large ring", ["large ring"], ""), ("ring syrup", ["ring"], "SYRUP"), ("ring and bolt", ["ring", "bolt"], ""), ("ring 5 mg", ["ring"], ""), ("500", [], "")):
+        r = one(spark, text.formulation(lit(t)).alias("c")).c
+        assert ([i.name for i in r.ingredients], r.dosage_form) == (items, form), t
+
+
+def test_trim_space_leaves_only_the_middle(spark):
+    assert list(one(spark, text.trim_space(lit(" \t\n\x0b\f\r a  b  \n")), text.trim_space(lit("  ")))) == ["a  b", ""]
