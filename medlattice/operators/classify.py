@@ -249,8 +249,11 @@ def ensemble(bucket: Column, model: Column, confidence: Column) -> Column:
 
 
 def averaged(samples: DataFrame, relevant: tuple[str, ...], uniform: float = 0.34) -> DataFrame:
-    """(doc_id, top_label, top_score, verdict) from samples(doc_id, label, score): the mean score of each label."""
-    mean = samples.groupBy("doc_id", "label").agg(F.avg("score").alias("score"))
+    """(doc_id, top_label, top_score, verdict) from samples(doc_id, label, score): the mean score of each label.
+
+    Means are rounded where the order of a sum shows, so that equal ones are equal in whatever order rows come.
+    """
+    mean = samples.groupBy("doc_id", "label").agg(F.round(F.avg("score"), 9).alias("score"))
     top = mean.groupBy("doc_id").agg(F.max_by(F.struct("label", "score"), F.struct("score", "label")).alias("t"))
     v = F.when(F.col("t.score") <= uniform, "needs_review").when(F.col("t.label").isin(*relevant), "relevant").otherwise("not_relevant")
     return top.select("doc_id", F.col("t.label").alias("top_label"), F.round("t.score", 4).alias("top_score"), v.alias("verdict"))
