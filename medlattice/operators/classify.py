@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -181,15 +182,15 @@ def _near(values: DataFrame, names: DataFrame, limit: float) -> DataFrame:
 def header_category_of(value: str) -> str | None:
     """Category of a table header: equal to a pattern, holding one as words, or close to one."""
     text = " ".join(re.findall("[a-z0-9]+", (value or "").lower()))
-    best, top = None, 84.0
+    best, top, letters = None, 84.0, Counter(text)
     for category, patterns in HEADERS.items() if text else ():
         for p in patterns:
             if text == p:
                 score = 200.0 + len(p)
             elif f" {p} " in f" {text} ":
                 score = 100.0 + len(p)
-            elif 8 <= len(text) <= 64 and len(p) >= 8:
-                score = indel_ratio_of(text, p)
+            elif 8 <= len(text) <= 64 and len(p) >= 8 and 200.0 * (letters & Counter(p)).total() / (len(text) + len(p)) > top:
+                score = indel_ratio_of(text, p)  # no common subsequence is longer than the letters that both have
             else:
                 continue
             if score > top:
@@ -198,8 +199,8 @@ def header_category_of(value: str) -> str | None:
 
 
 def _categories(values: pd.Series) -> pd.Series:
-    known: dict[str | None, str | None] = {}
-    return values.map(lambda v: known.setdefault(v, header_category_of(v)))
+    known = {v: header_category_of(v) for v in values.unique()}
+    return values.map(lambda v: known[v])
 
 
 header_category = F.pandas_udf(_categories, T.StringType())
