@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,17 +69,16 @@ def is_boilerplate(text: Column) -> Column:
 
 
 def _span(t: Column, pattern: str) -> Column:
-    """(begin, end) of the first match, by the text that stands before it; null without one."""
-    found = F.regexp_extract(t, f"({pattern})", 1)
+    """(begin, end) of the first match of a pattern that is there, by the text that stands before it."""
     before = F.length(F.get(F.split(t, pattern, 2), 0))
-    return F.when(t.rlike(pattern), F.struct(before.alias("a"), (before + F.length(found)).alias("b")))
+    return F.struct(before.alias("a"), (before + F.length(F.regexp_extract(t, f"({pattern})", 1))).alias("b"))
 
 
 def same_window(t: Column, patterns: tuple[str, ...], chars: int = 200) -> Column:
-    """Whether the first matches of all patterns lie within ``chars`` characters."""
+    """Whether the first matches of all patterns lie within ``chars`` characters; places are sought only where all match."""
     spans = F.array(*[_span(t, p) for p in patterns])
-    near = F.array_max(F.transform(spans, lambda s: s["b"])) - F.array_min(F.transform(spans, lambda s: s["a"])) <= chars
-    return F.forall(spans, lambda s: s.isNotNull()) & F.coalesce(near, F.lit(False))
+    near = bound(spans, lambda s: F.array_max(F.transform(s, lambda x: x["b"])) - F.array_min(F.transform(s, lambda x: x["a"])) <= chars)
+    return F.when(reduce(and_, [t.rlike(p) for p in patterns]), near).otherwise(False)
 
 
 def field_signals(text: Column, batch: Column | None = None) -> Column:
@@ -137,22 +139,27 @@ def _usable(archetype: Column, is_table: Column, fields: Column, product_type: C
     own = F.coalesce(F.when(is_table, known(TABLE_CLASS)).otherwise(known(TEXT_CLASS)), F.struct(F.lit(UNUSABLE).alias("class"), F.lit("P3").alias("priority")))
     window = ~is_table & archetype.isin("P1", "P2") & ~quality_window
     action = ~is_table & archetype.isin("P5", "P6") & ~((fields["specific_batch"] | fields["specific_product"]) & fields["action_verb"])
-    lacks = F.when(is_table, needed(TABLE_FIELDS)).otherwise(needed(TEXT_FIELDS))
-    missing = F.when(window, "missing:" + ",".join(QUALITY_FIELDS) + "_window").when(action, "missing:specific_action").when(lacks != "", F.concat(F.lit("missing:"), lacks))
     later = F.struct(F.lit(LATER).alias("class"), F.lit("P2").alias("priority"))
+    weak = F.coalesce(confidence < LOW_CONFIDENCE, F.lit(False))
 
-    def step(value: Column, when: Column) -> Column:
-        return F.when(when, later).otherwise(value)
+    # every value that is used more than once is bound, as nothing within a lambda is shared
+    def with_missing(x: Column) -> Column:
+        missing = F.when(window, "missing:" + ",".join(QUALITY_FIELDS) + "_window").when(action, "missing:specific_action").when(x["lacks"] != "", F.concat(F.lit("missing:"), x["lacks"]))
+        return bound(F.struct(x["own"].alias("own"), missing.alias("missing")), put_off)
+
+    def put_off(x: Column) -> Column:
+        usable = x["missing"].isNull() & (x["own"]["class"] == USABLE)
+        outside = F.coalesce(product_type.isin(*OUT_OF_SCOPE), F.lit(False)) & usable
+        return bound(F.struct(x["own"].alias("own"), x["missing"].alias("missing"), usable.alias("usable"), outside.alias("outside"), (weak & usable & ~outside).alias("unclear")), result)
+
+    def result(x: Column) -> Column:
+        final = F.when(x["missing"].isNotNull() | x["outside"] | x["unclear"], later).otherwise(x["own"])
+        flags = F.array_compact(F.array(x["missing"], F.when(x["outside"], F.concat(F.lit("out_of_medicine_scope:"), product_type)), F.when(weak, "low_ocr_confidence"), F.when(x["unclear"], "deferred_pending_ocr_review"), F.when(x["usable"] & ~x["outside"] & ~x["unclear"], "evidence_review_required")))
+        return F.struct(final["class"].alias("class"), final["priority"].alias("priority"), flags.alias("flags"))
 
-    first = step(own, missing.isNotNull())
-    outside = F.coalesce(product_type.isin(*OUT_OF_SCOPE), F.lit(False)) & (first["class"] == USABLE)
-    second = step(first, outside)
-    weak = F.coalesce(confidence < LOW_CONFIDENCE, F.lit(False))
-    put_off = weak & (second["class"] == USABLE)
-    third = step(second, put_off)
-    flags = F.array_compact(F.array(missing, F.when(outside, F.concat(F.lit("out_of_medicine_scope:"), product_type)), F.when(weak, "low_ocr_confidence"), F.when(put_off, "deferred_pending_ocr_review"), F.when(third["class"] == USABLE, "evidence_review_required")))
     none = F.struct(F.lit(UNUSABLE).alias("class"), F.lit("P3").alias("priority"), F.array(F.lit("unmapped_taxonomy")).alias("flags"))
-    return F.when(archetype.isNull(), none).otherwise(F.struct(third["class"].alias("class"), third["priority"].alias("priority"), flags.alias("flags")))
+    lacks = F.when(is_table, needed(TABLE_FIELDS)).otherwise(needed(TEXT_FIELDS))
+    return F.when(archetype.isNull(), none).otherwise(bound(F.struct(own.alias("own"), lacks.alias("lacks")), with_missing))
 
 
 def context_archetype(source: Column, filename: Column) -> Column:
