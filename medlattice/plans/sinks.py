@@ -169,8 +169,10 @@ def _messages(d: Domain) -> DataFrame:
 
 def _consumed(d: Domain, publish=None) -> DataFrame:
     folder, m = _folder(d, "queue"), _messages(d)
-    m.repartition(3).write.parquet(f"{folder}/in")
-    stream = streaming.parsed(streaming.file_stream(d.spark, f"{folder}/in", m.schema))
+    # three batches, each of as many files as there are tasks to parse them
+    files = min(d.spark.sparkContext.defaultParallelism, 32)
+    m.repartition(3 * files).write.parquet(f"{folder}/in")
+    stream = streaming.parsed(streaming.file_stream(d.spark, f"{folder}/in", m.schema, files))
     streaming.consume(stream.filter("not bad"), f"{folder}/out", f"{folder}/state", publish).awaitTermination()
     return d.spark.read.parquet(f"{folder}/out")
 

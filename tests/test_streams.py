@@ -83,3 +83,15 @@ def test_consume_reads_nothing_that_is_stored(spark, tmp_path):
     messages(spark, range(3)).write.parquet(f"{tmp_path}/in")
     events.consume(spark.readStream.schema(messages(spark, [1]).schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/batch=0").count() == 3
+
+
+def test_messages_of_a_batch_are_parsed_by_all_tasks(spark, monkeypatch):
+    """Each of three batches was one file, and parsing it was left to the task that read it."""
+    from medlattice.plans import sinks
+    from medlattice.sources.driver import Domain
+
+    asked, real = [], events.file_stream
+    monkeypatch.setattr(events, "file_stream", lambda s, folder, schema, files=1: asked.append(files) or real(s, folder, schema, files))
+    batches = []
+    n = sinks._consumed(Domain(spark, "/root/testdata/sf0.001"), lambda b: batches.append(b.count())).count()
+    assert asked == [spark.sparkContext.defaultParallelism] and len(batches) == 3 and sum(batches) == n > 0
