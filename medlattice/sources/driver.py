@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a table's files whose rows one task meets where rows are held by key: as many at any size of the table.
+TASK_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +22,13 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def dealt(self, name: str, key: str, by: str | None = None) -> DataFrame:
+        """A table dealt by a key to tasks whose number follows the bytes of the table's files, or of those of ``by``."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{by or name}.parquet")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        n = max(self.spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(path).getLength() // TASK_BYTES))
+        return self.table(name).repartition(n, key)
+
     def products(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand_name"), F.lower("p_name").alias("normalized_search_name"), F.col("p_type").alias("dosage_form"), F.concat(F.col("p_size").cast("string"), F.lit(" mg")).alias("strength"))
 
@@ -27,7 +37,7 @@ class Domain:
         return self.table("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lower("s_name").alias("normalized_name"), F.col("n_name").alias("state"), F.col("r_name").alias("country"))
 
     def product_organizations(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("organization_id")).distinct().withColumn("role", F.lit("MANUFACTURER"))
+        return self.dealt("lineitem", "l_partkey").select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("organization_id")).distinct().withColumn("role", F.lit("MANUFACTURER"))
 
     def product_ingredients(self) -> DataFrame:
         p = self.products()
@@ -35,12 +45,12 @@ class Domain:
 
     def batches(self) -> DataFrame:
         """One batch for each number: the smallest of the rows that share it."""
-        number = F.concat(F.lit("B-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+        number = F.concat(F.lit("B-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("batch_number")
         first = F.min(F.struct("l_partkey", "l_suppkey", "l_shipdate")).alias("m")
-        return self.table("lineitem").groupBy(number.alias("batch_number")).agg(first).select("batch_number", F.col("m.l_partkey").alias("product_id"), F.col("m.l_suppkey").alias("organization_id"), F.to_date("m.l_shipdate").alias("manufacturing_date"))
+        return self.dealt("lineitem", "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(first).select(number, F.col("m.l_partkey").alias("product_id"), F.col("m.l_suppkey").alias("organization_id"), F.to_date("m.l_shipdate").alias("manufacturing_date"))
 
     def events(self) -> DataFrame:
-        li, o = self.table("lineitem"), self.table("orders")
+        li, o = self.dealt("lineitem", "l_orderkey"), self.dealt("orders", "o_orderkey", by="lineitem")
         kind = F.when(F.col("l_returnflag") == "A", "NSQ").when(F.col("l_returnflag") == "R", "RECALL").otherwise("APPROVAL")
         legal = F.when(F.col("o_orderstatus") != "P", F.lit(None)).when(F.col("o_orderpriority") == "5-LOW", "STAYED").when(F.col("o_orderpriority") == "1-URGENT", "PROHIBITED")
         return (
