@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import codes, dates, nested, text
 from ..operators import assemble, classify, listings, reports, resolve
 from ..sources import html
-from ..sources.driver import Domain
+from ..sources.driver import SMALL_TASK_BYTES, Domain
 from .registry import query
 
 
@@ -455,7 +455,7 @@ def union_all(d: Domain) -> DataFrame:
 @query("P03_alert_columns", "SELECT p_partkey, p_partkey::VARCHAR AS s_no, p_name AS product, 'B-' || p_partkey AS batch, p_brand AS maker, p_type AS reason FROM part")
 def alert_columns(d: Domain) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), v.alias("value")) for i, (n, v) in enumerate([("Sl No.", F.col("p_partkey").cast("string")), ("Name of Drug", F.lit("old")), ("Product Name", F.col("p_name")), ("Column_3", F.concat(F.lit("B-"), F.col("p_partkey").cast("string"))), ("Manufactured By as per label", F.col("p_brand")), ("Reasons for failure", F.col("p_type"))])])
-    rows = d.table("part").select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", "x.*")
+    rows = d.dealt("part", "p_partkey", size=SMALL_TASK_BYTES).select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", "x.*")
     a = assemble.alert_rows(rows, ["p_partkey"])
     return a.select("p_partkey", F.col("S No").alias("s_no"), F.col("Name of Drugs/medical device/cosmetics").alias("product"), F.col("Batch No").alias("batch"), F.col("Manufactured By").alias("maker"), F.col("Reason for failure").alias("reason"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout, parts, reports, sinks, tables
 from ..sources import payload
-from ..sources.driver import Domain
+from ..sources.driver import SMALL_TASK_BYTES, Domain
 from .registry import query
 
 ROWS = "array<array<string>>"
@@ -79,7 +79,7 @@ def cascade(d: Domain) -> DataFrame:
     sentence = lit_rows(("A sentence.", "batch"), (F.col("p_name"), "1"), ("x", "2"))
     found = {"default": F.when(k % 3 == 0, F.array(good, narrow)).otherwise(F.array(narrow)), "text": F.when(k % 6 == 4, F.array(sentence)).when(k % 3 == 1, F.array(good)).otherwise(F.array(narrow)), "mixed_v_text": F.when(k % 2 == 0, F.array(sentence, good)).otherwise(F.array().cast(f"array<{ROWS}>"))}
     each = F.array(*[F.struct(F.lit(s).alias("strategy"), t.alias("tables")) for s, t in found.items()])
-    c = tables.cascade(d.table("part").select("p_partkey", F.explode(each).alias("c")).select("p_partkey", "c.*"), "p_partkey")
+    c = tables.cascade(d.dealt("part", "p_partkey", size=SMALL_TASK_BYTES).select("p_partkey", F.explode(each).alias("c")).select("p_partkey", "c.*"), "p_partkey")
     return c.select("p_partkey", "strategy", F.size("tables").cast("long").alias("tables"))
 
 

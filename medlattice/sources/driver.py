@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a table's files whose rows one task meets where rows are held by key: as many at any size of the table.
 TASK_BYTES = 8 << 20
+#: The same where a table is stored in few bytes a row and each row becomes several.
+SMALL_TASK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +24,11 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
-    def dealt(self, name: str, key: str, by: str | None = None) -> DataFrame:
-        """A table dealt by a key to tasks whose number follows the bytes of the table's files, or of those of ``by``."""
+    def dealt(self, name: str, key: str, by: str | None = None, size: int | None = None) -> DataFrame:
+        """A table dealt by a key to tasks whose number follows the bytes of the table's files, or of those of ``by``: one for ``size`` bytes."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{by or name}.parquet")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        n = max(self.spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(path).getLength() // TASK_BYTES))
+        n = max(self.spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(path).getLength() // (size or TASK_BYTES)))
         return self.table(name).repartition(n, key)
 
     def products(self) -> DataFrame:
