@@ -152,34 +152,101 @@ def extracted(documents: DataFrame) -> DataFrame:
     return extracted_rows(documents.select("*", F.posexplode("records").alias("position", "record")).drop("records"))
 
 
-def extracted_rows(d: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
-    """One row a record with its lineage id and its fields, whatever its keys are called; d has the document, position and record.
-
-    ``sets``: see ``with_fields``.
-    """
+def told(d: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
+    """d(..., record) with what the record itself says: fields, parts of a combined cell, and the values that product and parties are made of, none of them null."""
     r = F.col("record")
-    mark = keys.fingerprint(_any_of(r, "product_name", "drug_name", "title", "name"), _any_of(r, "batch_number", "batch_no", "lot_no"), _any_of(r, "manufactured_by", "manufacturer", "company_name"), _any_of(r, "reason", "nsq_result", "reason_for_nsq", "description"))
-    d = d.withColumn("fingerprint", mark).withColumn("nth", F.row_number().over(Window.partitionBy("source_document_id", "filename", "fingerprint").orderBy("position")))
-    number = lambda *n: F.coalesce(F.nullif(_any_of(r, *n), F.lit("")).try_cast("int"), F.lit(1))  # noqa: E731  # a failed cast is costly, and most records name no page
-    # values that are used more than once are columns: inlined, they make methods so large that the JVM only interprets them
-    d = d.withColumn("page_number", number("page_number", "page")).withColumn("table_number", number("table_number", "table"))
-    d = d.withColumn("source_record_id", keys.source_record_id(F.col("source_document_id"), F.col("page_number"), F.col("table_number"), F.col("fingerprint"), F.col("nth")))
     d = with_fields(d, sets)
     d = d.withColumn("combined", F.when((F.col("combined") == "") & F.col("batch_raw").rlike("(?i)\\b(?:mfg|exp|mfd\\s*by)\\b"), F.col("batch_raw")).otherwise(F.col("combined")))
     d = d.withColumn("parts", text.batch_details(F.col("combined")))
     better = lambda part, raw: F.when(F.col(f"parts.{part}") != "", F.col(f"parts.{part}")).otherwise(F.col(raw))
     spilled = (F.col("maker_raw") == "") | F.col("maker_raw").rlike("(?i)\\b(?:b\\.?\\s*no|batch\\s*no|mfg|exp|mfd\\s*by)\\b")
     d = d.withColumn("batch_number", better("batch_number", "batch_raw")).withColumn("manufacturing_date", better("made", "made_raw")).withColumn("expiry_date", better("expires", "expires_raw"))
-    d = d.withColumn("maker", text.organization_and_address(F.when((F.col("parts.maker") != "") & spilled, F.col("parts.maker")).otherwise(F.col("maker_raw"))))
-    for name in ("reporter", "importer", "applicant", "holder"):
-        d = d.withColumn(name, text.organization_and_address(F.col(f"{name}_raw")))
+    d = d.withColumn("maker_raw", F.when((F.col("parts.maker") != "") & spilled, F.col("parts.maker")).otherwise(F.col("maker_raw")))
+    for name, names in (("strength_raw", ["strength"]), ("form_raw", ["dosage_form"]), ("raw_category", ["product_category"]), ("state", ["state", "state_name"])):
+        d = d.withColumn(name, _any_of(r, *names))
+    return d
+
+
+#: What a record's product and its parties are made of; few sets of values, each shared by many records.
+PRODUCT_VALUES = ["product_raw", "note", "cas_raw", "strength_raw", "form_raw", "raw_category"]
+PARTY_VALUES = ["maker_raw", "reporter_raw", "importer_raw", "applicant_raw", "holder_raw", "state"]
+PARTIES = ("maker", "reporter", "importer", "applicant", "holder")
+#: Sets of values that are sent to all tasks; more are met by a join that shuffles.
+SEND_VALUES = 50_000
+
+
+def product(d: DataFrame) -> DataFrame:
+    """d(PRODUCT_VALUES) with the product's name, formulation, category and keys."""
     d = d.withColumn("product_name", text.product_with_notification(F.col("product_raw"), F.col("note")))
     d = d.withColumn("formulation", text.formulation(F.col("product_name")))
-    d = d.withColumn("strength", F.coalesce(text.filled(_any_of(r, "strength")), F.col("formulation.strength"))).withColumn("dosage_form", F.coalesce(text.filled(_any_of(r, "dosage_form")), F.col("formulation.dosage_form")))
+    d = d.withColumn("strength", F.coalesce(text.filled(F.col("strength_raw")), F.col("formulation.strength"))).withColumn("dosage_form", F.coalesce(text.filled(F.col("form_raw")), F.col("formulation.dosage_form")))
     single = F.size("formulation.ingredients") == 1
     item = lambda i: F.struct(i["name"].alias("name"), F.when(single & (i["strength"] == ""), F.trim(F.col("strength"))).otherwise(i["strength"]).alias("strength"), F.when(single, text.cas_number(F.col("cas_raw"))).otherwise("").alias("cas_number"), keys.ingredient_key(i["name"]).alias("ingredient_key"))
-    d = d.withColumn("ingredients", F.transform("formulation.ingredients", item))
-    for name, names in (("raw_event_type", ["event_type"]), ("raw_scope", ["scope"]), ("raw_category", ["product_category"]), ("raw_action", ["action"]), ("legal_status", ["legal_status", "notification_no_and_date", "Notification No & Date"]), ("state", ["state", "state_name"])):
+    d = d.withColumn("ingredients", F.transform("formulation.ingredients", item)).withColumn("product_category", category(F.col("raw_category"), F.size("ingredients")))
+    d = d.withColumn("signature", keys.signature(F.transform("ingredients", lambda i: i["ingredient_key"])))
+    return d.withColumn("product_key", F.when(F.col("product_name") != "", keys.product_key(F.col("product_name"), F.col("strength"), F.col("dosage_form"), F.col("product_category"), F.col("signature"))))
+
+
+def parties(d: DataFrame) -> DataFrame:
+    """d(PARTY_VALUES) with the name, address and key of each party."""
+    for name in PARTIES:
+        d = d.withColumn(name, text.organization_and_address(F.col(f"{name}_raw")))
+    return d.select("*", *[F.when(F.col(f"{c}.name") != "", keys.organization_key(F.col(f"{c}.name"), F.col("state"))).alias(f"{c}_key") for c in PARTIES])
+
+
+class Known:
+    """Products and parties that are worked out once for each set of values that records tell.
+
+    ``values`` is ``values_of`` the same rows, as a written table: it is counted, then read again.
+    """
+
+    def __init__(self, values: DataFrame):
+        self.sides = []
+        for kind, names, work in (("product", PRODUCT_VALUES, product), ("parties", PARTY_VALUES, parties)):
+            own = values.filter(F.col("kind") == kind).select(*names)
+            hint = "broadcast" if own.count() <= SEND_VALUES else "merge"
+            self.sides.append((names, work(own).hint(hint)))
+
+    def meet(self, told: DataFrame) -> DataFrame:
+        for names, side in self.sides:
+            told = told.join(side, names)
+        return told
+
+
+def values_of(rows: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
+    """(kind, PRODUCT_VALUES, PARTY_VALUES) of rows(..., record): each set of values that tells a product or the parties, once."""
+    every = [*PRODUCT_VALUES, *PARTY_VALUES]
+    of = lambda kind, names: F.struct(F.lit(kind).alias("kind"), *[(F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in every])
+    return told(rows, sets).select(F.explode(F.array(of("product", PRODUCT_VALUES), of("parties", PARTY_VALUES))).alias("v")).select("v.*").distinct()
+
+
+def products_of(rows: DataFrame, sets: list[list[str]] | None = None, last: bool = False) -> DataFrame:
+    """Products of rows(..., record) in the shape of resolved records: for each set of values that tells one, its first or last record."""
+    pick = F.max if last else F.min
+    at = pick(F.struct("source_document_id", "position")).alias("at")
+    return product(told(rows, sets).groupBy(*PRODUCT_VALUES, "brand_name").agg(at).select("*", "at.*"))
+
+
+def made_by(rows: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
+    """Products with their parties: one row for each set of values that tells both."""
+    return parties(product(told(rows, sets).select(*PRODUCT_VALUES, *PARTY_VALUES).distinct()))
+
+
+def extracted_rows(d: DataFrame, sets: list[list[str]] | None = None, known: Known | None = None) -> DataFrame:
+    """One row a record with its lineage id and its fields, whatever its keys are called; d has the document, position and record.
+
+    ``sets``: see ``with_fields``. ``known``: the products and parties of these rows, made before and met here.
+    """
+    r = F.col("record")
+    mark = keys.fingerprint(_any_of(r, "product_name", "drug_name", "title", "name"), _any_of(r, "batch_number", "batch_no", "lot_no"), _any_of(r, "manufactured_by", "manufacturer", "company_name"), _any_of(r, "reason", "nsq_result", "reason_for_nsq", "description"))
+    d = d.withColumn("fingerprint", mark).withColumn("nth", F.row_number().over(Window.partitionBy("source_document_id", "filename", "fingerprint").orderBy("position")))
+    number = lambda *n: F.coalesce(F.nullif(_any_of(r, *n), F.lit("")).try_cast("int"), F.lit(1))  # noqa: E731  # a failed cast is costly, and most records name no page
+    # values that are used more than once are columns: inlined, they make methods so large that the JVM only interprets them
+    d = d.withColumn("page_number", number("page_number", "page")).withColumn("table_number", number("table_number", "table"))
+    d = d.withColumn("source_record_id", keys.source_record_id(F.col("source_document_id"), F.col("page_number"), F.col("table_number"), F.col("fingerprint"), F.col("nth")))
+    d = told(d, sets)
+    d = known.meet(d) if known else parties(product(d))
+    for name, names in (("raw_event_type", ["event_type"]), ("raw_scope", ["scope"]), ("raw_action", ["action"]), ("legal_status", ["legal_status", "notification_no_and_date", "Notification No & Date"])):
         d = d.withColumn(name, _any_of(r, *names))
     d = d.withColumn("country", F.coalesce(text.filled(_any_of(r, "country")), F.lit("India"))).withColumn("raw_status", F.coalesce(text.filled(_any_of(r, "status")), F.when(F.col("reason") != "", "NSQ").otherwise("")))
     d = d.withColumn("own_day", _any_of(r, "event_date", "date"))
@@ -190,12 +257,7 @@ def resolved(rows: DataFrame) -> DataFrame:
     """Keys, inferred values and review status of extracted rows (the rich profile)."""
     kind = event_type(F.col("raw_event_type"), F.col("raw_status"), F.col("document_type"))
     d = rows.withColumn("event_type", kind).withColumn("scope", scope(F.col("raw_scope"), F.col("raw_event_type"), F.col("document_type"), F.col("batch_number"), F.col("product_name")))
-    d = d.withColumn("act", action(F.col("event_type"), F.col("raw_action"))).withColumn("product_category", category(F.col("raw_category"), F.size("ingredients")))
-    d = d.withColumn("signature", keys.signature(F.transform("ingredients", lambda i: i["ingredient_key"])))
-    named = lambda c: F.when(F.col(f"{c}.name") != "", keys.organization_key(F.col(f"{c}.name"), F.col("state")))
-    for role in ("maker", "reporter", "importer", "applicant", "holder"):
-        d = d.withColumn(f"{role}_key", named(role))
-    d = d.withColumn("product_key", F.when(F.col("product_name") != "", keys.product_key(F.col("product_name"), F.col("strength"), F.col("dosage_form"), F.col("product_category"), F.col("signature"))))
+    d = d.withColumn("act", action(F.col("event_type"), F.col("raw_action")))
     d = d.withColumn("batch_key", F.when(F.col("product_key").isNotNull() & (F.col("batch_number") != ""), keys.batch_key(F.col("product_key"), F.col("maker_key"), F.col("batch_number"))))
     d = d.withColumn("event_key", keys.event_key(F.col("source_document_id"), F.col("source_record_id"), F.col("event_type"), F.col("day.day")))
     return d.withColumn("review", review(F.col("document_type"), F.col("product_name"), F.col("scope"), F.col("batch_number"), F.col("event_type"))).withColumn("status", F.when(F.col("raw_status") != "", F.col("raw_status")).otherwise(F.col("event_type")))

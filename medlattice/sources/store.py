@@ -32,6 +32,13 @@ def remove_local(path: str) -> None:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def written(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """A DataFrame as a table of its own in the shared folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _state(spark: SparkSession, data: str) -> tuple:
     """Names, sizes and times of the entries of a data folder, in any file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(data)
