@@ -132,3 +132,10 @@ def test_plain_texts_skip_the_patterns(spark):
 
 def test_trim_space_leaves_only_the_middle(spark):
     assert list(one(spark, text.trim_space(lit(" \t\n\x0b\f\r a  b  \n")), text.trim_space(lit("  ")))) == ["a  b", ""]
+
+
+def test_plain_texts_of_any_length(spark):
+    """Java's matcher took a frame of its stack for each word of a plain text, and died of it."""
+    long = " ".join(f"w{i}" for i in range(100_000))
+    r = one(spark, text.canonical(lit(long)).alias("a"), text.organization_and_address(lit(long)).alias("b"), text.formulation(lit(long)).alias("c"), text.canonical(lit(long + " ")).alias("d"), text.canonical(lit(long + " co")).alias("e"))
+    assert r.a == r.d == r.e == long and r.b.name == long and [i.name for i in r.c.ingredients] == [long]
